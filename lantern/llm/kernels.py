@@ -186,3 +186,25 @@ def merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] > top[:-1])])
     last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(row) - 1]])
     return row[new], lo[new], top[last]
+
+
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive bytes."""
+    m = len(data) - k + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.empty(m, np.uint64)
+    for lo in range(0, m, BLOCK):
+        hi = min(m, lo + BLOCK)
+        n = hi - lo + k - 1
+        p, q = _powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[data[lo : lo + n]] * p[:n], out=sums[1:])
+        out[lo:hi] = mix((sums[k:] - sums[: hi - lo]) * q[: hi - lo])
+    return out
+
+
+def expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... count[0] of them, then start[1], ..."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(start, count)

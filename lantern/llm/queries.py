@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .pieces import encode
 from .shared import table
 from .sharding import shard
+from .suffixes import suffix_dedup
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
@@ -23,6 +24,11 @@ def op2_shard_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=200, mode="digest")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer(), digests=True)
 
