@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .doubling import substring_dedup
 from .jaccard import jaccard_join
+from .neighbours import nearest
 from .pieces import encode
 from .shared import table
 from .sharding import shard
 from .suffixes import suffix_dedup
+from .urls import url_filter
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
@@ -35,6 +37,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+# The rules of the URL filter's query.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=200, mode="digest")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
@@ -44,6 +54,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer(), digests=True)
 
 
+def op8_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13, least_share=0.05)
     return found.select(
