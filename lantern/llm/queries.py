@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .doubling import substring_dedup
 from .jaccard import jaccard_join
+from .licenses import license_scan
 from .neighbours import nearest
 from .pieces import encode
 from .shared import table
 from .sharding import shard
 from .suffixes import suffix_dedup
+from .toxicity import categories, toxicity
 from .urls import url_filter
 
 
@@ -45,6 +47,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(documents, table(spark, sf_dir, "labels"), categories(), decide="toxic").drop("text")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=200, mode="digest")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
@@ -70,5 +77,16 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {name: f for name, f in vars(sys.modules[__name__]).items() if name.startswith("op") and name[2].isdigit()}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: documents are laid out by source, language and thousand, some as licence files."""
+    folder = F.concat_ws("/", "source", "lang")
+    deep = F.concat_ws("/", folder, F.floor(F.col("doc_id") / 1024).cast("string"))
+    path = F.when(F.col("doc_id") % 256 == 0, F.concat(folder, F.lit("/LICENSE."), F.col("doc_id").cast("string")))
+    path = path.when(F.col("doc_id") % 64 == 0, F.concat(deep, F.lit("/LICENSE."), F.col("doc_id").cast("string")))
+    path = path.otherwise(F.concat(deep, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").withColumn("path", path)
+    return license_scan(files, F.col("path").rlike("(^|/)(LICENSE|COPYING)[^/]*$"))
+
+
+QUERIES = {name: f for name, f in sorted(vars(sys.modules[__name__]).items()) if name.startswith("op") and name[2].isdigit()}
 ORACLE_SQL: dict[str, str] = {}
