@@ -1,0 +1,122 @@
+"""Ingestion: cleaning, gates and chunking of documents."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lantern.functions import text as X
+
+BUDGET, OVERLAP = 512, 64
+CHUNK_SCHEMA = "ord int, kind string, heading string, n_tokens int, n_overlap int, text string"
+
+
+def furniture(lines: DataFrame, document: str, page: str, line: str, share: float = 0.5) -> DataFrame:
+    """Lines that stand on over `share` of a document's pages, digits and spaces apart."""
+    marked = lines.select(document, page, X.line_signature(F.col(line)).alias("signature")).where(F.length("signature").between(4, 90))
+    pages = lines.groupBy(document).agg(F.countDistinct(page).alias("n_pages"))
+    seen = marked.groupBy(document, "signature").agg(F.countDistinct(page).alias("n"))
+    return seen.join(pages, document).where(F.col("n") > F.col("n_pages") * share).select(document, "signature", "n", "n_pages")
+
+
+def border_lines(c: Column) -> Column:
+    """First and last two lines of a page that could be furniture."""
+    lines = F.filter(X.lines_of(c), lambda x: F.length(F.trim(x)).between(4, 90))
+    return F.array_distinct(F.concat(F.slice(lines, 1, 2), F.slice(F.reverse(lines), 1, 2)))
+
+
+def document_gate(chunks: DataFrame, document: str, reason: str, share: float = 0.6, least: int = 5) -> DataFrame:
+    """Why a document is refused: all its chunks are, or over `share` of `least` or more."""
+    n = chunks.groupBy(document).agg(F.count("*").alias("n"), F.count(reason).alias("n_refused"))
+    why = F.when(F.col("n") == F.col("n_refused"), "all refused").when((F.col("n") >= least) & (F.col("n_refused") > share * F.col("n")), "most refused")
+    return n.withColumn("refused", why)
+
+
+def empty_gate(c: Column, pages: Column) -> Column:
+    """Enough characters, and enough of them on each page."""
+    return F.when(F.length(F.trim(c)) < 200, "too short").when(F.length(F.trim(c)) / F.greatest(pages, F.lit(1)) < 40, "empty pages")
+
+
+def choose_source(df: DataFrame, key: str, kind: str, order: tuple[str, ...] = ("text", "pdf", "office")) -> DataFrame:
+    """One source a document, by kind, then path."""
+    place = F.coalesce(*(F.when(F.col(kind) == k, F.lit(i)) for i, k in enumerate(order)), F.lit(len(order)))
+    return df.withColumn("chosen", F.row_number().over(Window.partitionBy(key).orderBy(place, "path")) == 1)
+
+
+def _tokens(text: str) -> int:
+    """Rough token count: words and signs."""
+    return len(re.findall(r"\w+|[^\w\s]", text))
+
+
+def _pieces(text: str, budget: int) -> Iterator[str]:
+    """Paragraphs, or sentences of longer ones, or runs of words of longer ones."""
+    for paragraph in re.split(r"\n\s*\n", text):
+        if _tokens(paragraph) <= budget:
+            yield paragraph
+            continue
+        for sentence in re.split(r"(?<=[.!?])\s+|\n", paragraph):
+            if _tokens(sentence) <= budget:
+                yield sentence
+                continue
+            held, n = [], 0
+            for word in sentence.split():
+                k = _tokens(word)
+                if n + k > budget and held:
+                    yield " ".join(held)
+                    held, n = [], 0
+                if k <= budget:
+                    held.append(word)
+                    n += k
+            if held:
+                yield " ".join(held)
+
+
+def split(text: str, budget: int = BUDGET, overlap: int = OVERLAP) -> list[tuple[int, str, str, int, int, str]]:
+    """Chunks of a text: headings part it, pieces are packed up to the budget, which the tail of the chunk before - up to
+    `overlap` tokens - is part of. A new heading begins without a tail."""
+    out: list[tuple[int, str, str, int, int, str]] = []
+    sections = re.split(r"(?m)^(#{1,6} .*)$", text)
+    for heading, body in zip(["", *(s.lstrip("# ").strip() for s in sections[1::2])], sections[::2], strict=True):
+        held: list[str] = []
+        tail = ""
+
+        def close(held=held, heading=heading) -> str:
+            nonlocal tail
+            body = "\n".join(held)
+            whole = f"{tail}\n{body}" if tail else body
+            out.append((len(out), "prose", heading, _tokens(whole), _tokens(tail), whole))
+            words = body.split()
+            keep: list[str] = []
+            n = 0
+            while words and n + _tokens(words[-1]) <= overlap:
+                n += _tokens(words[-1])
+                keep.insert(0, words.pop())
+            held.clear()
+            return " ".join(keep)
+
+        for piece in _pieces(body, budget - overlap):
+            if not piece.strip():
+                continue
+            if held and _tokens(tail) + sum(map(_tokens, held)) + _tokens(piece) > budget:
+                tail = close()
+            held.append(piece.strip())
+        if held:
+            close()
+    return out
+
+
+def chunk(documents: DataFrame, id_column: str, text_column: str, budget: int = BUDGET, overlap: int = OVERLAP) -> DataFrame:
+    """One row a chunk: id, ord, kind, heading, tokens and text. Each document is cut in its own row; nothing is shuffled."""
+    kind = documents.schema[id_column].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, *c) for i, t in zip(pdf["id"], pdf["text"], strict=True) for c in split(t or "", budget, overlap)]
+            yield pd.DataFrame(rows, columns=["id", "ord", "kind", "heading", "n_tokens", "n_overlap", "text"])
+
+    out = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInPandas(run, f"id {kind}, {CHUNK_SCHEMA}")
+    return out.withColumnRenamed("id", id_column)

@@ -1,0 +1,4 @@
+"""The registered queries of the library."""
+
+from . import ranking, relational, texts  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
