@@ -30,7 +30,7 @@ def similar_pairs(vectors: DataFrame, least: float, id_column: str, vector_colum
     extra = [F.col(c).cast("long").alias(n) if c else F.lit(None).cast("long").alias(n) for c, n in ((ordinal, "ordinal"), (document, "document"))]
     rows = vectors.where(F.col(vector_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(group).cast("long").alias("g"), F.col(vector_column).cast("array<double>").alias("v"), *extra)
 
-    def pairs(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, x, y = key
         v = np.stack(pdf["v"].to_numpy())
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
@@ -65,7 +65,7 @@ def nearest_outside(vectors: DataFrame, id_column: str, vector_column: str, grou
     """
     rows = vectors.where(F.col(vector_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(group).cast("long").alias("g"), F.col(vector_column).cast("array<double>").alias("v"), F.lit(0).alias("all"))
 
-    def best(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, x, y = key
         v = np.stack(pdf["v"].to_numpy())
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)

@@ -152,10 +152,10 @@ def event_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("errors", F.when(F.col("errors") != "", F.col("errors")))
 
 
-@query("""SELECT o_orderpriority, sum(CAST((o_custkey * 0.5 + o_orderkey * 1.5) / 1000000 AS DECIMAL(18, 6)))::DECIMAL(28, 6) AS cost FROM orders GROUP BY 1""")
+@query("""SELECT o_orderpriority, sum(CAST((o_custkey * 1 + o_orderkey * 3) / 1000000 AS DECIMAL(18, 6)))::DECIMAL(28, 6) AS cost FROM orders GROUP BY 1""")
 def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = lambda x: F.lit(x).cast("decimal(6,1)")
-    part = M.cost(F.col("o_custkey").cast("decimal(18,0)"), F.col("o_orderkey").cast("decimal(18,0)"), price("0.5"), price("1.5"))
+    part = M.cost(F.col("o_custkey").cast("decimal(18,0)"), F.col("o_orderkey").cast("decimal(18,0)"), price("1.0"), price("3.0"))
     return read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.sum(part).cast("decimal(28,6)").alias("cost"))
 
 
