@@ -6,7 +6,8 @@ window has one, so every repeated window shows up as two suffixes with a common
 together reach `least` bytes.
 
 1. Anchors whose bytes occur once are dropped. Anchors whose whole context - all windows around them - occurs again are
-   settled by counting alone, with combiners, however many copies there are. One of each such context stays.
+   settled by comparing hashes, however many copies there are. One of each such context stays. Both comparisons are
+   made among a sender's own records first, which then sends one record of a kind.
 2. The other contexts are dealt by anchor and sorted by suffix: each task gets a part of the suffix array.
 3. A stack scan over the neighbours' common prefixes gives the interval tree. In each interval the members are ordered
    by their left contexts; a second scan over common left extensions splits the interval where they differ, which leaves
@@ -27,40 +28,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import packets as P
 from .shared import cut, row_key
 
-GRAM, HOT, CHUNK = 50, 4000, 1 << 20
+GRAM, HOT, CHUNK = 50, 250_000, 1 << 20
+_KINDS = ["u8", "u8", "i8", "i4", "i4"]  # anchor, context, key, place, flag - 0: asks, 1: the answer is known, 2: known, tells others
 
 
 def _anchors(least: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            offsets, whole = K.buffers(batch.column("text"))
-            for lo, hi in K.row_chunks(offsets, CHUNK):
-                data = whole[offsets[lo] : offsets[hi]]
-                edge = offsets[lo : hi + 1] - offsets[lo]
-                if len(data) < least:
-                    continue
-                ok = np.zeros(len(data) - least + 1, bool)
-                size = np.maximum(np.diff(edge) - least + 1, 0)
-                ok[K.expand(edge[:-1], size)] = True
-                at = K.minimizers(K.gram_hashes(data, gram), ok, least - gram + 1)
-                row = np.searchsorted(edge, at, "right") - 1
-                left = np.minimum(at - edge[row], least - gram)
-                right = np.minimum(edge[row + 1] - at, least)
-                context = K.mix(K.span_hashes(data, at - left, at + right) + left.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(K.span_hashes(data, at, at + gram).view(np.int64)),
-                        pa.array(context.view(np.int64)),
-                        pa.array(key[lo + row]),
-                        pa.array((at - edge[row]).astype(np.int32)),
-                    ],
-                    names=["anchor", "context", "key", "at"],
-                )
+    def records(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        key = batch.column("key").to_numpy()
+        offsets, whole = K.buffers(batch.column("text"))
+        for lo, hi in K.row_chunks(offsets, CHUNK):
+            data = whole[offsets[lo] : offsets[hi]]
+            edge = offsets[lo : hi + 1] - offsets[lo]
+            if len(data) < least:
+                continue
+            ok = np.zeros(len(data) - least + 1, bool)
+            ok[K.expand(edge[:-1], np.maximum(np.diff(edge) - least + 1, 0))] = True
+            at = K.minimizers(K.gram_hashes(data, gram), ok, least - gram + 1)
+            row = np.searchsorted(edge, at, "right") - 1
+            left = np.minimum(at - edge[row], least - gram)
+            right = np.minimum(edge[row + 1] - at, least)
+            context = K.mix(K.span_hashes(data, at - left, at + right) + left.astype(np.uint64))
+            yield [K.span_hashes(data, at, at + gram), context, key[lo + row], (at - edge[row]).astype(np.int32)]
+
+    return records
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    anchor, context, key, at = (batch.column(c).to_numpy() for c in ("anchor", "context", "key", "at"))
+    yield [anchor.view(np.uint64), context.view(np.uint64), key, at]
+
+
+def _equal(columns: list[np.ndarray], by_context: bool) -> np.ndarray:
+    """What must be equal for records to count as repeats of each other."""
+    return K.mix(columns[0] * np.uint64(5) + columns[1]) if by_context else columns[0]
+
+
+def _settle(number: int, by_context: bool):
+    def settle(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        h = _equal(columns, by_context)
+        order = np.argsort(h, kind="stable")
+        starts = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        first, alone = np.empty(len(h), bool), np.empty(len(h), bool)
+        first[order] = starts
+        alone[order] = starts & np.concatenate([starts[1:], [True]])
+        # Records stay in the order of their texts, which packs best.
+        told = [c[~alone] for c in columns]
+        if by_context:  # settled for good: only the place is still needed
+            told[0], told[1] = np.zeros_like(told[0]), np.zeros_like(told[1])
+        sent = [np.concatenate([c[first], k]) for c, k in zip(columns, told, strict=True)]
+        flag = np.concatenate([np.where(alone[first], 0, 2), np.ones(len(told[0]))]).astype(np.int32)
+        bucket = np.concatenate([(h[first] >> np.uint64(20)) % np.uint64(number), K.mix(told[2].view(np.uint64)) % np.uint64(number)])
+        return bucket.astype(np.int64), [*sent, flag]
+
+    return settle
+
+
+def _meet(by_context: bool):
+    """In a bucket: the records that have an equal; of contexts also the others, and one record of each kind.
+
+    what: -1 has an equal, 0 has none, 1 stands for a context that has.
+    """
 
-    return run
+    def meet(columns: list[np.ndarray]) -> pa.RecordBatch | None:
+        known = columns[4] == 1
+        asked = [c[~known] for c in columns]
+        h = _equal(asked, by_context)
+        order = np.lexsort((asked[3], asked[2], h))
+        h, asked = h[order], [c[order] for c in asked]
+        first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+        begin = np.flatnonzero(first)
+        size = np.diff(np.append(begin, len(h)))
+        twice = np.repeat((size > 1) | (np.maximum.reduceat(asked[4], begin) == 2), size) if len(h) else np.zeros(0, bool)
+        out = [(twice & (asked[4] == 0), -1)]
+        if by_context:
+            out += [(first & ~twice, 0), (first & twice, 1)]
+        parts = [[c[at] for c in asked[:4]] + [np.full(int(at.sum()), what, np.int32)] for at, what in out]
+        parts.append([c[known] for c in columns[:4]] + [np.full(int(known.sum()), -1, np.int32)])
+        anchor, context, key, at, what = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), context.view(np.int64), key, at, what)], names=["anchor", "context", "key", "at", "what"])
+
+    return meet
 
 
 def _contexts(least: int, gram: int):
@@ -83,12 +133,13 @@ def _contexts(least: int, gram: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         flat.field("anchor").slice(lo, len(a)),
+                        flat.field("hot").slice(lo, len(a)),
                         pa.array(key[r]),
                         flat.field("at").slice(lo, len(a)),
                         pa.array([bytes(raw[x : x + n]) for x, n in zip(p.tolist(), right.tolist(), strict=True)], pa.binary()),
                         pa.array([bytes(raw[x - n : x]) for x, n in zip(p.tolist(), left.tolist(), strict=True)], pa.binary()),
                     ],
-                    names=["anchor", "key", "at", "suffix", "before"],
+                    names=["anchor", "hot", "key", "at", "suffix", "before"],
                 )
 
     return run
@@ -141,7 +192,7 @@ class _Lowest:
             self.levels.append(np.minimum(self.levels[-1][:-step], self.levels[-1][step:]))
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        level = np.frompyfunc(lambda n: int(n).bit_length() - 1, 1, 1)(hi - lo).astype(np.int64)
+        level = np.frexp((hi - lo).astype(float))[1] - 1
         out = np.empty(len(lo), np.int64)
         for k in np.unique(level):
             at = level == k
@@ -162,14 +213,18 @@ def maximal_repeats(right: np.ndarray, right_lcp: np.ndarray, left_order: np.nda
     for r, i, j in intervals(right_lcp.tolist()):
         places = np.sort(rank[i : j + 1])
         shared = low_left(places[:-1], places[1:])
-        if shared.max() + r < least:
+        enough = np.flatnonzero(shared + r >= least)
+        if not len(enough):
             continue
-        for length, a, b in intervals(shared.tolist(), least - r):
-            members = left_order[places[a : b + 1]]
-            first, last = int(members.min()), int(members.max())
-            # A group that shares more to the right belongs to an interval within this one.
-            if int(low_right(np.array([first]), np.array([last]))[0]) == r:
-                yield members, length, r
+        for run in np.split(enough, np.flatnonzero(np.diff(enough) > 1) + 1):
+            a, part = int(run[0]), shared[run]
+            tree = [(int(part[0]), 0, len(part))] if part.min() == part.max() else intervals(part.tolist())
+            for length, x, y in tree:
+                members = left_order[places[a + x : a + y + 1]]
+                first, last = int(members.min()), int(members.max())
+                # A group that shares more to the right belongs to an interval within this one.
+                if int(low_right(np.array([first]), np.array([last]))[0]) == r:
+                    yield members, length, r
 
 
 def _groups(least: int, gram: int):
@@ -295,28 +350,27 @@ def _apply(mode: str, least: int, gram: int):
 
 
 def repeated(documents: DataFrame, least: int = 200, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """From (key, text): (key, at, left, right) around anchors whose windows occur again; right -1 means all of them."""
-    anchors = documents.mapInArrow(_anchors(least, gram), "anchor long, context long, key long, at int")
-    again = anchors.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("same")).where("n > 1")
-    some = cut(anchors.join(again.select("anchor", "same"), "anchor"))
-    mixed = some.where("not same")
-    different = cut(mixed.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.min(F.struct("key", "at")).alias("one")))
-    settled = some.where("same").select("key", "at").unionByName(mixed.join(different.where("m > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("key", "at"))
-    settled = settled.withColumns({"left": F.lit(0), "right": F.lit(-1)})
-    wanted = different.groupBy("one.key").agg(F.collect_list(F.struct(F.col("one.at").alias("at"), "anchor")).alias("wanted"))
-    schema = "anchor long, key long, at int, suffix binary, before binary"
-    contexts = documents.join(wanted, "key").select("key", "text", "wanted").mapInArrow(_contexts(least, gram), schema)
-    many = cut(different.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"))
+    """From rows with key and text: (key, at, left, right) around anchors whose windows occur again; right -1 means all."""
+    number = P.buckets(documents.sparkSession)
+    fields = "anchor long, context long, key long, at int, what int"
+    again = P.exchange(documents.select("key", "text").mapInArrow(P.sender(_anchors(least, gram), _settle(number, False)), P.SCHEMA), _KINDS, _meet(False), fields)
+    told = cut(P.exchange(again.mapInArrow(P.sender(_rows, _settle(number, True)), P.SCHEMA), _KINDS, _meet(True), fields))
+    settled = told.where("what = -1").select("key", "at", F.lit(0).alias("left"), F.lit(-1).alias("right"))
+    different = told.where("what >= 0")
+    many = cut(different.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot")))
+    any_hot = not many.where("hot").isEmpty()
+    wanted = different.join(many, "anchor").groupBy("key").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("wanted"))
+    schema = "anchor long, hot boolean, key long, at int, suffix binary, before binary"
+    contexts = documents.join(wanted, "key").mapInArrow(_contexts(least, gram), schema)
     covers = "key long, at int, left int, right int"
-    if many.isEmpty():
-        dealt = contexts.repartition("anchor").sortWithinPartitions("anchor", "suffix")
-        return settled.unionByName(dealt.mapInArrow(_groups(least, gram), covers))
-    contexts = cut(contexts.join(many.withColumn("hot", F.lit(True)), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
-    dealt = contexts.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "suffix").mapInArrow(_groups(least, gram), covers)
-    windows = contexts.where("hot").drop("hot").mapInArrow(_windows(least), "h long, g long, key long, start int")
-    twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    found = windows.join(twice, ["h", "g"]).select("key", F.col("start").alias("at"), F.lit(0).alias("left"), F.lit(least).alias("right"))
-    return settled.unionByName(dealt).unionByName(found)
+    if any_hot:
+        contexts = cut(contexts)
+    out = settled.unionByName(contexts.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "suffix").mapInArrow(_groups(least, gram), covers))
+    if any_hot:
+        windows = contexts.where("hot").drop("hot").mapInArrow(_windows(least), "h long, g long, key long, start int")
+        twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
+        out = out.unionByName(windows.join(twice, ["h", "g"]).select("key", F.col("start").alias("at"), F.lit(0).alias("left"), F.lit(least).alias("right")))
+    return out
 
 
 def suffix_dedup(documents: DataFrame, least: int = 200, gram: int = GRAM, hot: int = HOT, mode: str = "bytes", text_column: str = "text") -> DataFrame:
@@ -332,11 +386,12 @@ def suffix_dedup(documents: DataFrame, least: int = 200, gram: int = GRAM, hot:
     names = [c for c in documents.columns if c not in ("n_bytes", "n_removed", "n_spans", "spans", "kept", text_column)]
     kind = {f.name: f.dataType.simpleString() for f in documents.schema}
     inner = [f"c{i}" for i in range(len(names))]
-    rows = documents.select(F.col(text_column).cast("string").alias("text"), *(F.col(n).alias(c) for n, c in zip(names, inner, strict=True)))
+    rows = documents.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), *(F.col(n).alias(c) for n, c in zip(names, inner, strict=True)))
     rows = rows.withColumn("key", row_key(F.to_json(F.struct(*inner)) if inner else F.lit(0), F.col("text")))
-    spans = repeated(rows.select("key", F.coalesce("text", F.lit("")).alias("text")), least, gram, hot)
+    rows = rows.select("key", *inner, "text")
+    spans = repeated(rows, least, gram, hot)
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("at", "left", "right")).alias("found"))
-    joined = rows.join(spans, "key", "left").select("key", *inner, "text", "found")
+    joined = rows.join(spans, "key", "left")
     schema = ", ".join([*(f"{c} {kind[n]}" for n, c in zip(names, inner, strict=True)), "n_bytes long, spans array<struct<start:int,end:int>>", f"kept {'binary' if mode == 'bytes' else 'string'}"])
     out = joined.mapInArrow(_apply(mode, least, gram), schema)
     removed = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
