@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 SAMPLE, FEATURES, FOLDS = 12_000, 256, 5
-#: A word is a feature if this many sampled texts hold it and its share among positives is this many standard deviations off.
-LEAST_TEXTS, LEAST_DEVIATIONS = 5, 5.0
+#: A word is a feature if its share among positives would come by chance with a probability of e ** -LEAST_NATS at most.
+LEAST_NATS = 7.5
 
 
 def _distinct_words(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -69,13 +69,15 @@ class Chain:
         row = np.repeat(np.arange(n), [len(b) for b in bags])
         best = np.zeros(len(word))
         for c in range(categories):
-            # How far a word's share among positives lies from what chance would give, in standard deviations.
-            seen = np.bincount(which, y[row, c], len(word))
-            share = y[:, c].mean()
-            best = np.maximum(best, np.abs(seen - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9) + 1))
-        best[df < LEAST_TEXTS] = 0  # rare words would only memorise single labels, wrong ones among them
+            # Chernoff's bound on a word's number of positive texts, in nats; rare words, which would only memorise
+            # single labels, wrong ones among them, cannot reach much.
+            seen, share = np.bincount(which, y[row, c], len(word)), np.clip(y[:, c].mean(), 1e-9, 1 - 1e-9)
+            rate = seen / np.maximum(df, 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                nats = df * (np.nan_to_num(rate * np.log(rate / share)) + np.nan_to_num((1 - rate) * np.log((1 - rate) / (1 - share))))
+            best = np.maximum(best, nats)
         order = np.argsort(-best, kind="stable")[:features]
-        self.words = np.sort(word[order[best[order] >= LEAST_DEVIATIONS]])
+        self.words = np.sort(word[order[best[order] >= LEAST_NATS]])
         x = np.zeros((n, len(self.words)), np.float32)
         at = np.searchsorted(self.words, every)
         hit = (at < len(self.words)) & (self.words[np.minimum(at, max(len(self.words) - 1, 0))] == every) if len(self.words) else np.zeros(0, bool)
@@ -119,14 +121,17 @@ def _score(chain, names: list[str]):
 
 
 def threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability at which out-of-fold predictions have the best F1."""
+    """The probability at which out-of-fold predictions have the fewest errors; over 1 if refusing none has."""
     order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order])
-    f1 = 2 * right / (np.arange(1, len(p) + 1) + max(y.sum(), 1))
-    cut = np.append(np.diff(p[order]) != 0, True)  # only between different probabilities
-    at = int(np.argmax(np.where(cut, f1, -1)))
-    below = p[order][at + 1] if at + 1 < len(p) else 0.0
-    return float((p[order][at] + below) / 2)
+    gain = np.cumsum(2 * y[order] - 1)
+    gain[np.append(np.diff(p[order]) == 0, False)] = 0  # only between different probabilities
+    at = int(np.argmax(gain))
+    if gain[at] <= 0:
+        return 2.0
+    if at + 1 == len(p):
+        return 0.0
+    odds = np.log(p[order][at : at + 2] / (1 - p[order][at : at + 2] + 1e-12) + 1e-12)
+    return float(_sigmoid(odds.mean()))
 
 
 def toxicity(
@@ -139,7 +144,7 @@ def toxicity(
     sample: int = SAMPLE,
 ) -> DataFrame:
     """Every document's columns and p_<category> for each category, in the order of the chain, and is_toxic: whether
-    p_<decide> reaches the threshold that had the best F1 out of fold.
+    p_<decide> reaches the threshold that had the fewest errors out of fold - none is if refusing none had.
 
     categories: names and conditions over the columns of `labels`. Labels that are null in any category are left out,
     and of an id labelled several times the smallest labels hold. Words are runs of digits, letters (A-Z lower-cased)
