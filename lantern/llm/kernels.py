@@ -167,6 +167,7 @@ def minimizers(h: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
     ok: of each window start, whether that window counts (those that cross texts do not). Equal sequences have
     their minimizers at equal places, and each window that counts holds one at least.
     """
+    h = np.maximum(h, _U(1))  # 0 marks what does not count
     low = sliding(h, width, np.minimum)
     low = np.where(ok[: len(low)], low, _U(0))
     edge = np.zeros(width - 1, np.uint64)

@@ -368,7 +368,9 @@ def repeated(documents: DataFrame, least: int = 200, gram: int = GRAM, hot: int
     out = settled.unionByName(contexts.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "suffix").mapInArrow(_groups(least, gram), covers))
     if any_hot:
         windows = contexts.where("hot").drop("hot").mapInArrow(_windows(least), "h long, g long, key long, start int")
-        twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
+        # Neighbouring anchors bring the same window of a text: only different places count.
+        place = F.struct("key", "start")
+        twice = windows.groupBy("h", "g").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("h", "g")
         out = out.unionByName(windows.join(twice, ["h", "g"]).select("key", F.col("start").alias("at"), F.lit(0).alias("left"), F.lit(least).alias("right")))
     return out
 
