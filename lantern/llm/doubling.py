@@ -36,27 +36,42 @@ def _groups(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return order, np.repeat(ds[begin], size), np.repeat(ds[begin + size - 1], size)
 
 
-def _settle(number: int, last: bool):
+def _settle(number: int, last: bool, length: int):
     """Among a sender's records: which are repeated already, and which must be compared with the others'."""
 
     def settle(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         h, doc = columns[0], columns[1]
         order, low, high = _groups(h, doc)
-        columns = [c[order] for c in columns]
-        h, doc = columns[0], columns[1]
-        known = doc > low if last else low != high
+        known, first = np.empty(len(h), bool), np.empty(len(h), bool)
+        known[order] = doc[order] > low if last else low != high
         # Of each hash whose records are all known, one still tells the others: that of its smallest document.
-        first = np.concatenate([[True], h[1:] != h[:-1]])
+        first[order] = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        # Records stay in the order of their documents, which packs best; what is known needs no hash any more.
         ask = ~known | first
-        place = (columns[1] ^ (columns[2].astype(np.int64) << 32)).view(np.uint64)
-        sent = [np.concatenate([c[ask], c[known]]) for c in columns]
-        flag = np.concatenate([np.where(known[ask], 2, 0), np.ones(int(known.sum()))]).astype(np.int32)
-        bucket = np.concatenate([(h[ask] >> np.uint64(20)) % np.uint64(number), K.mix(place[known]) % np.uint64(number)])
+        told = [c[known] for c in columns[1:]]
+        if last:
+            told = _spans(*told[:3], told[2] + length)
+        place = (told[0] ^ (told[1].astype(np.int64) << 32)).view(np.uint64)
+        sent = [np.concatenate([c[ask], k]) for c, k in zip(columns, [np.zeros(len(place), np.uint64), *told], strict=True)]
+        flag = np.concatenate([np.where(known[ask], 2, 0), np.ones(len(place))]).astype(np.int32)
+        bucket = np.concatenate([(h[ask] >> np.uint64(20)) % np.uint64(number), K.mix(place) % np.uint64(number)])
         return bucket.astype(np.int64), [*sent, flag]
 
     return settle
 
 
+def _spans(doc: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Word ranges of documents, merged."""
+    if not len(doc):
+        return [doc, text, lo, hi]
+    order = np.lexsort((text, doc))
+    doc, text, lo, hi = doc[order], text[order], lo[order], hi[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
+    begin = np.flatnonzero(new)
+    row, lo, hi = K.merged(np.cumsum(new) - 1, lo.astype(np.int64), hi.astype(np.int64))
+    return [doc[begin[row]], text[begin[row]], lo.astype(np.int32), hi.astype(np.int32)]
+
+
 def _meet(last: bool, length: int):
     """In a bucket: the places that are repeated - of the last level, those that a smaller document has too, as spans."""
 
@@ -70,22 +85,32 @@ def _meet(last: bool, length: int):
             d = doc[asked][order]
             known = (d > low) if last else (low != high) | _any(h[asked][order], flag[asked][order] == 2)
             yes[asked[order]] = known & (flag[asked][order] == 0)
-        doc, text, at, what = doc[yes], text[yes], at[yes], what[yes]
-        if not len(doc):
-            return None
-        names = ["doc", "text", "at", "what"]
         if last:
-            order = np.lexsort((text, doc))
-            doc, text, at = doc[order], text[order], at[order]
-            group = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]))
-            begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            row, lo, hi = K.merged(group, at.astype(np.int64), at.astype(np.int64) + length)
-            doc, text, at, what = doc[begin[row]], text[begin[row]], lo.astype(np.int32), hi.astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, text, at, what)], names=names)
+            what = np.where(flag == 1, what, at + length).astype(np.int32)
+        out = [c[yes] for c in (doc, text, at, what)]
+        return _packed(*(_spans(*out) if last else out))
 
     return meet
 
 
+def _packed(doc: np.ndarray, text: np.ndarray, at: np.ndarray, what: np.ndarray) -> pa.RecordBatch:
+    """One row a document, its places as pairs of 32-bit numbers."""
+    order = np.lexsort((at, text, doc))
+    doc, text = doc[order], text[order]
+    pairs = np.stack([at[order], what[order]], 1).astype("<i4")
+    begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    places = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(doc)).astype(np.int64) * 8), pa.py_buffer(pairs.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(text[begin]), places.cast(pa.binary())], names=["doc", "text", "places"])
+
+
+def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and second number of all pairs in a column of lists of packed places."""
+    row = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy())
+    offsets, data = K.buffers(column.flatten())
+    pairs = np.frombuffer(data.tobytes(), "<i4").reshape(-1, 2)
+    return np.repeat(row, np.diff(offsets) // 8), pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64)
+
+
 def _any(h: np.ndarray, flag: np.ndarray) -> np.ndarray:
     begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     return np.repeat(np.maximum.reduceat(flag, begin), np.diff(np.append(begin, len(h))))
@@ -122,10 +147,7 @@ def _first_level(length: int):
 
 def _wanted(batch: pa.RecordBatch, part: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, word and what of the survivors that a document brings along."""
-    column = batch.column("found").slice(part.lo, part.hi - part.lo)
-    row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
-    flat = column.flatten()
-    return row, flat.field("at").to_numpy().astype(np.int64), flat.field("what").to_numpy()
+    return _places(batch.column("found").slice(part.lo, part.hi - part.lo))
 
 
 def _second_level(length: int):
@@ -170,9 +192,7 @@ def _apply(mode: str):
             for part in K.words(batch.column("text"), K.NOT_SPACE, False, CHUNK):
                 n = part.hi - part.lo
                 column = batch.column("found").slice(part.lo, n)
-                row = np.repeat(np.arange(n), column.value_lengths().fill_null(0).to_numpy())
-                flat = column.flatten()
-                row, lo, hi = K.merged(row, flat.field("at").to_numpy().astype(np.int64), flat.field("what").to_numpy().astype(np.int64))
+                row, lo, hi = K.merged(*_places(column))
                 gone = np.zeros(len(part.hash), bool)
                 gone[K.expand(part.row_at[row] + lo, hi - lo)] = True
                 begins = np.searchsorted(row, np.arange(n + 1))
@@ -215,14 +235,14 @@ def substring_dedup(documents: DataFrame, words: int = 13, mode: str = "text", i
     number = P.buckets(spark)
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     rows = rows.select(F.coalesce("id", F.lit(2**63 - 1)).alias("doc"), F.hash("text").alias("hash"), "id", "text")
-    places = "doc long, text int, at int, what int"
+    places = "doc long, text int, places binary"
 
     def level(frame: DataFrame, records, last: bool) -> DataFrame:
-        sent = frame.mapInArrow(P.sender(records(words), _settle(number, last)), P.SCHEMA)
+        sent = frame.mapInArrow(P.sender(records(words), _settle(number, last, words)), P.SCHEMA)
         return P.exchange(sent, _KINDS, _meet(last, words), places)
 
     def met(found: DataFrame, how: str) -> DataFrame:
-        found = found.groupBy("doc", F.col("text").alias("hash")).agg(F.collect_list(F.struct("at", "what")).alias("found"))
+        found = found.groupBy("doc", F.col("text").alias("hash")).agg(F.collect_list("places").alias("found"))
         return rows.join(found, ["doc", "hash"], how).select("doc", "hash", "id", "text", "found")
 
     one = level(rows, _first_level, False)

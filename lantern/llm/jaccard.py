@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -26,7 +27,7 @@ from . import kernels as K
 from . import packets as P
 from .shared import components, cut
 
-CHUNK, BLOCK, COLUMNS, SPARE = 2 << 20, 1500, 8192, 3
+CHUNK, BLOCK, COLUMNS = 2 << 20, 1500, 8192
 _U = np.uint64
 
 
@@ -46,18 +47,29 @@ def shingle_sets(batch_text: pa.Array, n: int) -> Iterator[tuple[K.Words, list[n
 
 
 class Parts:
-    """How sets of each size are divided: by size class, the classes' largest sizes and numbers of parts."""
+    """How sets of each size are divided: by size class, the classes' largest sizes, parts, and spare parts among them.
+
+    Sets agree in an empty part without having anything in common, so empty parts are no signatures. There are so many
+    spare parts that hardly a set has more empty ones; those that do are told by the empty parts they have.
+    """
 
     def __init__(self, share: Fraction, largest: int = 1 << 40):
-        self.top, self.count = [], []
-        low = 1
+        self.top, self.count, self.spare = [], [], []
+        low = before = 1
         while low <= largest:
             top = int(low / share)
-            differ = int((1 - share) / (1 + share) * 2 * top)
+            differ, spare = int((1 - share) / (1 + share) * 2 * top), 3
+            while differ:
+                parts = differ + 1 + spare
+                empty = parts * math.exp(-before / parts)  # in the smallest sets that use this level
+                if (enough := math.ceil(empty + 6 * math.sqrt(empty) + 3)) <= spare:
+                    break
+                spare = enough
             self.top.append(top)
-            self.count.append(differ + 1 + SPARE if differ else 0)
-            low = top + 1
-        self.top, self.count = np.array(self.top), np.array(self.count)
+            self.count.append(differ + 1 + spare if differ else 0)
+            self.spare.append(spare)
+            before, low = low, top + 1
+        self.top, self.count, self.spare = np.array(self.top), np.array(self.count), np.array(self.spare)
 
     def signatures(self, sets: list[np.ndarray], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signatures of each set's parts - on the level of its own size class, and of the next - and whose they are."""
@@ -81,11 +93,11 @@ class Parts:
             tag = K.mix((number + (level[owner] << 44)).astype(np.uint64))
             hashes.append(K.mix(sums + tag)[filled])
             nodes.append(node[owner[filled]])
-            # Sets may agree in empty parts alone if they have more than SPARE of them: then in some SPARE + 1.
-            empty = np.bincount(owner[~filled], minlength=len(parts))
-            for i in np.flatnonzero(empty > SPARE).tolist():
+            # Sets may agree in empty parts alone if they have more than the spare ones: then in some subset of one more.
+            empty, spare = np.bincount(owner[~filled], minlength=len(parts)), self.spare[level]
+            for i in np.flatnonzero((empty > spare) & (parts > 0)).tolist():
                 mine = tag[begin[i] : begin[i] + parts[i]][~filled[begin[i] : begin[i] + parts[i]]]
-                extra = np.array([sum(map(int, c)) & (2**64 - 1) for c in itertools.combinations(mine, SPARE + 1)], np.uint64)
+                extra = np.array([sum(c) & (2**64 - 1) for c in itertools.combinations(mine.tolist(), int(spare[i]) + 1)], np.uint64)
                 hashes.append(K.mix(extra ^ _U(0x5851F42D4C957F2D)))
                 nodes.append(np.full(len(extra), node[i]))
         return np.concatenate(hashes), np.concatenate(nodes)

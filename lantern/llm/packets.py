@@ -20,7 +20,7 @@ FLUSH = 1 << 20
 
 def buckets(spark: SparkSession) -> int:
     """A few buckets a shuffle partition, so that a bucket shrinks as the cluster's setting grows."""
-    return 6 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def pack(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import calc
 from lantern.functions import text as X
-from lantern.operators import ingest, verify
+from lantern.operators import evidence, ingest, verify
 from lantern.sources import files
 from lantern.streaming import tokens
 
@@ -99,3 +99,48 @@ def sentence_backing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", files.html_text(F.col("html")).alias("text"))
+
+
+@query()
+def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").groupBy(evidence.content_kind(F.col("text"), F.col("source")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query()
+def anchored_premises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer against the turn before it, anchored at a piece of that."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).where("role = 'assistant' and before is not null")
+    found = evidence.premise_of("before", F.substring("before", 21, 40), "text")
+    return rows.select("conv_id", "turn", found.alias("p")).select("conv_id", "turn", "p.route", F.length("p.premise").alias("chars"))
+
+
+@query()
+def turn_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
+    return rows.select("conv_id", "turn", F.round(evidence.likeness("text", "before"), 6).alias("ratio"))
+
+
+@query("""SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS n FROM documents""")
+def numbered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.numbered(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+
+
+@query("""WITH i AS (SELECT vec_id AS a, label AS d, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings)
+SELECT x.a, arg_min(y.a, (y.i - x.i * 7 % x.n + x.n) % x.n) AS b FROM i x JOIN i y ON x.d <> y.d GROUP BY 1""")
+def deterministic_negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.negative_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "label")
+
+
+@query("""SELECT event_id, user_id, (SELECT max(s.ts) FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'purchase' AND s.ts <= e.ts) AS last_purchase FROM events e""")
+def last_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    marks = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("start"), F.col("ts").alias("last_purchase"))
+    return evidence.as_of(e, marks, "user_id", "ts", "start", "last_purchase").select("event_id", "user_id", "last_purchase")
+
+
+@query("""SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN c_mktsegment <> 'BUILDING' THEN 'shifted' WHEN c_acctbal <= 0 THEN 'not_admitted' WHEN c_nationkey = o_orderkey % 25 THEN 'circular' WHEN c_nationkey % 2 <> 0 THEN 'subject' ELSE 'ok' END AS status FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def gold_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("hash"), (F.col("c_nationkey") % 2).alias("subject_id"), (F.col("c_acctbal") > 0).alias("admitted"), F.col("c_nationkey").cast("long").alias("source_id"))
+    gold = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.lit("BUILDING").alias("hash"), F.lit(0).alias("subject_id"), (F.col("o_orderkey") % 25).alias("source_id"))
+    return evidence.gold_status(gold, chunks, ["k"]).select("o_orderkey", "status")

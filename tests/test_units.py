@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import calc
 from lantern.functions import text as X
-from lantern.operators import ingest, metrics, quality, reconcile, retrieval, verify
+from lantern.operators import evidence, ingest, metrics, quality, reconcile, retrieval, verify
 from lantern.sources import files
 from lantern.streaming import tokens
 
@@ -217,3 +217,32 @@ def test_gates(spark):
     assert [r[0] for r in got] == [w for _, w in rows]
     df = spark.createDataFrame([("Authorization: Bearer abc.def token=xyz http://u:p@h/x",)], "t string")
     assert df.select(X.redacted(F.col("t"))).first()[0] == "Authorization: Bearer *** token=*** http://***:***@h/x"
+
+
+def test_premises():
+    text = "Una clave identifica una fila. Esta clave es única. " + "Otra frase larga que sigue a lo dicho. " * 20
+    assert evidence.locate(text, "CLAVE  es unica") == (text.index("clave es única"), text.index("clave es única") + 14)
+    window, route = evidence.premise(text, "clave es única", "la clave es única")
+    assert "clave es única" in window and len(window) <= evidence.WIDE and route in ("window", "widened")
+    assert evidence.premise(text, "no está", "una clave identifica filas")[1] == "sentence"
+    assert evidence.premise("", "x", "y") == (None, "none")
+
+
+def test_kinds(spark):
+    rows = [
+        ("public class A {\n int x;\n}\n", "a", "codigo"), ("a) uno\nb) dos\nc) tres\n", "ud4_Ejercicios", "enunciado_ejercicio"), ("$ ls\n$ cd x\n$ pwd\n", "a", "procedimiento"),
+        ("Por ejemplo, esto vale.", "a", "ejemplo_resuelto"), ("Una tabla es una estructura que guarda filas de datos. " + "Sigue el texto con palabras. " * 6, "a", "definicion"), ("Nada de eso.", "a", "explicacion"),
+    ]
+    got = spark.createDataFrame(rows, "t string, n string, k string").select(evidence.content_kind(F.col("t"), F.col("n")), "k").collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+
+
+def test_small_functions(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    assert str(value(evidence.pdf_date(F.lit("D:20240131120000")))) == "2024-01-31" and value(evidence.pdf_date(F.lit("x"))) is None
+    assert [value(evidence.retry_after(F.lit(s))) for s in ("2", "1.5s", "250ms", "1m", "soon")] == [2.0, 1.5, 0.25, 4.0, None]
+    assert value(X.national_letter(F.lit(12345678))) == "Z" and value(X.reference_number(F.lit("F123"))) == 123 and value(X.reference_number(F.lit("G1"))) is None
+    assert value(X.first_difference(F.lit("abc"), F.lit("abd"))) == 3 and value(X.first_difference(F.lit("a"), F.lit("a"))) is None
+    assert value(evidence.next_pass(F.lit(1), F.lit(0), F.lit(False), F.lit(10))) == "retry" and value(evidence.next_pass(F.lit(1), F.lit(5), F.lit(False), F.lit(10))) == "stop"
+    assert value(verify.abstains(F.lit(True), F.lit(10), F.lit(" \u00a0\n"))) == "empty"
