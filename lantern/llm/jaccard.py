@@ -58,19 +58,30 @@ class Parts:
         low = before = 1
         while low <= largest:
             top = int(low / share)
-            differ, spare = int((1 - share) / (1 + share) * 2 * top), 3
-            while differ:
-                parts = differ + 1 + spare
-                empty = parts * math.exp(-before / parts)  # in the smallest sets that use this level
-                if (enough := math.ceil(empty + 6 * math.sqrt(empty) + 3)) <= spare:
-                    break
-                spare = enough
+            differ = int((1 - share) / (1 + share) * 2 * top)
+            spare = self._spares(differ, before) if differ else 0
             self.top.append(top)
             self.count.append(differ + 1 + spare if differ else 0)
             self.spare.append(spare)
             before, low = low, top + 1
         self.top, self.count, self.spare = np.array(self.top), np.array(self.count), np.array(self.spare)
 
+    @staticmethod
+    def _spares(differ: int, least: int) -> int:
+        """Spare parts such that a set of `least` shingles, the fewest on the level, has more empty parts only beyond six
+        standard deviations - or as many as there can be. Spare parts add empty parts, so very small sets may have none
+        that are enough; there are then so few parts that all subsets of the empty ones are few too.
+        """
+        for deviations in (6, 5, 4, 3):
+            spare = 3
+            while spare <= least:
+                parts = differ + 1 + spare
+                empty = parts * math.exp(-least / parts)
+                if (enough := math.ceil(empty + deviations * math.sqrt(empty))) <= spare:
+                    return spare
+                spare = enough
+        return 3
+
     def signatures(self, sets: list[np.ndarray], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signatures of each set's parts - on the level of its own size class, and of the next - and whose they are."""
         size = np.array([len(s) for s in sets], np.int64)
