@@ -2,12 +2,14 @@
 
 1. Sets that are equal are one: the smallest id stands for its copies and carries their number.
 2. Which documents can be similar at all is found by dividing each set's shingles, by hash, into a number of parts that depends on
-   the set's size: similar sets differ in fewer shingles than there are parts, so they agree in some whole part. Agreeing
-   documents are joined to families; a family is a superset of what is linked, not yet a result.
+   the set's size: similar sets differ in fewer shingles than there are parts, so they agree in some whole part. A set is
+   divided on the level of its own size class, as a native, and on the next one's, as a guest. What agrees on a level is
+   joined to families of that level; a family is a superset of what is linked, not yet a result.
 3. A family's sets meet once and are cut into blocks of documents. Each pair of blocks is a product of two sparse
    document by n-gram matrices, taken over blocks of columns: overlap counts are accumulated, and pairs that cannot reach
    the overlap that their sizes require are discarded on the way. A task returns a spanning forest of the links it
-   found and each document's number of links, never all pairs.
+   found and each document's number of links, never all pairs. Guests are not compared with each other: they are on
+   their own level.
 4. Links are joined to components.
 """
 
@@ -46,6 +48,16 @@ def shingle_sets(batch_text: pa.Array, n: int) -> Iterator[tuple[K.Words, list[n
         yield part, out
 
 
+def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([int(K.mix(s).sum(dtype=np.uint64)) for s in sets], np.uint64)
+
+
+def nodes_of(told: np.ndarray, level: np.ndarray, guest: np.ndarray) -> np.ndarray:
+    """A set on a level: the same number for all copies, negative for natives, so that these come first."""
+    h = K.mix(told.astype(np.uint64) ^ K.mix(level.astype(np.uint64) + _U(0x2545F4914F6CDD1D))) >> _U(1)
+    return np.where(guest, h, h | _U(1 << 63)).view(np.int64)
+
+
 class Parts:
     """How sets of each size are divided: by size class, the classes' largest sizes, parts, and spare parts among them.
 
@@ -82,14 +94,20 @@ class Parts:
                 spare = enough
         return 3
 
-    def signatures(self, sets: list[np.ndarray], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of each set's parts - on the level of its own size class, and of the next - and whose they are."""
+    def own(self, size: np.ndarray) -> np.ndarray:
+        """The level of each set's own size class."""
+        return np.searchsorted(self.top, size)
+
+    def signatures(self, sets: list[np.ndarray], told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of each set's parts - on the level of its own size class, and of the next - and the sets on those
+        levels that they are of; told: a number for each set."""
         size = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate([np.zeros(0, np.uint64), *sets])
         row = np.repeat(np.arange(len(sets)), size)
         hashes, nodes = [], []
-        own = np.searchsorted(self.top, size)
+        own = self.own(size)
         for level in (own, own + 1):
+            node = nodes_of(told, level, level > own)
             parts = np.where(size > 0, self.count[level], 0)
             begin = np.cumsum(parts) - parts
             use = parts[row] > 0
@@ -118,10 +136,10 @@ def _base(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in shingle_sets(batch.column("text"), n):
-                one = [int(K.mix(s).sum(dtype=np.uint64)) for s in sets]
+                one = set_hashes(sets)
                 two = [int(K.mix(s ^ _U(0x9FB21C651E98DF25)).sum(dtype=np.uint64)) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(part.lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64))],
+                    [batch.column("id").slice(part.lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64))],
                     names=["id", "n", "h1", "h2"],
                 )
 
@@ -130,22 +148,20 @@ def _base(n: int):
 
 def _signatures(parts: Parts, n: int):
     def records(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-        ids = batch.column("id").to_numpy()
-        for part, sets in shingle_sets(batch.column("text"), n):
-            h, node = parts.signatures(sets, ids[part.lo : part.hi])
-            yield [h, node]
+        for _, sets in shingle_sets(batch.column("text"), n):
+            yield [*parts.signatures(sets, set_hashes(sets))]
 
     return records
 
 
-def _stars(h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First record of each hash, and an edge from its smallest node to each other."""
+def _stars(h: np.ndarray, node: np.ndarray, natives: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First record of each hash, and an edge from its smallest node to each other; natives: if that is a native only."""
     order = np.lexsort((node, h))
     h, node = h[order], node[order]
     first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
     begin = np.flatnonzero(first)
     low = np.repeat(node[begin], np.diff(np.append(begin, len(h))))
-    edge = low != node
+    edge = (low != node) & (low < 0) if natives else low != node
     pairs = np.unique(np.stack([low[edge], node[edge]], 1), axis=0) if edge.any() else np.zeros((0, 2), np.int64)
     return np.sort(order[begin]), pairs[:, 0], pairs[:, 1]  # in the sender's order, which packs best
 
@@ -165,42 +181,59 @@ def _settle(number: int):
 def _meet(columns: list[np.ndarray]) -> pa.RecordBatch:
     h, node, known = columns
     asks = known == 0
-    _, a, b = _stars(h[asks], node[asks])
+    _, a, b = _stars(h[asks], node[asks], True)
     pairs = np.unique(np.stack([np.concatenate([a, h[~asks].view(np.int64)]), np.concatenate([b, node[~asks]])], 1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _sets(n: int):
+def _levels(parts: Parts):
+    """Each distinct set on its two levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, told = parts.own(batch.column("n").to_numpy()), batch.column("h1").to_numpy().view(np.uint64)
+            for level in (own, own + 1):
+                cols = [batch.column("rep"), batch.column("weight"), pa.array(level.astype(np.int32)), pa.array(nodes_of(told, level, level > own))]
+                yield pa.RecordBatch.from_arrays(cols, names=["rep", "weight", "level", "node"])
+
+    return run
+
+
+def _sets(parts: Parts, n: int):
     """The shingle sets of a family's documents, one copy for each cell - pair of blocks - that needs them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = [batch.column(c).to_pylist() for c in ("id", "family", "weight", "blocks", "block")]
+            rest = [batch.column(c).to_pylist() for c in ("id", "family", "level", "weight", "blocks", "block")]
             for part, sets in shingle_sets(batch.column("text"), n):
-                rows: list[list] = [[] for _ in range(7)]
+                rows: list[list] = [[] for _ in _CELL_NAMES]
                 size = 0
-                for s, (i, family, weight, blocks, block) in zip(sets, [list(r) for r in zip(*(c[part.lo : part.hi] for c in rest), strict=True)], strict=True):
+                own = parts.own(np.array([len(s) for s in sets])).tolist()
+                for s, at, (i, family, level, weight, blocks, block) in zip(sets, own, [list(r) for r in zip(*(c[part.lo : part.hi] for c in rest), strict=True)], strict=True):
+                    if level - at not in (0, 1):  # another row's set that goes by the same id
+                        continue
                     raw = s.tobytes()
                     for other in range(blocks):
-                        for c, v in zip(rows, (family, min(block, other), max(block, other), i, weight, block, raw), strict=True):
+                        for c, v in zip(rows, (family, min(block, other), max(block, other), i, weight, block, level > at, raw), strict=True):
                             c.append(v)
                         size += len(raw)
                         if size > 16 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _CELL_TYPES, strict=True)], names=_CELL_NAMES)
-                            rows, size = [[] for _ in range(7)], 0
+                            rows, size = [[] for _ in _CELL_NAMES], 0
                 if rows[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _CELL_TYPES, strict=True)], names=_CELL_NAMES)
 
     return run
 
 
-_CELL_NAMES = ["family", "x", "y", "id", "weight", "block", "shingles"]
-_CELL_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-_CELL_SCHEMA = "family long, x int, y int, id long, weight long, block int, shingles binary"
+_CELL_NAMES = ["family", "x", "y", "id", "weight", "block", "guest", "shingles"]
+_CELL_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+_CELL_SCHEMA = "family long, x int, y int, id long, weight long, block int, guest boolean, shingles binary"
 
 
-def links(sets: list[np.ndarray], side: np.ndarray | None, up: int, down: int) -> np.ndarray:
-    """Matrix of the pairs with down * overlap >= up * union; of pairs of the two sides only, if sides are given.
+def links(sets: list[np.ndarray], side: np.ndarray | None, up: int, down: int, guest: np.ndarray | None = None) -> np.ndarray:
+    """Matrix of the pairs with down * overlap >= up * union; of pairs of the two sides only, if sides are given, and not
+    of two guests.
 
     The product of the incidence matrix with itself, a block of columns at a time. A pair is discarded once what it has
     and the most that is left cannot reach the overlap that its sizes require.
@@ -215,6 +248,8 @@ def links(sets: list[np.ndarray], side: np.ndarray | None, up: int, down: int) -
     np.fill_diagonal(alive, False)
     if side is not None:
         alive &= side[:, None] != side[None, :]
+    if guest is not None:
+        alive &= ~(guest[:, None] & guest[None, :])
     # Columns of one document add to no overlap but to what cannot be shared; they go first.
     shared = df[which] > 1
     left = np.bincount(row[shared], minlength=n)
@@ -266,8 +301,8 @@ def _cells(up: int, down: int):
         if len(t) < 2:
             return
         ids, weight, block = (t.column(c).to_numpy() for c in ("id", "weight", "block"))
-        sets = [np.frombuffer(b, np.uint64) for b in t.column("shingles").to_pylist()]
-        linked = links(sets, block if cell[1] != cell[2] else None, up, down)
+        sets, guest = [np.frombuffer(b, np.uint64) for b in t.column("shingles").to_pylist()], np.array(t.column("guest").to_pylist(), bool)
+        linked = links(sets, block if cell[1] != cell[2] else None, up, down, guest)
         many = linked @ weight
         up_to = list(range(len(ids)))
 
@@ -309,14 +344,16 @@ def jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, block: int
     base = cut(rows.mapInArrow(_base(n), "id long, n long, h1 long, h2 long"))
     whole = base.where("id is not null and n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("weight"))
     whole = cut(whole)
-    number = P.buckets(spark)
+    number = P.buckets(spark) // 2
     parts = Parts(Fraction(percent, 100))
     sent = rows.where("id is not null").mapInArrow(P.sender(_signatures(parts, n), _settle(number)), P.SCHEMA)
     family = components(P.exchange(sent, ["u8", "i8", "i1"], _meet, "a long, b long"))
-    members = whole.join(family.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("members")).where("members > 1").drop("members")
-    members = members.join(sizes, "family").select(F.col("rep").alias("id"), "family", "weight", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    cells = rows.join(members.dropDuplicates(["id"]), "id").mapInArrow(_sets(n), _CELL_SCHEMA)
+    members = whole.select("rep", "weight", "n", "h1").mapInArrow(_levels(parts), "rep long, weight long, level int, node long")
+    members = members.join(family.withColumnRenamed("component", "family"), "node")
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("members"), F.count_if(F.col("node") < 0).alias("natives"))
+    sizes = sizes.where("members > 1 and natives > 0").select("family", "blocks")
+    members = members.join(sizes, "family").select(F.col("rep").alias("id"), "family", "level", "weight", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    cells = rows.join(members.dropDuplicates(["id", "family"]), "id").mapInArrow(_sets(parts, n), _CELL_SCHEMA)
     found = cut(cells.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_cells(percent, 100), "a long, b long, links long"))
     count = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     joined = components(found.where("b is not null")).select(F.col("node").alias("rep"), "component")
