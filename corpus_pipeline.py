@@ -16,13 +16,27 @@ from lantern.llm.decontaminate import decontaminate
 from lantern.llm.jaccard import jaccard_join
 from lantern.llm.pieces import encode
 from lantern.llm.queries import tokenizer
-from lantern.llm.shared import table
+from lantern.llm.shared import cut, table
 from lantern.llm.suffixes import suffix_dedup
 from lantern.llm.toxicity import categories, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds key, a 64-bit hash of all columns that tells rows apart whatever their ids; rows equal in all of them share it."""
+    nulls = F.concat(*(F.when(F.col(c).isNull(), "1").otherwise("0") for c in COLUMNS))  # the hash itself skips nulls
+    return docs.select(*COLUMNS, F.xxhash64(nulls, *COLUMNS).alias("key"))
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row of each key. Texts move only if some key is repeated."""
+    again = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    if again.isEmpty():
+        return rows
+    return cut(rows.join(again, "key", "left_anti").unionByName(rows.join(again, "key", "left_semi").dropDuplicates(["key"])))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
     judged = toxicity(docs, table(spark, sf_dir, "labels"), categories(), decide="toxic")
@@ -30,10 +44,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that five-word shingles link at 0.8 or more, the one with the smallest id stays."""
-    groups = jaccard_join(docs, n=5, percent=80)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """Of each group of rows that five-word shingles link at 0.8 or more, the one with the smallest id stays, null ids last.
+
+    Rows are judged one by one, also those that share an id or have none. Texts without words link to nothing and stay.
+    """
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = one_each(keyed(docs.where(worded)))
+    groups = jaccard_join(rows, n=5, percent=80, id_column="key").select("key", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
+    keep = groups.join(rows.select("key", "doc_id"), "key").groupBy("component_id").agg(first).select("first.key")
+    return rows.join(keep, "key", "left_semi").select(*COLUMNS).unionByName(docs.where(~worded).select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +63,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover a twentieth of the words or more go."""
-    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"), width=13, least_share=0.05)
-    bad = judged.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows of which benchmark windows cover a twentieth of the words or more go, whatever their ids."""
+    rows = keyed(docs)
+    judged = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_column="key", width=13, least_share=0.05)
+    bad = judged.where("contaminated").select("key").distinct()
+    return rows.join(bad, "key", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
