@@ -147,7 +147,7 @@ def toxicity(
     p_<decide> reaches the threshold that had the fewest errors out of fold - none is if refusing none had.
 
     categories: names and conditions over the columns of `labels`. Labels that are null in any category are left out,
-    and of an id labelled several times the smallest labels hold. Words are runs of digits, letters (A-Z lower-cased)
+    and of an id labelled several times the smallest labels hold; a labelled id of several rows is learnt from one of them. Words are runs of digits, letters (A-Z lower-cased)
     and non-ASCII characters; null and empty texts have none and get what the models give for no word. Without a
     labelled text of each kind in `decide` nothing can be learnt: probabilities are 0 and nothing is toxic. Repeated
     rows are judged one by one; an empty table gives no rows; other columns are kept, or replaced if named like the new
@@ -159,9 +159,10 @@ def toxicity(
     marked = labels.select(F.col(id_column).alias("id"), said.alias("said")).where(F.col("id").isNotNull() & ~F.exists("said", lambda x: x.isNull()))
     marked = marked.groupBy("id").agg(F.min("said").alias("said")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    # At most `sample` rows of an id and a few numbers: a fixed bound, so they can be sent to all.
+    # At most `sample` rows of an id and a few numbers: a fixed bound, so they can be sent to all. Of an id that several rows
+    # share one row counts, so that no more come back.
     bags = texts.join(F.broadcast(marked), "id").select("id", "said", "text").mapInArrow(_bags, f"id {documents.schema[id_column].dataType.simpleString()}, said array<double>, bag binary")
-    rows = bags.toArrow().sort_by([("id", "ascending"), ("bag", "ascending")]).slice(0, 2 * sample)
+    rows = bags.groupBy("id").agg(F.min("said").alias("said"), F.min("bag").alias("bag")).toArrow().sort_by("id")
     y = np.array(rows.column("said").to_pylist(), float).reshape(-1, len(names))
     target = names.index(decide)
     kept = [c for c in documents.columns if c not in [f"p_{n}" for n in names] + ["is_toxic"]]

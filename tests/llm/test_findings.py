@@ -3,10 +3,10 @@
 import random
 from collections import Counter
 
-import pytest
 from test_llm import prose
 
 import corpus_pipeline
+from lantern.llm import toxicity
 
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,3 +33,12 @@ def test_contaminated_rows_are_judged_by_row(spark, tmp_path):
     rows = [(None, item), (None, clean), (3, item), (3, clean), (4, clean), (4, clean)]
     out = corpus_pipeline.drop_contaminated(spark, corpus(spark, rows), str(tmp_path)).collect()
     assert Counter((r.doc_id, r.text) for r in out) == Counter([(None, clean), (3, clean), (4, clean), (4, clean)])
+
+
+def test_a_labelled_id_of_many_rows_does_not_crowd_out_the_others(spark):
+    r = random.Random(13)
+    texts = [(i, prose(r, 40) + (" idiot moron scum" if i % 3 == 0 else "")) for i in range(1, 121)]
+    rows = texts + [(0, f"plain {i}") for i in range(400)]
+    said = [(0, 1, 0)] + [(i, 1, int(i % 3 == 0)) for i, _ in texts]
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(said, "doc_id long, quality int, toxic int"), toxicity.categories(), "toxic", sample=150)
+    assert {r.doc_id for r in got.where("is_toxic").collect()} == {i for i, _ in texts if i % 3 == 0}
