@@ -129,21 +129,22 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_column: str =
     accepted and of rejected that are told right. If the rules accept or reject no URL there is nothing to compare and
     the verdict is `allow`, with score and threshold null.
 
-    The models read host and path. Null URLs, and those without ://, have an empty host and path, no rule and a score of 0.
+    The models read the whole URL. Null URLs, and those without ://, have an empty host and path and no rule; null and empty
+    ones have a score of 0.
     Repeated rows are judged one by one, and each counts in the models. An empty table gives no rows; other columns
     are not looked at.
     """
     spark = pages.sparkSession
     host, path = parsed(F.col(url_column).cast("string"))
-    rows = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path"), F.coalesce(F.col(url_column).cast("string"), F.lit("")).alias("url"))
     rule, verdict = ruled(rules, F.col("host"), F.col("path"))
-    rows = rows.withColumns({"rule": rule, "said": verdict, "url": F.concat("host", "path")})
+    rows = rows.withColumns({"rule": rule, "said": verdict})
     known = rows.where("said is not null").select("url", (F.col("said") == "allow").alias("good"), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).alias("fold"))
     counted = known.where("fold > 0").select("url", "good").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     key, n = counted.column("key").to_numpy(), counted.column("n").to_numpy().astype(float)
     score, threshold = F.lit(None).cast("double"), None
     kind = pages.schema[id_column].dataType.simpleString()
-    fields = "host string, path string, rule string, said string, url string"
+    fields = "host string, path string, url string, rule string, said string"
     if len(np.unique(key % 2)) == 2:
         chains = spark.sparkContext.broadcast(tuple(Chain(key[key % 2 == g] // 2, n[key % 2 == g]) for g in (1, 0)))
         aside = known.where("fold = 0").mapInArrow(_score(chains), "url string, good boolean, fold long, score double")

@@ -6,7 +6,7 @@ from collections import Counter
 from test_llm import prose
 
 import corpus_pipeline
-from lantern.llm import toxicity
+from lantern.llm import toxicity, urls
 
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -42,3 +42,12 @@ def test_a_labelled_id_of_many_rows_does_not_crowd_out_the_others(spark):
     said = [(0, 1, 0)] + [(i, 1, int(i % 3 == 0)) for i, _ in texts]
     got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(said, "doc_id long, quality int, toxic int"), toxicity.categories(), "toxic", sample=150)
     assert {r.doc_id for r in got.where("is_toxic").collect()} == {i for i, _ in texts if i % 3 == 0}
+
+
+def test_url_models_read_query_and_fragment_and_urls_without_a_scheme(spark):
+    r = random.Random(14)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(10))
+    rows = [(i, f"http://a.com/?q={word('abcde')}") for i in range(300)] + [(1000 + i, f"http://a.net/?q={word('vwxyz')}") for i in range(300)]
+    rows += [(2000, f"http://a.org/?q={word('abcde')}"), (2001, f"http://a.org/?q={word('vwxyz')}"), (2002, f"http://a.org/#{word('abcde')}"), (2003, f"http://a.org/#{word('vwxyz')}"), (2004, word("abcde")), (2005, word("vwxyz"))]
+    got = urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), [("allow", "com/"), ("block", "net/")]).where("page_id >= 2000")
+    assert {r.page_id: r.verdict for r in got.collect()} == {i: "block" if i % 2 else "allow" for i in range(2000, 2006)}
