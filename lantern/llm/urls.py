@@ -1,12 +1,14 @@
 """URL filters: rules first, then the ratio of two character language models.
 
-The models are smoothed Markov chains of variable order over a fixed alphabet: one of accepted, one of rejected URLs. A
-character's probability after its last ORDER characters is mixed with that after one less, and so on, each weighted by how much
-was seen and how varied it was (Witten and Bell). A URL's score is the difference of its log-likelihoods divided by its
-length; the threshold is calibrated on URLs the counts were not taken from.
-
-Counts come from all URLs that a rule decides. They are added up in Spark; the alphabet bounds what comes to the
-driver and goes to the tasks, at ALPHABET ** (ORDER + 1) entries however large the input.
+The models are smoothed Markov chains of variable order over all bytes: one of accepted, one of rejected URLs. A byte's
+probability after its last ORDER bytes is mixed with that after one less, and so on, each weighted by how much was seen
+and how varied it was (Witten and Bell). A URL's score is the difference of its log-likelihoods divided by its length;
+the threshold is calibrated on URLs the counts were not taken from.
+
+Counts come from all URLs that a rule decides. They stay in Spark and grow with the input: strings of ORDER + 1 bytes are
+dealt by the two bytes before the last, so that all counts a probability needs are in one task, but for those of orders
+under LOW, of which there are at most 256 ** LOW and which go to all tasks. The logarithms found there are joined to the
+URLs' places.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import cut
 
-ORDER, BINS, FOLDS = 3, 2000, 5
-# The characters that the models tell apart; all others are one more, as is the start.
-CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789/.-_?=&%:#+~"
-ALPHABET = len(CHARACTERS) + 2
-CODE = np.ones(256, np.int64)
-for _i, _c in enumerate(CHARACTERS):
-    CODE[ord(_c)] = _i + 2
+ORDER, LOW, BINS, FOLDS = 6, 2, 2000, 5
+ALPHABET = 256
+#: Stands before a URL; no UTF-8 text holds this byte.
+START = 255
+#: Strings that a task takes at once, but for those of one context.
+HELD = 1 << 19
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,35 +55,43 @@ def ruled(rules: list[tuple[str, str]], host: Column, path: Column) -> tuple[Col
 
 
 def _grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First and last row, row of each character, and its code with up to ORDER characters before it."""
+    """First and last row, row of each byte, and it with ORDER bytes before it as one number."""
     offsets, whole = K.buffers(column)
     for lo, hi in K.row_chunks(offsets, 1 << 20):
-        data = CODE[K.LOWER[whole[offsets[lo] : offsets[hi]]]]
+        data = K.LOWER[whole[offsets[lo] : offsets[hi]]].astype(np.int64)
         size = np.diff(offsets[lo : hi + 1])
         row = np.repeat(np.arange(hi - lo), size)
         place = K.expand(np.zeros(hi - lo, np.int64), size)
         gram = data.copy()
         for k in range(1, ORDER + 1):
-            before = np.zeros_like(data)
+            before = np.full_like(data, START)
             before[k:] = data[:-k]
-            gram += np.where(place >= k, before, 0) * ALPHABET**k  # 0 stands for the start
+            gram += np.where(place >= k, before, START) * ALPHABET**k
         yield lo, hi, row, gram
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each string stands in accepted and in rejected URLs; those of the others come with zeros."""
+    for batch in batches:
+        good, bad = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("good", "bad"))
+        for lo, _, row, gram in _grams(batch.column("url")):
+            key, which = np.unique(gram, return_inverse=True)
+            counts = [np.bincount(which, c[lo + row], len(key)).astype(np.int64) for c in (good, bad)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, counts)], names=["gram", "good", "bad"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
         for lo, _, row, gram in _grams(batch.column("url")):
-            key, n = np.unique(gram * 2 + good[lo + row], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(lo + row)), pa.array(gram)], names=["key", "gram"])
 
 
 class Chain:
-    """A smoothed variable-order model; all orders come from the counts of the highest."""
+    """A smoothed variable-order model; all orders come from the counts of the highest, or the first LOW from another model."""
 
-    def __init__(self, gram: np.ndarray, n: np.ndarray):
-        self.tables = []
-        for k in range(ORDER + 1):
+    def __init__(self, gram: np.ndarray, n: np.ndarray, low: Chain | None = None):
+        self.tables = [] if low is None else low.tables[:LOW]
+        for k in range(len(self.tables), ORDER + 1):
             key, which = np.unique(gram % ALPHABET ** (k + 1), return_inverse=True)
             count = np.bincount(which, n, len(key)) if len(key) else np.zeros(0)
             context, inner = np.unique(key // ALPHABET, return_inverse=True)
@@ -105,21 +115,52 @@ class Chain:
         return np.log(p)
 
 
-def _score(chains):
+def _chain(gram: np.ndarray, n: np.ndarray, low: Chain | None = None) -> Chain:
+    return Chain(gram[n > 0], n[n > 0].astype(float), low)
+
+
+def _ratios(lows):
+    """The difference of the models' logarithms for each string, from rows sorted by context."""
+
+    def told(t: pa.Table) -> pa.RecordBatch:
+        gram, good, bad = (t.column(c).to_numpy() for c in ("gram", "good", "bad"))
+        ratio = _chain(gram, good, lows.value[0]).logs(gram) - _chain(gram, bad, lows.value[1]).logs(gram)
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ratio)], names=["gram", "ratio"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = chains.value
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            out = np.zeros(len(batch))
-            for lo, hi, row, gram in _grams(batch.column("url")):
-                each, which = np.unique(gram, return_inverse=True)
-                ratio = (good.logs(each) - bad.logs(each))[which]
-                out[lo:hi] = np.bincount(row, ratio, hi - lo) / np.maximum(np.bincount(row, minlength=hi - lo), 1)
-            cols = {n: batch.column(n) for n in batch.schema.names}
-            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(out)], names=[*cols, "score"])
+            held.append(batch)
+            if sum(map(len, held)) >= HELD:
+                t = pa.Table.from_batches(held)
+                context = t.column("context").to_numpy()
+                whole = int(np.searchsorted(context, context[-1]))  # the last context may go on in the next batch
+                if whole:
+                    yield told(t.slice(0, whole))
+                held = t.slice(whole).to_batches()
+        if held and (t := pa.Table.from_batches(held)):
+            yield told(t)
 
     return run
 
 
+def scored(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """(key, score) of every distinct URL of rows with key, url, good and bad - whether it counts for a model -, and
+    whether there is a model of each kind."""
+    spark = rows.sparkSession
+    sums = [F.sum("good").alias("good"), F.sum("bad").alias("bad")]
+    grams = cut(rows.select("url", "good", "bad").mapInArrow(_count, "gram long, good long, bad long").groupBy("gram").agg(*sums))
+    few = grams.where("good > 0 or bad > 0").groupBy((F.col("gram") % ALPHABET**LOW).alias("gram")).agg(*sums).toArrow()
+    gram, good, bad = (few.column(c).to_numpy() for c in ("gram", "good", "bad"))
+    if not good.sum() or not bad.sum():
+        return spark.createDataFrame([], "key long, score double"), False
+    lows = spark.sparkContext.broadcast((_chain(gram, good), _chain(gram, bad)))
+    context = F.shiftright("gram", 8).bitwiseAND(ALPHABET**LOW - 1).cast("int").alias("context")
+    ratios = grams.select("*", context).repartition("context").sortWithinPartitions("context").mapInArrow(_ratios(lows), "gram long, ratio double")
+    places = rows.select("key", "url").distinct().mapInArrow(_places, "key long, gram long")
+    return cut(places.join(ratios, "gram").groupBy("key").agg(F.avg("ratio").alias("score"))), True
+
+
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """id, host, path, rule, verdict, score and threshold of every page.
 
@@ -134,28 +175,25 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_column: str =
     Repeated rows are judged one by one, and each counts in the models. An empty table gives no rows; other columns
     are not looked at.
     """
-    spark = pages.sparkSession
     host, path = parsed(F.col(url_column).cast("string"))
     rows = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path"), F.coalesce(F.col(url_column).cast("string"), F.lit("")).alias("url"))
     rule, verdict = ruled(rules, F.col("host"), F.col("path"))
     rows = rows.withColumns({"rule": rule, "said": verdict})
-    known = rows.where("said is not null").select("url", (F.col("said") == "allow").alias("good"), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).alias("fold"))
-    counted = known.where("fold > 0").select("url", "good").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    key, n = counted.column("key").to_numpy(), counted.column("n").to_numpy().astype(float)
+    rows = rows.withColumn("key", F.xxhash64("url"))
+    aside, allowed = F.pmod("key", F.lit(FOLDS)) == 0, F.col("said") == "allow"
+    counts = F.col("said").isNotNull() & ~aside
+    scores, both = scored(rows.select("key", "url", F.coalesce(counts & allowed, F.lit(False)).alias("good"), F.coalesce(counts & ~allowed, F.lit(False)).alias("bad")).withColumns({c: F.col(c).cast("long") for c in ("good", "bad")}))
     score, threshold = F.lit(None).cast("double"), None
-    kind = pages.schema[id_column].dataType.simpleString()
-    fields = "host string, path string, url string, rule string, said string"
-    if len(np.unique(key % 2)) == 2:
-        chains = spark.sparkContext.broadcast(tuple(Chain(key[key % 2 == g] // 2, n[key % 2 == g]) for g in (1, 0)))
-        aside = known.where("fold = 0").mapInArrow(_score(chains), "url string, good boolean, fold long, score double")
+    if both:
+        rows = rows.join(scores, "key", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        known = rows.where(aside & F.col("said").isNotNull()).select(allowed.alias("good"), "score")
         # Scores are logarithms of ratios; bins of equal width between -5 and 5 hold them all but for the ends.
-        bins = aside.groupBy(F.floor((F.greatest(F.least("score", F.lit(4.9999)), F.lit(-5.0)) + 5) * (BINS / 10)).cast("int").alias("bin")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).toArrow()
+        bins = known.groupBy(F.floor((F.greatest(F.least("score", F.lit(4.9999)), F.lit(-5.0)) + 5) * (BINS / 10)).cast("int").alias("bin")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).toArrow()
         good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
         good[bins.column("bin").to_numpy()], bad[bins.column("bin").to_numpy()] = bins.column("good").to_numpy(), bins.column("bad").to_numpy()
         right = good[::-1].cumsum()[::-1] / max(good.sum(), 1) + (bad.cumsum() - bad) / max(bad.sum(), 1)
         best = np.flatnonzero(right >= right.max() - 1e-12)
         threshold = float(best[len(best) // 2] / (BINS / 10) - 5)
-        rows = rows.mapInArrow(_score(chains), f"id {kind}, {fields}, score double")
         score = F.col("score")
     told = F.when(F.col("said").isNotNull(), F.col("said"))
     told = told.otherwise("allow") if threshold is None else told.when(F.col("score") >= threshold, "allow").otherwise("block")

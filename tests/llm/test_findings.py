@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from test_llm import prose
 
 import corpus_pipeline
@@ -51,3 +53,30 @@ def test_url_models_read_query_and_fragment_and_urls_without_a_scheme(spark):
     rows += [(2000, f"http://a.org/?q={word('abcde')}"), (2001, f"http://a.org/?q={word('vwxyz')}"), (2002, f"http://a.org/#{word('abcde')}"), (2003, f"http://a.org/#{word('vwxyz')}"), (2004, word("abcde")), (2005, word("vwxyz"))]
     got = urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), [("allow", "com/"), ("block", "net/")]).where("page_id >= 2000")
     assert {r.page_id: r.verdict for r in got.collect()} == {i: "block" if i % 2 else "allow" for i in range(2000, 2006)}
+
+
+def test_url_models_tell_letters_and_long_contexts_apart(spark):
+    """Letters outside ASCII, and words that only differ in what stands more than three characters before."""
+    r = random.Random(15)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(8))
+    rows = [(i, f"http://a.com/{word('абвгд')}") for i in range(300)] + [(1000 + i, f"http://a.net/{word('жзийк')}") for i in range(300)]
+    rows += [(2000 + i, f"http://a.org/{word('жзийк' if i % 2 else 'абвгд')}") for i in range(20)]
+    got = urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), [("allow", "com/"), ("block", "net/")])
+    assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got.where("page_id >= 2000").collect())
+    said = [("com", "a" + "xyz" + "m", "b" + "xyz" + "n"), ("net", "a" + "xyz" + "n", "b" + "xyz" + "m")]
+    rows = [(i, f"http://{i}.{end}/{two[i % 2]}") for end, *two in said for i in range(300)] + [(9000 + i, f"http://q.org/{w}") for i, w in enumerate(["axyzm", "axyzn", "bxyzn", "bxyzm"])]
+    got = urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), [("allow", "com/"), ("block", "net/")])
+    score = {r.page_id: r.score for r in got.where("page_id >= 9000").collect()}
+    assert min(score[9000], score[9002]) > max(score[9001], score[9003])
+
+
+def test_dealt_url_scores_are_those_of_one_model(spark, monkeypatch):
+    r = random.Random(16)
+    monkeypatch.setattr(urls, "HELD", 50)
+    texts = ["".join(r.choice("ab/é") for _ in range(r.randint(1, 30))) for _ in range(120)]
+    rows = [(i, t, int(i % 3 == 0), int(i % 3 == 1)) for i, t in enumerate(texts)]
+    found, both = urls.scored(spark.createDataFrame(rows, "key long, url string, good long, bad long"))
+    grams = lambda some: np.concatenate([g for _, _, _, g in urls._grams(pa.array(some))])
+    good, bad = (urls.Chain(*[x.astype(t) for x, t in zip(np.unique(grams([t for i, t in enumerate(texts) if i % 3 == k]), return_counts=True), (int, float))]) for k in (0, 1))
+    got = {r.key: r.score for r in found.collect()}
+    assert both and all(abs(got[i] - (good.logs(g := grams([t])) - bad.logs(g)).mean()) < 1e-9 for i, t in enumerate(texts))
