@@ -54,8 +54,8 @@ UNION ALL SELECT query_id, vec_id, 'glossary', row_number() OVER (PARTITION BY q
 def _scored(spark, sf_dir) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     # One row a subject, of which there are few.
-    q = F.broadcast(e.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("v")))
-    return e.join(q, F.col("label") == F.col("query_id")).select("query_id", "vec_id", "label", F.round(V.cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
+    q = F.broadcast(e.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("v"), F.min("vec_id").alias("self")))
+    return e.join(q, F.col("label") == F.col("query_id")).select("query_id", "self", "vec_id", "label", F.round(V.cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
 
 
 def _lists(spark, sf_dir, k: int) -> DataFrame:
@@ -82,7 +82,7 @@ LEVEL = "CASE WHEN margin >= {high} AND best >= {floor} THEN 'high' WHEN margin
 
 
 def _ranked(spark, sf_dir, k: int) -> DataFrame:
-    s = _scored(spark, sf_dir).where("score < 0.999999")
+    s = _scored(spark, sf_dir).where("vec_id <> self")  # copies of the question's vector stay
     return R.top(s, k, "score", "vec_id", ["query_id"])
 
 
@@ -103,7 +103,7 @@ SELECT query_id, first_level, second_level, adopted, CASE WHEN adopted THEN seco
 def cascade_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     q = F.broadcast(e.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("v")))
-    others = e.join(q, F.col("label") != F.col("query_id")).select("query_id", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("v")), 6).alias("score")).where("score < 0.999999")
+    others = e.join(q, F.col("label") != F.col("query_id")).select("query_id", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
     return R.cascade(R.confidence(_ranked(spark, sf_dir, 6), floor=0.3), R.confidence(R.top(others, 6, "score", "vec_id", ["query_id"]), floor=0.3))
 
 
