@@ -1,6 +1,8 @@
 """License scans: sparse TF-IDF cosines to license templates, then inheritance from the nearest ancestor directory.
 
-Every line of a file is a possible header; a licence file is compared as a whole too. Terms are weighted by how many
+A file's text is cut at line ends and sentence ends; every run of such pieces is a possible header, so headers may be
+wrapped, commented or inside a paragraph. A licence file is compared as a whole too, also with full licence texts. Only
+runs that hold a signal are compared: a term of a set that each template is too unlike a text without. Terms are weighted by how many
 files of the corpus hold them, counted over all files. A file without a match of its own takes the licence of the
 nearest directory above it that has a licence file; that is found by joins of paths, over the distinct directories only.
 """
@@ -8,6 +10,7 @@ nearest directory above it that has a licence file; that is found by joins of pa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,17 @@ TEMPLATES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
 ]
+#: Whole licences, which licence files are compared with.
+FULL = [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+#: Terms of windows that are compared at once.
+HELD = 4 << 20
+_ENDS, _BLANK = (np.isin(np.arange(256), list(x)) for x in (b".;:!?", b" \t\r\n\v\f"))
 
 
 def _terms(texts: list[str]) -> list[np.ndarray]:
@@ -42,9 +55,11 @@ def _terms(texts: list[str]) -> list[np.ndarray]:
 class Templates:
     """Weighted template vectors over the templates' own vocabulary; other terms only lengthen a text's vector."""
 
-    def __init__(self, templates: list[tuple[str, str]]):
-        self.names = [n for n, _ in templates]
-        self.bags = _terms([t for _, t in templates])
+    def __init__(self, templates: list[tuple[str, str]], full: list[tuple[str, str]], least: float):
+        self.names = [n for n, _ in templates + full]
+        self.bags = _terms([t for _, t in templates + full])
+        self.headers, self.least = len(templates), least
+        self.longest = 2 * max(map(len, self.bags[: self.headers]), default=0)
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.bags]))
 
     def weigh(self, df: np.ndarray, files: int) -> None:
@@ -55,20 +70,26 @@ class Templates:
             term, n = np.unique(np.searchsorted(self.vocabulary, bag), return_counts=True)
             self.matrix[term, i] = n * self.idf[term]
         self.matrix /= np.maximum(np.sqrt((self.matrix**2).sum(axis=0)), 1e-12)
+        # A text without a header's rarest terms has a cosine of at most the root of what its other terms weigh, squared.
+        self.signal = np.zeros(len(self.vocabulary), bool)
+        for i in range(self.headers):
+            order = np.argsort(self.idf, kind="stable")
+            rest = np.cumsum(self.matrix[order, i] ** 2)
+            self.signal[order[(rest >= self.least**2 - 1e-9) & (self.matrix[order, i] > 0)]] = True
 
     def number(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == h, at, -1)
 
-    def cosines(self, unit: np.ndarray, term: np.ndarray, units: int) -> np.ndarray:
-        """Best template and cosine of each unit - line or file - given as (unit, term) pairs."""
+    def cosines(self, unit: np.ndarray, term: np.ndarray, units: int, columns: int) -> np.ndarray:
+        """Cosines of each unit - window or file - given as (unit, term) pairs, with the first templates."""
         v = len(self.vocabulary)
         known = term >= 0
         key, n = np.unique(unit[known] * v + term[known], return_counts=True)
         u, t = key // v, key % v
         w = n * self.idf[t]
         length = np.bincount(u, w * w, units) + np.bincount(unit[~known], minlength=units) * self.other**2
-        dots = np.stack([np.bincount(u, w * self.matrix[t, i], units) for i in range(len(self.bags))], 1)
+        dots = np.stack([np.bincount(u, w * self.matrix[t, i], units) for i in range(columns)], 1) if columns else np.zeros((units, 0))
         return dots / np.sqrt(np.maximum(length, 1e-12))[:, None]
 
 
@@ -87,6 +108,26 @@ def _frequencies(templates: Templates):
     return run
 
 
+def _windows(piece: np.ndarray, row: np.ndarray, signal: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word of every run of pieces of one row that holds a signal, of `longest` words at most if it has
+    several pieces. piece, row: of each word, ascending; signal: of each word."""
+    begin = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) if len(piece) else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(piece))[: len(begin)]
+    here = np.concatenate([[0], np.cumsum(signal)])
+    first, last = begin, np.arange(len(begin))
+    out = []
+    while len(first):
+        hit = here[end[last]] > here[first]
+        out.append((first[hit], end[last[hit]]))
+        more = last + 1 < len(begin)
+        first, last = first[more], last[more] + 1
+        go = (row[begin[last]] == row[first]) & (end[last] - first <= longest) & (here[np.minimum(first + longest, len(signal))] > here[first])
+        first, last = first[go], last[go]
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order]
+
+
 def _match(templates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book: Templates = templates.value
@@ -96,24 +137,32 @@ def _match(templates):
             for part in K.words(batch.column("text"), K.ALNUM, True, 2 << 20):
                 n = part.hi - part.lo
                 term, row = book.number(part.hash), part.rows()
-                line = np.searchsorted(np.flatnonzero(part.data == 10), part.start) + row  # texts end lines too
-                known = term >= 0
-                each, unit = np.unique(line, return_inverse=True)
-                use = np.bincount(unit, known, len(each)) > 0
-                keep = use[unit]
-                place = (np.cumsum(use) - 1)[unit[keep]]
-                units = int(use.sum())
-                of = np.full(units, 0)
-                of[place] = row[keep]
                 best, which = np.zeros(n), np.full(n, len(names) - 1)
-                for owner, cosine in ((of, book.cosines(place, term[keep], units) if units else np.zeros((0, len(book.bags)))), (np.arange(n), book.cosines(row, term, n) * whole[part.lo : part.hi, None])):
-                    top, who = cosine.max(axis=1, initial=0), cosine.argmax(axis=1) if len(cosine) else np.zeros(0, np.int64)
+
+                def better(owner: np.ndarray, cosine: np.ndarray, best=best, which=which) -> None:
+                    if not cosine.size:
+                        return
+                    top, who = cosine.max(axis=1), cosine.argmax(axis=1)
                     order = np.lexsort((who, -top, owner))  # of equal cosines the first template counts
                     owner, top, who = owner[order], top[order], who[order]
-                    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+                    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                     o, t, w = owner[first], top[first], who[first]
-                    better = t > best[o]
-                    best[o[better]], which[o[better]] = t[better], w[better]
+                    up = (t > best[o]) | ((t == best[o]) & (w < which[o]))
+                    best[o[up]], which[o[up]] = t[up], w[up]
+
+                data = part.data
+                ends = data == 10
+                ends[:-1] |= _ENDS[data[:-1]] & _BLANK[data[1:]]
+                piece = np.searchsorted(np.flatnonzero(ends), part.start) + row  # texts end pieces too
+                a, b = _windows(piece, row, (term >= 0) & book.signal[term] if len(book.signal) else term > 0, book.longest)
+                group = np.cumsum(b - a) // HELD
+                edges = np.searchsorted(group, np.arange(int(group[-1]) + 2)) if len(a) else []
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    size = (b - a)[lo:hi]
+                    better(row[a[lo:hi]], book.cosines(np.repeat(np.arange(hi - lo), size), term[K.expand(a[lo:hi], size)], int(hi - lo), book.headers))
+                files = np.flatnonzero(whole[part.lo : part.hi])
+                of = np.isin(row, files)
+                better(files, book.cosines(np.searchsorted(files, row[of]), term[of], len(files), len(book.bags)))
                 cols = [batch.column(c).slice(part.lo, n) for c in ("id", "path", "whole")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(names[which], pa.string()), pa.array(best)], names=["id", "path", "whole", "license", "cosine"])
 
@@ -131,8 +180,8 @@ def license_scan(
 ) -> DataFrame:
     """id, path, license, cosine, how (`own`, `inherited` or null) and license_dir of every file.
 
-    license is the template's name with the best cosine over the file's lines - for a licence file over its whole text
-    too - if that is at least `least`. Otherwise it is that of the nearest directory above the file with a licence file
+    license is the template's name with the best cosine over runs of the file's lines and sentences - for a licence file
+    over its whole text too, which is also compared with full licence texts unless templates are given - if that is at least `least`. Otherwise it is that of the nearest directory above the file with a licence file
     that has one; a directory with several takes the best cosine's, ties the smallest name's. license_dir is the
     directory it comes from. Without any, license, cosine, how and license_dir are null.
 
@@ -141,7 +190,7 @@ def license_scan(
     columns are not looked at.
     """
     spark = files.sparkSession
-    book = Templates(TEMPLATES if templates is None else templates)
+    book = Templates(TEMPLATES if templates is None else templates, FULL if templates is None else [], least)
     kind = files.schema[id_column].dataType.simpleString()
     path = F.coalesce(F.col(path_column), F.lit(""))
     rows = files.select(F.col(id_column).alias("id"), path.alias("path"), F.coalesce(is_license_file, F.lit(False)).alias("whole"), F.col(text_column).cast("string").alias("text"))

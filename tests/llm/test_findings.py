@@ -5,10 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from test_llm import prose
 
 import corpus_pipeline
-from lantern.llm import toxicity, urls
+from lantern.llm import licenses, toxicity, urls
 
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,3 +81,17 @@ def test_dealt_url_scores_are_those_of_one_model(spark, monkeypatch):
     good, bad = (urls.Chain(*[x.astype(t) for x, t in zip(np.unique(grams([t for i, t in enumerate(texts) if i % 3 == k]), return_counts=True), (int, float))]) for k in (0, 1))
     got = {r.key: r.score for r in found.collect()}
     assert both and all(abs(got[i] - (good.logs(g := grams([t])) - bad.logs(g)).mean()) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_wrapped_headers_and_whole_licence_files(spark):
+    r = random.Random(17)
+    mit, gpl, apache = (dict(licenses.FULL)[n] for n in ("MIT", "GPL-3.0", "Apache-2.0"))
+    bsd = "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n */\nint x;"
+    gpl2 = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\nimport x"
+    inside = f"{prose(r, 20)}. Licensed under the Apache License, Version 2.0. {prose(r, 20)}"
+    rows = [(1, "m/LICENSE", mit.replace("<year> <copyright holders>", "2020 Someone")), (2, "m/a.txt", "x"), (3, "g/LICENSE", gpl), (4, "p/LICENSE", apache), (5, "q/a.c", bsd), (6, "q/b.py", gpl2), (7, "q/c.txt", inside)]
+    rows += [(100 + i, f"z/{i}.txt", prose(r, 100)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.how) for r in licenses.license_scan(df, F.col("path").rlike("LICENSE$")).collect()}
+    assert [got[i] for i in range(1, 8)] == [("MIT", "own"), ("MIT", "inherited"), ("GPL-3.0", "own"), ("Apache-2.0", "own"), ("BSD-3-Clause", "own"), ("GPL-2.0", "own"), ("Apache-2.0", "own")]
+    assert all(got[i] == (None, None) for i in got if i >= 100)
