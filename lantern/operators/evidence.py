@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lantern.functions import text as X
+from lantern.session import cut
 
 # Sizes of a premise window, usual and widened, in characters.
 WINDOW, WIDE = 400, 600
@@ -151,14 +152,13 @@ def gold_status(gold: DataFrame, chunks: DataFrame, key: list[str], hash_column:
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
-    """Rows numbered from 0 in order, without gathering them: ranges are numbered on their own and moved by their offset."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"__part": F.shiftright("__at", 33), "__in": F.col("__at").bitwiseAND((1 << 33) - 1)})
-    if (folder := spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.getCheckpointDir():
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
-        ranged = ranged.checkpoint()
+    """Rows numbered from 0 in order, without gathering them: ranges are numbered on their own and moved by their offset.
+
+    The ranges are written first: if they were cut twice they could be cut differently.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = cut(ranged.withColumns({"__part": F.shiftright("__at", 33), "__in": F.col("__at").bitwiseAND((1 << 33) - 1)}))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("c"))
     first = counts.select("__part", (F.sum("c").over(Window.orderBy("__part")) - F.col("c")).alias("f"))  # a row a partition
     return ranged.join(F.broadcast(first), "__part").withColumn(name, F.col("f") + F.col("__in")).drop("__part", "__in", "__at", "f")
@@ -167,11 +167,12 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
 def negative_pairs(rows: DataFrame, id_column: str, document: str, linked: DataFrame | None = None, stride: int = 7, reach: int = 16) -> DataFrame:
     """For row i of n in id order: the first row from place (i * stride) mod n on that is of another document and not linked.
 
-    Looks `reach` places ahead, then as far again, until every row has a partner or all places have been tried.
+    Looks `reach` places ahead, then as far again, until every row has a partner or all places have been tried. Rows that
+    nothing fits, and empty tables, give no pair.
     """
-    base = numbered(rows.select(F.col(id_column).alias("a"), F.col(document).alias("d")), ["a"], "i").cache()
+    base = cut(numbered(rows.select(F.col(id_column).alias("a"), F.col(document).alias("d")), ["a"], "i"))
     n = base.count()
-    done, start = None, 0
+    done, start = base.select("a", F.col("a").alias("b")).limit(0), 0
     waiting = base
     while start < n:
         ahead = F.explode(F.sequence(F.lit(start), F.lit(min(start + reach, n) - 1)))
@@ -180,9 +181,9 @@ def negative_pairs(rows: DataFrame, id_column: str, document: str, linked: DataF
         if linked is not None:
             pairs = linked.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
             found = found.join(pairs, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-        best = found.groupBy("a").agg(F.min_by("b", "k").alias("b"))
-        done = best if done is None else done.unionByName(best)
-        waiting = waiting.join(best.select("a"), "a", "left_anti")
+        best = cut(found.groupBy("a").agg(F.min_by("b", "k").alias("b")))
+        done = done.unionByName(best)
+        waiting = cut(waiting.join(best.select("a"), "a", "left_anti"))
         if waiting.isEmpty():
             break
         start, reach = start + reach, reach * 2

@@ -29,10 +29,28 @@ def border_lines(c: Column) -> Column:
     return F.array_distinct(F.concat(F.slice(lines, 1, 2), F.slice(F.reverse(lines), 1, 2)))
 
 
-def document_gate(chunks: DataFrame, document: str, reason: str, share: float = 0.6, least: int = 5) -> DataFrame:
-    """Why a document is refused: all its chunks are, or over `share` of `least` or more."""
-    n = chunks.groupBy(document).agg(F.count("*").alias("n"), F.count(reason).alias("n_refused"))
-    why = F.when(F.col("n") == F.col("n_refused"), "all refused").when((F.col("n") >= least) & (F.col("n_refused") > share * F.col("n")), "most refused")
+def document_gate(chunks: DataFrame, document: str, reason: Column, text: str = "text", kind: str = "kind", share: float = 0.6, least: int = 5, least_words: int = 60) -> DataFrame:
+    """Why a document is refused, or null: all its chunks are; or - with enough words besides code - it hardly has
+    punctuation, or over `share` of `least` or more chunks are refused. A document of code only is taken.
+
+    Words and marks are summed over the chunks, so a document is never put together again.
+    """
+    prose = F.coalesce(F.col(kind) != "codigo", F.lit(True))
+    n = chunks.select(document, reason.alias("__why"), prose.alias("__prose"), F.size(X.words(F.col(text))).alias("__words"), X.sentence_marks(F.col(text)).alias("__marks"))
+    n = n.groupBy(document).agg(
+        F.count("*").alias("n"),
+        F.count("__why").alias("n_refused"),
+        F.count_if("__prose").alias("n_prose"),
+        F.coalesce(F.sum(F.when(F.col("__prose"), F.col("__words"))), F.lit(0)).alias("n_words"),
+        F.coalesce(F.sum(F.when(F.col("__prose"), F.col("__marks"))), F.lit(0)).alias("n_marks"),
+    )
+    long = F.col("n_words") >= least_words
+    why = (
+        F.when(F.col("n_prose") == 0, F.lit(None))
+        .when(F.col("n") == F.col("n_refused"), "all refused")
+        .when(long & (F.col("n_marks") < X.LEAST_PUNCTUATION * F.col("n_words")), "no prose")
+        .when(long & (F.col("n") >= least) & (F.col("n_refused") > share * F.col("n")), "most refused")
+    )
     return n.withColumn("refused", why)
 
 
@@ -47,65 +65,65 @@ def choose_source(df: DataFrame, key: str, kind: str, order: tuple[str, ...] = (
     return df.withColumn("chosen", F.row_number().over(Window.partitionBy(key).orderBy(place, "path")) == 1)
 
 
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+
+
 def _tokens(text: str) -> int:
     """Rough token count: words and signs."""
-    return len(re.findall(r"\w+|[^\w\s]", text))
+    return len(_TOKEN.findall(text))
 
 
-def _pieces(text: str, budget: int) -> Iterator[str]:
-    """Paragraphs, or sentences of longer ones, or runs of words of longer ones."""
+def _pieces(text: str, budget: int) -> Iterator[tuple[str, int]]:
+    """Paragraphs, or sentences of longer ones, or runs of words of longer ones, with their tokens; each token of the text
+    is counted once a level. A single word over the budget is a piece of its own."""
     for paragraph in re.split(r"\n\s*\n", text):
-        if _tokens(paragraph) <= budget:
-            yield paragraph
+        if (n := _tokens(paragraph)) <= budget:
+            yield paragraph, n
             continue
         for sentence in re.split(r"(?<=[.!?])\s+|\n", paragraph):
-            if _tokens(sentence) <= budget:
-                yield sentence
+            if (n := _tokens(sentence)) <= budget:
+                yield sentence, n
                 continue
             held, n = [], 0
             for word in sentence.split():
                 k = _tokens(word)
                 if n + k > budget and held:
-                    yield " ".join(held)
+                    yield " ".join(held), n
                     held, n = [], 0
-                if k <= budget:
-                    held.append(word)
-                    n += k
+                held.append(word)
+                n += k
             if held:
-                yield " ".join(held)
+                yield " ".join(held), n
+
+
+def _tail(pieces: list[str], room: int) -> tuple[str, int]:
+    """The last words of the pieces that `room` tokens hold, and their number."""
+    kept, n = [], 0
+    for piece in reversed(pieces):
+        for word in reversed(piece.split()):
+            if n + (k := _tokens(word)) > room:
+                return " ".join(reversed(kept)), n
+            kept.append(word)
+            n += k
+    return " ".join(reversed(kept)), n
 
 
 def split(text: str, budget: int = BUDGET, overlap: int = OVERLAP) -> list[tuple[int, str, str, int, int, str]]:
     """Chunks of a text: headings part it, pieces are packed up to the budget, which the tail of the chunk before - up to
-    `overlap` tokens - is part of. A new heading begins without a tail."""
+    `overlap` tokens - is part of. A new heading begins without a tail. No word is dropped; one word over the budget is a chunk."""
     out: list[tuple[int, str, str, int, int, str]] = []
     sections = re.split(r"(?m)^(#{1,6} .*)$", text)
     for heading, body in zip(["", *(s.lstrip("# ").strip() for s in sections[1::2])], sections[::2], strict=True):
-        held: list[str] = []
-        tail = ""
-
-        def close(held=held, heading=heading) -> str:
-            nonlocal tail
-            body = "\n".join(held)
-            whole = f"{tail}\n{body}" if tail else body
-            out.append((len(out), "prose", heading, _tokens(whole), _tokens(tail), whole))
-            words = body.split()
-            keep: list[str] = []
-            n = 0
-            while words and n + _tokens(words[-1]) <= overlap:
-                n += _tokens(words[-1])
-                keep.insert(0, words.pop())
-            held.clear()
-            return " ".join(keep)
-
-        for piece in _pieces(body, budget - overlap):
-            if not piece.strip():
-                continue
-            if held and _tokens(tail) + sum(map(_tokens, held)) + _tokens(piece) > budget:
-                tail = close()
-            held.append(piece.strip())
-        if held:
-            close()
+        held, n, tail, n_tail = [], 0, "", 0
+        for piece, k in [*_pieces(body, budget - overlap), ("", -1)]:
+            if held and (k < 0 or n_tail + n + k > budget):
+                own = "\n".join(held)
+                out.append((len(out), "prose", heading, n_tail + n, n_tail, f"{tail}\n{own}" if tail else own))
+                tail, n_tail = _tail(held, overlap)
+                held, n = [], 0
+            if k > 0:
+                held.append(piece.strip())
+                n += k
     return out
 
 

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import batched
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lantern.functions import text as X
 from lantern.functions import vectors as V
@@ -38,6 +45,61 @@ def by_vector(chunks: DataFrame, vector: list[float], k: int, id_column: str = "
     return top(scored.drop(vector_column), k, "score", id_column)
 
 
+#: Queries that are sent to all tasks at once; more take a pass each over the chunks.
+QUERIES = 4096
+
+
+def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int, id_column: str, vector_column: str = "embedding", subject: str = "subject_id", same: bool | None = None) -> DataFrame:
+    """query_id, id, subject, score and rank of each query's k nearest chunks by cosine, rounded so that equal scores tie.
+
+    queries: query_id, v and subject. same: of the query's own subject only, of the others only, or of all. Blocks of
+    queries go to all tasks; each keeps the k best of its rows for each query, so only these are shuffled. A query that
+    nothing fits has no row; vectors that are null or of another length than the block's first take no part.
+    """
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in (id_column, subject)}
+    rows = chunks.where(F.col(vector_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(subject).alias("subject"), F.col(vector_column).cast("array<double>").alias("v"))
+
+    def scan(block: list):
+        names, own = pa.array([r[0] for r in block], kind), np.array([r[2] for r in block])
+        q = np.array([r[1] for r in block], float)
+        q /= np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[pa.Table] = []
+            for batch in batches:
+                fits = np.flatnonzero(batch.column("v").value_lengths().to_numpy() == q.shape[1])
+                if not len(fits):
+                    continue
+                batch = batch.take(pa.array(fits))
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+                ids, theirs = batch.column("id").to_numpy(), batch.column("subject").to_numpy(zero_copy_only=False)
+                s = np.round(q @ (v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)).T, 6)
+                if same is not None:
+                    s[(own[:, None] == theirs[None, :]) != same] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                row = np.repeat(np.arange(len(q)), order.shape[1])
+                t = pa.table({"q": row, "id": ids[order.ravel()], "subject": theirs[order.ravel()], "score": s[row, order.ravel()]})
+                best.append(t.filter(pa.compute.is_finite(t.column("score"))))
+            t = pa.concat_tables(best) if best else None
+            if t is not None and len(t):
+                t = t.sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
+                number = t.column("q").to_numpy()
+                place = np.arange(len(t)) - np.searchsorted(number, number)
+                t = t.filter(pa.array(place < k))
+                yield pa.RecordBatch.from_arrays([names.take(t.column("q").combine_chunks()), *(t.column(c).combine_chunks() for c in ("id", "subject", "score"))], names=["query_id", "id", "subject", "score"])
+
+        return run
+
+    out = None
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kinds[id_column]}, subject {kinds[subject]}, score double"
+    for block in batched(queries.select("query_id", "v", "subject").orderBy("query_id").toLocalIterator(), QUERIES):
+        part = rows.mapInArrow(scan(list(block)), schema)
+        out = part if out is None else out.unionByName(part)
+    out = chunks.sparkSession.createDataFrame([], schema) if out is None else out
+    return top(out, k, "score", "id", ["query_id"]).withColumnsRenamed({"id": id_column, "subject": subject})
+
+
 def postings(chunks: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Inverted index: term, id, tf and the text's number of terms. Stop words and short words are left out."""
     terms = F.filter(F.regexp_extract_all(F.lower(text_column), F.lit(r"([\p{L}0-9]+)"), 1), lambda w: (F.length(w) > 2) & ~w.isin(X.EMPTY_WORDS))
@@ -101,3 +163,49 @@ def rerank(ranked: DataFrame, score: str, query: str = "query_id") -> DataFrame:
     """Order by an outside scorer's column; equal scores keep their order, the score is replaced."""
     w = Window.partitionBy(query).orderBy(F.desc(score), "rank")
     return ranked.withColumn("new_rank", F.row_number().over(w)).drop("rank", "score").withColumnsRenamed({"new_rank": "rank", score: "score"})
+
+
+def context(ranked: DataFrame, query: str = "query_id", id_column: str = "chunk_id", unit: str = "unit", text: str = "text") -> DataFrame:
+    """One text a query: its chunks in order of rank, each under its real id, so that what is cited can be opened."""
+    part = F.concat(F.lit("[fragmento_id=F"), F.col(id_column), F.lit("] ("), F.coalesce(unit, F.lit("sin unidad")), F.lit(")\n"), F.col(text))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))), lambda x: x["p"])
+    return ranked.groupBy(query).agg(F.array_join(parts, "\n\n---\n\n").alias("context"), F.count("*").alias("n_chunks"))
+
+
+def retrieve(
+    chunks: DataFrame,
+    index: DataFrame,
+    subjects: int | list[int],
+    question: str,
+    vector: list[float] | None = None,
+    glossary: DataFrame | None = None,
+    k: int = CONTEXT,
+    pool: int = POOL,
+    weights: dict[str, float] = WEIGHTS,
+    id_column: str = "chunk_id",
+    subject: str = "subject_id",
+) -> DataFrame:
+    """The k best chunks of the subjects for a question: words, vector if there is one, glossary if asked for, fused by rank.
+
+    Columns are chunk_id, score, origins and rank. Without a vector or glossary the others count alone.
+    """
+    from lantern.operators import lexical
+
+    own = in_subjects(chunks, subjects, subject)
+    lists = [("lexical", lexical.search(in_subjects(index, subjects, subject), question, pool, id_column))]
+    if vector is not None:
+        lists.append(("vector", by_vector(own.select(id_column, "embedding"), vector, pool, id_column)))
+    if glossary is not None:
+        named = by_glossary(in_subjects(glossary, subjects, subject), question, pool)
+        lists.append(("glossary", named.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("long"), "term", "chunk_id")))))  # `pool` rows
+    out = None
+    for name, df in lists:
+        part = df.select(F.lit(0).alias("query_id"), F.lit(name).alias("list"), F.col(id_column).alias("chunk_id"), "rank")
+        out = part if out is None else out.unionByName(part)
+    return fuse(out, k, weights).drop("query_id")
+
+
+def confidence_of(found: DataFrame, questions: DataFrame, query: str = "query_id") -> DataFrame:
+    """Confidence of every question: one that found nothing is low, with a margin of 0."""
+    rows = questions.select(query).distinct().join(found, query, "left")
+    return rows.select(query, "best", F.coalesce("margin", F.lit(0.0)).alias("margin"), F.coalesce("level", F.lit("low")).alias("level"))

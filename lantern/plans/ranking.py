@@ -86,14 +86,14 @@ def _ranked(spark, sf_dir, k: int) -> DataFrame:
     return R.top(s, k, "score", "vec_id", ["query_id"])
 
 
-@query(RANKED.replace("WHERE vec_id <> self", "WHERE round(" + cos("embedding", "v") + ", 6) < 0.999999") + f""", c AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS best, arg_max(score, rank) AS last FROM r WHERE rank <= 6 GROUP BY 1),
+@query(RANKED + f""", c AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS best, arg_max(score, rank) AS last FROM r WHERE rank <= 6 GROUP BY 1),
 m AS (SELECT query_id, best, round(best - last, 6) AS margin FROM c) SELECT query_id, best, margin, {LEVEL.format(high=0.085, medium=0.025, floor=0.3)} AS level FROM m""")
 def retrieval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.confidence(_ranked(spark, sf_dir, 6), floor=0.3)
 
 
-@query(f"""WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label),
-s AS (SELECT query_id, label = query_id AS own, vec_id, round({cos('embedding', 'v')}, 6) AS score FROM embeddings, q WHERE round({cos('embedding', 'v')}, 6) < 0.999999),
+@query(f"""WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS v, min(vec_id) AS self FROM embeddings GROUP BY label),
+s AS (SELECT query_id, label = query_id AS own, vec_id, round({cos('embedding', 'v')}, 6) AS score FROM embeddings, q WHERE vec_id <> self),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) AS rank FROM s),
 c AS (SELECT query_id, own, max(CASE WHEN rank = 1 THEN score END) AS best, arg_max(score, rank) AS last FROM r WHERE rank <= 6 GROUP BY 1, 2),
 m AS (SELECT query_id, own, best, round(best - last, 6) AS margin FROM c),
@@ -102,9 +102,13 @@ p AS (SELECT a.query_id, a.level AS first_level, b.level AS second_level, list_p
 SELECT query_id, first_level, second_level, adopted, CASE WHEN adopted THEN second_level ELSE first_level END AS level FROM p""")
 def cascade_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
-    q = F.broadcast(e.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("v")))
-    others = e.join(q, F.col("label") != F.col("query_id")).select("query_id", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
-    return R.cascade(R.confidence(_ranked(spark, sf_dir, 6), floor=0.3), R.confidence(R.top(others, 6, "score", "vec_id", ["query_id"]), floor=0.3))
+    others = R.nearest_chunks(e, _questions(e), 6, "vec_id", subject="label", same=False)
+    return R.cascade(R.confidence(_ranked(spark, sf_dir, 6), floor=0.3), R.confidence(others, floor=0.3))
+
+
+def _questions(e: DataFrame) -> DataFrame:
+    """A question a subject: its smallest vector."""
+    return e.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("v")).withColumn("subject", F.col("query_id"))
 
 
 # Gold: each subject's second smallest id, to be found by its question's lexical list.
@@ -131,9 +135,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 b AS (SELECT query_id, max(CASE WHEN label <> query_id THEN 1 ELSE 0 END) AS bad FROM r WHERE rank <= 6 GROUP BY 1) SELECT count(*) AS n_queries, CAST(sum(bad) AS BIGINT) AS n_contaminated FROM b""")
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
-    q = F.broadcast(e.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("v")))
-    every = q.join(e, F.col("label") >= 0).select("query_id", "label", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
-    return M.contaminated(R.top(every, 6, "score", "vec_id", ["query_id"]), "query_id", "query_id", "label")
+    return M.contaminated(R.nearest_chunks(e, _questions(e), 6, "vec_id", subject="label"), "query_id", "query_id", "label")
 
 
 @query(f"""SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({cos('a.embedding', 'b.embedding')}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id

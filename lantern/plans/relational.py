@@ -49,10 +49,11 @@ def abstention_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").agg(F.count("*").alias("n"), bad.alias("abstained"), F.round(100.0 * bad / F.count("*"), 4).alias("share"))
 
 
-@query("""SELECT split_part(event_type || ':' || props, ':', 1) AS class, count(*) AS n FROM events GROUP BY 1""")
+@query("""SELECT split_part(text, ':', 1) AS class, count(*) AS n FROM conversations WHERE contains(text, ':') GROUP BY 1""")
 def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select(F.split_part(F.concat_ws(":", "event_type", "props"), F.lit(":"), F.lit(1)).alias("class"))
-    return e.groupBy("class").agg(F.count("*").alias("n"))
+    """What stands before the first colon of those turns that have one."""
+    rows = read(spark, sf_dir, "conversations").where(F.contains("text", F.lit(":")))
+    return rows.groupBy(F.split_part("text", F.lit(":"), F.lit(1)).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS kinds FROM orders GROUP BY 1 HAVING string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) = 'O'""")
@@ -103,8 +104,9 @@ def running_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", F.array_join("history", ",").alias("history"))
 
 
-@query("""WITH w AS (SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 2 HOURS PRECEDING AND CURRENT ROW) AS n_window FROM events)
-SELECT event_id, user_id, n_window, n_window / 7200.0::DOUBLE AS rate, min(n_window / 7200.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lowest FROM w""")
+@query("""WITH w AS (SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 2 HOURS PRECEDING AND CURRENT ROW) AS n_window, min(ts) OVER (PARTITION BY user_id) AS begun FROM events),
+r AS (SELECT event_id, user_id, ts, n_window, CASE WHEN ts - begun >= INTERVAL 2 HOURS THEN n_window / 7200.0::DOUBLE END AS rate FROM w)
+SELECT event_id, user_id, n_window, rate, min(rate) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lowest FROM r""")
 def trailing_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.trailing_rate(read(spark, sf_dir, "events"), "user_id", "ts", 7200).select("event_id", "user_id", "n_window", "rate", "lowest")
 
@@ -114,7 +116,7 @@ def stage_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.durations(read(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", "ms")
 
 
-@query("""WITH t AS (SELECT unnest([1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 150.0])::DOUBLE AS threshold) SELECT threshold, count(value) AS judged, count(*) FILTER (WHERE value >= threshold) AS marked, round(count(*) FILTER (WHERE value >= threshold) / count(value), 6) AS rate FROM events, t GROUP BY 1""")
+@query("""WITH t AS (SELECT unnest([1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 150.0])::DOUBLE AS threshold) SELECT threshold, count(value) AS judged, count(*) FILTER (WHERE value < threshold) AS marked, round(count(*) FILTER (WHERE value < threshold) / count(value), 6) AS rate FROM events, t GROUP BY 1""")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.sweep(read(spark, sf_dir, "events"), "value", [1, 5, 10, 25, 50, 100, 150])
 

@@ -39,16 +39,51 @@ def prose_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.size(X.words(F.col("text"))).cast("long").alias("n_words"), F.round(X.punctuation_per_word(F.col("text")), 6).alias("punctuation"))
 
 
-@query()
+# The rules of the chunk gate, said again for SQL: l are the lines with something on them, w the words.
+MACHINE = {
+    "package manager output": "(Setting up |Unpacking |Get:[0-9]|Reading package lists|Preparing to unpack|[0-9]+ upgraded, [0-9]+ newly|Need to get [0-9]|After this operation)",
+    "mail headers": "(DKIM-Signature:|Received: from|Content-Transfer-Encoding:|X-Spam|MIME-Version:|^\\s*b?h?=[A-Za-z0-9+/=]{40,})",
+    "console output": "(icmp_seq=|link/ether|64 bytes from|PING \\S+ \\(|inet6? [0-9]|rtt min/avg/max)",
+}
+SHARE = "len(list_filter(l, lambda x: regexp_matches(x, '{0}'))) / len(l)"
+PARTS = """p AS (SELECT doc_id, source, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS l, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: length(x) > 0) AS w,
+len(regexp_extract_all(text, '[.!?;]|:(\\s|$)')) AS marks, len(regexp_extract_all(text, '[A-Za-zÁÉÍÓÚÑáéíóúñ][^.!?\\n]{30,}[.!?]')) AS sentences, regexp_replace(text, '(https?://|ftp://|www\\.)\\S+', ' ', 'g') AS rest FROM documents),
+v AS (SELECT doc_id, source, len(w) AS n_words, marks, CASE WHEN regexp_matches(text, '(?i)(403 Forbidden|Directory access is forbidden|Index of /)') THEN 'directory page' """ + " ".join(f"WHEN len(l) > 0 AND {SHARE.format(x)} >= 0.4 THEN '{name}'" for name, x in MACHINE.items()) + f""" WHEN len(l) > 5 AND {SHARE.format('^\\s*[-*]?\\s*\\[[^\\]]+\\]\\([^)]+\\)\\s*$')} > 0.6 THEN 'list of links'
+WHEN len(l) > 8 AND {SHARE.format('^\\s*\\S[^\\n]{0,48}?\\s+[0-9]{1,4}(\\s*,\\s*[0-9]{1,4})*\\s*$')} > 0.6 AND sentences <= 1 THEN 'index' WHEN len(w) >= 40 AND marks / len(w) < 0.02 AND sentences = 0 THEN 'no prose'
+WHEN len(w) = 0 OR list_sum(list_transform(list_filter(regexp_extract_all(rest, '\\b[A-Za-z0-9+/=]{{24,}}\\b'), lambda x: regexp_matches(x, '[0-9]')), lambda x: length(x))) / greatest(length(rest), 1) > 0.25 THEN 'dump of long tokens' END AS reason FROM p)"""
+
+
+@query(f"WITH {PARTS} SELECT doc_id, reason FROM v")
+def chunk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", X.chunk_verdict(F.col("text")).alias("reason"))
+
+
+@query(f"""WITH {PARTS}, g AS (SELECT source, count(*) AS n, count(reason) AS n_refused, count(*) AS n_prose, sum(n_words)::BIGINT AS n_words, sum(marks)::BIGINT AS n_marks FROM v GROUP BY 1)
+SELECT *, CASE WHEN n = n_refused THEN 'all refused' WHEN n_words >= 60 AND n_marks < 0.02 * n_words THEN 'no prose' WHEN n_words >= 60 AND n >= 5 AND n_refused > 0.6 * n THEN 'most refused' END AS refused FROM g""")
 def document_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = read(spark, sf_dir, "documents").select("doc_id", "source", X.chunk_verdict(F.col("text")).alias("reason"))
-    return ingest.document_gate(judged, "source", "reason")
+    """Each source judged as one document, whose chunks are the rows."""
+    rows = read(spark, sf_dir, "documents").withColumn("kind", F.lit("explicacion"))
+    return ingest.document_gate(rows, "source", X.chunk_verdict(F.col("text"), F.col("kind")))
+
+
+# Phones have no digit before or after them; as this dialect cannot look around, all other signs are doubled first.
+PII = """WITH t AS (SELECT doc_id, text, regexp_replace(text, '([^0-9])', '\\1\\1', 'g') AS d FROM documents),
+v AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{L}\\p{N}_][\\p{L}\\p{N}_.+-]*@[\\p{L}\\p{N}_-]+\\.[\\p{L}\\p{N}_.]+[\\p{L}\\p{N}_]') AS email,
+regexp_extract_all(d, '(^|[^0-9])((\\+\\+34(  |--)?)?[6789][0-9]{2}(  |--)?[0-9]{3}(  |--)?[0-9]{3})([^0-9]|$)', 2) AS phone, regexp_extract_all(text, '\\b[0-9]{5}\\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(\\s+[A-Za-záéíóúñ]+){0,3},?\\s*[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+') AS address,
+regexp_extract_all(text, '(?i)\\b(twitter|linkedin|facebook|instagram|medium)\\s*:') AS profile, regexp_extract_all(text, '(?i)\\b([0-9]{8})[ -]?([A-HJ-NP-TV-Z])\\b') AS dni FROM t),
+n AS (SELECT doc_id, text, len(regexp_extract_all(text, '\\S+')) AS words, """ + ", ".join(f"len(list_distinct(list_transform({c}, lambda x: lower(replace(replace({x}, ' ', ''), '-', '')))))::INT AS {c}" for c, x in (("email", "x"), ("phone", "replace(x, '++', '+')"), ("address", "x"), ("profile", "x"))) + """,
+len(list_filter(dni, lambda x: substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(substr(x, 1, 8)::BIGINT % 23 + 1 AS INT), 1) = upper(right(x, 1)))) > 0 AS national FROM v),
+s AS (SELECT *, email + phone + address + profile AS signals, (email > 0)::INT + (phone > 0)::INT + (address > 0)::INT + (profile > 0)::INT AS classes FROM n)
+SELECT doc_id, email, phone, address, profile, signals, round(1000 * signals / greatest(words, 1), 6) AS density, CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'private_key' WHEN contains(text, '-----BEGIN CERTIFICATE-----') THEN 'certificate'
+WHEN regexp_matches(text, '\\b(ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,}|AKIA[0-9A-Z]{16}|xox[baprs]-[A-Za-z0-9-]{10,})\\b') THEN 'token' WHEN regexp_matches(text, '\\bES[0-9]{2} ?[0-9]{4} ?[0-9]{4} ?[0-9]{2} ?[0-9]{10}\\b') THEN 'iban'
+WHEN regexp_matches(text, '[A-ZÁÉÍÓÚÑ]{3,}\\s+[A-ZÁÉÍÓÚÑ]{3,},\\s*[A-ZÁÉÍÓÚÑ ]{3,},\\s*[0-9][A-Za-z],(\\s*[0-9]+,){3}') THEN 'grade_roster' WHEN national THEN 'national_id' WHEN classes >= 2 AND signals >= 3 AND 1000 * signals / greatest(words, 1) >= 10 THEN 'personal_density' END AS blocking FROM s"""
 
 
-@query("""SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.]{2,}')))::INT AS email, len(list_distinct(regexp_extract_all(text, '\\+34[ -]?[6789][0-9]{2}[ -]?[0-9]{3}[ -]?[0-9]{3}')))::INT AS phone,
-CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'private_key' WHEN contains(text, '-----BEGIN CERTIFICATE-----') THEN 'certificate' WHEN regexp_matches(text, '\\b(ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,}|AKIA[0-9A-Z]{16}|xox[baprs]-[A-Za-z0-9-]{10,})\\b') THEN 'token' WHEN regexp_matches(text, '\\bES[0-9]{2} ?[0-9]{4} ?[0-9]{4} ?[0-9]{2} ?[0-9]{10}\\b') THEN 'iban' END AS blocking FROM documents""")
+@query(PII)
 def pii_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in X.personal_data(F.col("text")).items()))
+    found = X.personal_data(F.col("text"))
+    found["density"] = F.round(found["density"], 6)
+    return read(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in found.items()))
 
 
 @query("""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT source, doc_id, trim(regexp_replace(regexp_replace(line, '[0-9]', '#', 'g'), '\\s+', ' ', 'g')) AS signature FROM l),
@@ -63,10 +98,15 @@ def national_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", X.national_letter(F.col("o_orderkey")).alias("letter"))
 
 
-@query("""SELECT o_orderkey, 'verificada' AS verdict FROM orders""")
+@query("""WITH c AS (SELECT o_orderkey, o_orderkey AS k, (o_orderkey // 4) % 2 AS off, o_orderkey % 4 AS kind FROM orders)
+SELECT o_orderkey, CASE kind WHEN 3 THEN 'no_verificable' WHEN 2 THEN CASE WHEN abs((3 * k + 1) / 3.0 - (k + 0.33 + off / 100.0)) <= 0.005 THEN 'verificada' ELSE 'podada' END ELSE CASE WHEN 3 * k - 7 = 3 * k - 7 + off THEN 'verificada' ELSE 'podada' END END AS verdict FROM c""")
 def calc_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order's key, times three and less seven, claimed right."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderkey", F.lit("*3-7")).alias("e"), (F.col("o_orderkey") * 3 - 7).cast("string").alias("r"))
+    """Claims that are right or off by one, whole or rounded to two places, and one kind that is no arithmetic."""
+    k = F.col("o_orderkey")
+    off, kind = (F.floor(k / 4) % 2), k % 4
+    expression = F.when(kind == 3, F.concat(F.lit("x + "), k)).when(kind == 2, F.concat(F.lit("("), k, F.lit("*3+1)/3"))).otherwise(F.concat(k, F.lit("*3-7")))
+    result = F.when(kind == 2, F.concat(k, F.lit(","), (off + 33).cast("string"))).otherwise((k * 3 - 7 + off).cast("string"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", expression.alias("e"), result.alias("r"))
     return o.select("o_orderkey", calc.calc_verdict("e", "r")["verdict"].alias("verdict"))
 
 

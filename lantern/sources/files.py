@@ -98,3 +98,33 @@ def resumable(stored: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame
         raise ValueError("what is stored belongs to another input")
     return wanted.join(stored, key, "left_anti")
 
+
+
+def append_run(spark: SparkSession, path: str, commit: str, config: dict, metrics: dict) -> None:
+    """Adds an evaluation run - when, of which commit, with what settings and results - to a table of runs."""
+    import json
+
+    row = spark.range(1).select(F.current_timestamp().alias("ts"), *(F.lit(v).alias(n) for n, v in (("commit", commit), ("config", json.dumps(config, sort_keys=True)), ("metrics", json.dumps(metrics, sort_keys=True)))))
+    row.write.mode("append").parquet(path)
+
+
+def write_vectors(vectors: DataFrame, path: str, batch: str, key: list[str]) -> None:
+    """A batch of vectors, then its keys: a batch counts once its keys are there, so a torn one is ignored and written again."""
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors/batch={batch}")
+    vectors.select(*key).write.mode("overwrite").parquet(f"{path}/keys/batch={batch}")
+
+
+def stored_vectors(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """The vectors of all batches whose keys were written too."""
+    done = spark.read.option("basePath", f"{path}/keys").parquet(f"{path}/keys").select(*key, "batch")
+    return spark.read.option("basePath", f"{path}/vectors").parquet(f"{path}/vectors").join(done, [*key, "batch"], "left_semi")
+
+
+def token_stream(spark: SparkSession, folder: str, response: str = r"response-(\d+)") -> DataFrame:
+    """Streaming: response_id, seq and text of tokens out of files of `data:` lines as a model's server writes them; the id
+    is in the file's name. Lines without a token, and the closing one, are left out."""
+    lines = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(folder)
+    name = F.regexp_extract(F.input_file_name(), response, 1).try_cast("bigint")
+    rows = lines.select(name.alias("response_id"), F.posexplode(F.split("value", "\n")).alias("seq", "line")).where(F.col("line").startswith("data:"))
+    token = F.get_json_object(F.trim(F.expr("substring(line, 6)")), "$.choices[0].delta.content")
+    return rows.select("response_id", F.col("seq").cast("long").alias("seq"), token.alias("text")).where("text is not null")

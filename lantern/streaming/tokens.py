@@ -145,36 +145,52 @@ def cut_at(seconds: list[float], least: float = LEAST_RATE, grace: int = GRACE,
     return next((i for i, r in enumerate(rates(seconds, window)) if i >= grace and r is not None and r < least), None)
 
 
-def _ordered(pdf: pd.DataFrame) -> str:
-    return "".join(pdf.sort_values("seq")["text"])
-
-
-def prose_stream(tokens: DataFrame, field: str = "prosa") -> DataFrame:
-    """Streaming: (response_id, prose) as (response_id, seq, text) rows arrive; each micro-batch's rows are taken in order."""
+def _step(begin, feed, close, keep, idle_ms: int | None):
+    """A stateful step over a response's token rows in order. A row with a null text ends the response, and so does
+    silence of idle_ms: what waits is then given out and the state is dropped, so that states don't pile up."""
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get if state.exists else None
-        p = Prose(field, (kept[0], kept[1], kept[2], kept[3], kept[4], kept[5], kept[6], kept[7], kept[8]) if kept else None)
-        out = p.feed(_ordered(pd.concat(list(pdfs))))
-        state.update(p.state())
+        it = begin(state.get if state.exists else None)
+        ended, out = state.hasTimedOut, []
+        if not ended:
+            rows = pd.concat(list(pdfs)).sort_values("seq")
+            ended = bool(rows["text"].isna().any())
+            out = feed(it, "".join(rows["text"].dropna()))
+        if ended:
+            out = out + close(it)
+            if state.exists:
+                state.remove()
+        else:
+            state.update(keep(it))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         if out:
-            yield pd.DataFrame({"response_id": [key[0]], "prose": [out]})
+            yield pd.DataFrame({"response_id": [key[0]] * len(out), "out": out})
 
-    kept = "depth int, quoted boolean, escape boolean, digits string, high int, word string, key string, after_colon boolean, live boolean"
-    return tokens.groupBy("response_id").applyInPandasWithState(step, "response_id long, prose string", kept, "append", GroupStateTimeout.NoTimeout)
+    return step
 
 
-def gate_stream(tokens: DataFrame) -> DataFrame:
-    """Streaming: whole sentences out of token rows; the tail waits in the state until a sentence ends."""
+def _timeout(idle_ms: int | None) -> str:
+    """Silence is looked for in batches without data, which never end: a query that is to stop by itself has no limit."""
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def prose_stream(tokens: DataFrame, field: str = "prosa", idle_ms: int | None = None) -> DataFrame:
+    """Streaming: (response_id, prose) as (response_id, seq, text) rows arrive; each micro-batch's rows are taken in order.
+
+    A null text ends a response, or silence of idle_ms if that is given."""
+    step = _step(lambda kept: Prose(field, tuple(kept[i] for i in range(9)) if kept else None), lambda p, text: [x for x in [p.feed(text)] if x], lambda p: [], lambda p: p.state(), idle_ms)
+    kept = "depth int, quoted boolean, escape boolean, digits string, high int, word string, key string, after_colon boolean, live boolean"
+    out = tokens.groupBy("response_id").applyInPandasWithState(step, "response_id long, out string", kept, "append", _timeout(idle_ms))
+    return out.withColumnRenamed("out", "prose")
 
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        gate = Gate(state.get[0] if state.exists else "")
-        out = gate.feed(_ordered(pd.concat(list(pdfs))))
-        state.update((gate.buffer,))
-        if out:
-            yield pd.DataFrame({"response_id": [key[0]] * len(out), "sentence": out})
 
-    return tokens.groupBy("response_id").applyInPandasWithState(step, "response_id long, sentence string", "buffer string", "append", GroupStateTimeout.NoTimeout)
+def gate_stream(tokens: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Streaming: whole sentences out of token rows; the tail waits in the state until a sentence ends or the response does -
+    with a null text, or after silence of idle_ms if that is given."""
+    step = _step(lambda kept: Gate(kept[0] if kept else ""), lambda g, text: g.feed(text), lambda g: g.close(), lambda g: (g.buffer,), idle_ms)
+    out = tokens.groupBy("response_id").applyInPandasWithState(step, "response_id long, out string", "buffer string", "append", _timeout(idle_ms))
+    return out.withColumnRenamed("out", "sentence")
 
 
 def rate_stream(tokens: DataFrame, every: str = "2 seconds", late: str = "10 seconds") -> DataFrame:

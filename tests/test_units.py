@@ -73,15 +73,22 @@ def test_rate_watchdog():
 
 
 def test_streams(spark, tmp_path):
-    rows = [(r, i, ANSWER[i * 5 : i * 5 + 5]) for r in (1, 2) for i in range(-(-len(ANSWER) // 5))]
-    spark.createDataFrame(rows, "response_id long, seq long, text string").write.parquet(f"{tmp_path}/in")
+    """What waits is given out when a response ends, and not before."""
+    rows = [(r, i, ANSWER[i * 5 : i * 5 + 5]) for r in (1, 2) for i in range(-(-len(ANSWER) // 5))] + [(1, 1000, None)]
+    spark.createDataFrame(rows, "response_id long, seq long, text string").write.parquet(f"{tmp_path}/prose")
+    said = "Uno. Dos va\nTres sin fin"
+    rows = [(r, i, said[i * 4 : i * 4 + 4]) for r in (1, 2) for i in range(-(-len(said) // 4))] + [(1, 1000, None)]
+    spark.createDataFrame(rows, "response_id long, seq long, text string").write.parquet(f"{tmp_path}/gate")
+    out = {}
     for name, f, column in (("prose", tokens.prose_stream, "prose"), ("gate", tokens.gate_stream, "sentence")):
-        stream = f(spark.readStream.schema("response_id long, seq long, text string").parquet(f"{tmp_path}/in"))
-        q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").start()
-        q.processAllAvailable()
-        q.stop()
-        out = [r[column] for r in spark.sql(f"SELECT * FROM {name} WHERE response_id = 1").collect()]
-        assert ("".join(out) == 'Hola "tú" 😀\n\\ fin') if name == "prose" else ANSWER.startswith("".join(out)) or not out
+        stream = f(spark.readStream.schema("response_id long, seq long, text string").parquet(f"{tmp_path}/{name}"))
+        q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c-{name}").start()
+        assert q.awaitTermination(60)
+        for i in (1, 2):
+            out[name, i] = [r[column] for r in spark.sql(f"SELECT * FROM {name} WHERE response_id = {i}").collect()]
+    assert "".join(out["prose", 1]) == "".join(out["prose", 2]) == 'Hola "tú" 😀\n\\ fin'
+    assert "".join(out["gate", 1]) == said and len(out["gate", 1]) == 3
+    assert "".join(out["gate", 2]) == "Uno. Dos va\n"
 
 
 def test_gain_and_levels(spark):
@@ -128,6 +135,7 @@ def test_text_levels(spark):
         ("Mi código da error, ¿qué falla?", "corregir"), ("He hecho esto: SELECT 1", "corregir"), ("Ayúdame con el ejercicio, aún no lo he hecho", "acompanar"),
         ("¿Cómo se calcula una subred? Es para el ejercicio 5", "responder"), ("ponme un test", "responder"), ("¿Qué es una clave primaria?", "responder"),
         ("tengo que montar una red y no sé por dónde empezar", "acompanar"), ("explícame cómo lo haría un profesional y luego te enseño lo mío", "responder"),
+        ("Mira mi código, y luego te paso el siguiente ejercicio.", "corregir"), ("No entiendo que me pide", "acompanar"), ("quiero hacer el de las subredes", "acompanar"), ("Tómame la lección", "responder"),
     ],
 )
 def test_turns(spark, turn, mode):
@@ -137,7 +145,11 @@ def test_turns(spark, turn, mode):
 def test_verdicts(spark):
     row = spark.createDataFrame([("la clave es única", "la clave es única aquí", 5, [5]), ("la clave es unica", "la clave es única aquí", 5, [5]), ("la llave es única", "la clave es única", 5, [5]), ("la clave", "la clave", 6, [5])], "q string, c string, i int, ctx array<int>")
     got = [r[0] for r in row.select(verify.literal_verdict(F.col("q"), F.col("c"), F.col("i"), F.col("ctx"))).collect()]
-    assert got == ["verificada", "solo_tildes", "degradada", "podada"]
+    assert got == ["verificada", "degradada_a_parafrasis", "degradada_a_parafrasis", "podada"]
+    assert [r[0] for r in row.select(verify.only_accents(F.col("q"), F.col("c"))).collect()] == [True, True, False, True]
+    blank = spark.createDataFrame([("  ", "x", 5, [5]), (None, "x", 5, [5])], "q string, c string, i int, ctx array<int>")
+    for r in blank.select(verify.literal_verdict(*map(F.col, ("q", "c", "i", "ctx"))).alias("v"), verify.literal_reason(*map(F.col, ("q", "c", "i", "ctx"))).alias("w")).collect():
+        assert tuple(r) == ("degradada_a_parafrasis", "sin_cita")
     rows = [("entailment", 0.9, 0.5, False), ("entailment", 0.89, 0.5, False), ("contradiction", 0.1, 0.5, False), ("entailment", 0.99, 0.2, False), ("entailment", 0.99, 0.9, True)]
     df = spark.createDataFrame(rows, "l string, p double, c double, k boolean")
     assert [r[0] for r in df.select(verify.entailment_verdict(*map(F.col, "lpck"))).collect()] == ["verificada", "reintento", "podada", "no_verificable", "no_verificable"]
@@ -212,11 +224,9 @@ def test_chunk_tables(spark, tmp_path):
 
 def test_gates(spark):
     long = " ".join(["palabra"] * 50)
-    rows = [("403 Forbidden", "directory page"), (long, "no prose"), ("Esto es una frase bastante larga que acaba en punto. " * 5, None), ("QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVox2345", "dump of long tokens")]
+    rows = [("403 Forbidden", "directory page"), (long, "no prose"), ("Esto es una frase bastante larga que acaba en punto. " * 5, None), ("QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVox2345", "dump of long tokens"), ("", "dump of long tokens")]
     got = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(X.chunk_verdict(F.col("t"))).collect()
     assert [r[0] for r in got] == [w for _, w in rows]
-    df = spark.createDataFrame([("Authorization: Bearer abc.def token=xyz http://u:p@h/x",)], "t string")
-    assert df.select(X.redacted(F.col("t"))).first()[0] == "Authorization: Bearer *** token=*** http://***:***@h/x"
 
 
 def test_premises():
