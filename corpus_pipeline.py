@@ -6,7 +6,6 @@ Each stage takes (spark, docs, sf_dir) and returns the columns of documents, but
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from lantern.llm.decontaminate import decontaminate
 from lantern.llm.jaccard import jaccard_join
 from lantern.llm.pieces import encode
 from lantern.llm.queries import tokenizer
-from lantern.llm.shared import cut, table
+from lantern.llm.shared import cut, folder, table
 from lantern.llm.suffixes import suffix_dedup
 from lantern.llm.toxicity import categories, toxicity
 
@@ -38,7 +37,8 @@ def one_each(rows: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go."""
+    """Rows that the classifier chain rejects go, each judged on its own text, whatever its id; null and empty texts have
+    no words and are judged by the models' answer to that. Without labels of both kinds nothing goes."""
     judged = toxicity(docs, table(spark, sf_dir, "labels"), categories(), decide="toxic")
     return judged.where(~F.col("is_toxic")).select(*COLUMNS)
 
@@ -57,13 +57,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every byte in a 200-byte string that also starts elsewhere goes; characters that a cut would split stay whole."""
+    """Every byte in a 200-byte string that also starts elsewhere goes; characters that a cut would split stay whole.
+
+    Every row stays, if only with an empty text; a null text becomes an empty one.
+    """
     cut = suffix_dedup(docs.select(*COLUMNS), least=200, mode="text")
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which benchmark windows cover a twentieth of the words or more go, whatever their ids."""
+    """Rows of which benchmark windows cover a twentieth of the words or more go, whatever their ids. Rows without words
+    stay, and all do if the benchmark is empty."""
     rows = keyed(docs)
     judged = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_column="key", width=13, least_share=0.05)
     bad = judged.where("contaminated").select("key").distinct()
@@ -71,8 +75,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and decoded text of each document, as digests."""
-    return encode(docs, tokenizer(), digests=True)
+    """Token ids and decoded text of each row, whatever its id: doc_id, n_tokens, ids, decoded, n_differ. Null and empty
+    texts have no ids."""
+    return encode(docs, tokenizer())
 
 
 STAGES = [
@@ -88,13 +93,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each is written as Parquet to the cluster's shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lantern-pipeline-")
-    folder = posixpath.join(folder, f"pipeline-{uuid.uuid4().hex}")
+    """All stages on documents; each is written as Parquet to the cluster's shared folder and read again. The folder of a
+    run stays, as its result is read from the last one; empty documents give no rows."""
+    place = posixpath.join(folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{i}_{name}")
-            docs = spark.read.parquet(f"{folder}/{i}_{name}")
+            docs.write.parquet(f"{place}/{i}_{name}")
+            docs = spark.read.parquet(f"{place}/{i}_{name}")
     return docs
