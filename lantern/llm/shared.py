@@ -8,15 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the cluster's checkpoint folder and go on from there, so that a lost executor costs no recomputation.
+def folder(spark: SparkSession) -> str:
+    """The folder that all machines share, as the session names it. Where it names none, as in tests, and there is but one
+    machine, a temporary folder; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="lantern-")
 
-    A folder is set here only where the session names none, as in tests.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and go on from there, so that a lost executor costs no recomputation."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lantern-checkpoint-"))
+        sc.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

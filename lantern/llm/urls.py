@@ -70,6 +70,7 @@ def _grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield lo, hi, row, gram
 
 
+@K.tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each string stands in accepted and in rejected URLs; those of the others come with zeros."""
     for batch in batches:
@@ -80,6 +81,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, counts)], names=["gram", "good", "bad"])
 
 
+@K.tidy
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, _, row, gram in _grams(batch.column("url")):
@@ -127,6 +129,7 @@ def _ratios(lows):
         ratio = _chain(gram, good, lows.value[0]).logs(gram) - _chain(gram, bad, lows.value[1]).logs(gram)
         return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ratio)], names=["gram", "ratio"])
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
