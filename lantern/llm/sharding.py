@@ -14,6 +14,7 @@ Only the blocks' row counts come to the driver, one number for a partition.
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -36,23 +37,67 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.
         rest = n
         for j in range(len(shards)):
             after = int(left[j + 1 :].sum())
-            out[i, j] = draw.hypergeometric(int(left[j]), after, rest) if rest and left[j] + after < 10**9 else _large(draw, int(left[j]), after, rest)
+            out[i, j] = hypergeometric(draw, int(left[j]), after, rest)
             rest -= int(out[i, j])
         left -= out[i]
     return out
 
 
-def _large(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A hypergeometric number beyond numpy's range, as a sum over halves of the sample."""
-    if n == 0 or good == 0:
+#: Numpy draws from populations under this size. Beyond, samples are drawn in parts of at most this share of what is left;
+#: margins of up to so many rows are dealt one by one.
+NUMPY_LIMIT, SHARE, FEW = 10**9, 1000, 10_000
+
+
+def hypergeometric(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n rows drawn from good + bad are good, whatever the size."""
+    if min(n, good) == 0:
         return 0
     if bad == 0:
         return n
-    # Beyond 10**9 rows the law is normal to far more digits than a sample of it can show.
+    if good + bad < NUMPY_LIMIT:
+        return int(draw.hypergeometric(good, bad, n))
+    if 2 * n > good + bad:  # what is left is a sample too
+        return good - hypergeometric(draw, good, bad, good + bad - n)
+    found = 0
+    while n > 0 and good > 0 and bad > 0:  # a sample is the sum of its parts, each drawn from what the one before left
+        part = min(n, max(FEW, (good + bad) // SHARE))
+        k = hypergeometric(draw, good, bad, part) if good + bad < NUMPY_LIMIT else _sparse(draw, good, bad, part)
+        found, good, bad, n = found + k, good - k, bad - part + k, n - part
+    return found + (n if bad == 0 else 0)
+
+
+def _sparse(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """An exact draw of a small part of a large population.
+
+    The law is symmetric in the sample and the good rows, and in good and bad, so the smaller numbers take the small
+    parts. A small margin is dealt row by row. Else the draw with replacement, a binomial one, is proposed and accepted by
+    the ratio of the two laws, which is at most its value at the mean but for a thousandth.
+    """
     total = good + bad
-    mean = n * good / total
-    sd = (mean * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5
-    return int(min(max(round(draw.normal(mean, sd)), max(0, n - bad)), min(n, good)))
+    if good > bad:
+        return n - _sparse(draw, bad, good, n)
+    if good < n:
+        return _sparse(draw, n, total - n, good)
+    if n <= FEW:
+        k = 0
+        for i, u in enumerate(draw.random(n).tolist()):
+            k += u * (total - i) < good - k
+        return k
+
+    def fall(size: int, k: int) -> float:
+        """Logarithm of size * (size - 1) * ... of k factors over size ** k, by Stirling's series."""
+        x = k / size
+        if x > 0.05:
+            return math.lgamma(size + 1) - math.lgamma(size - k + 1) - k * math.log(size)
+        series = -size * sum(x**i / (i * (i - 1)) for i in range(2, 14))  # -(1 - x) log(1 - x) - x
+        return series - 0.5 * math.log1p(-x) + 1 / (12 * size) - 1 / (12 * (size - k))
+
+    bound = -0.5 * math.log1p(-n / total) + 0.01
+    whole = fall(total, n)
+    while True:
+        k = int(draw.binomial(n, good / total))
+        if k <= good and n - k <= bad and math.log(draw.random() or 1e-300) <= fall(good, k) + fall(bad, n - k) - whole - bound:
+            return k
 
 
 def shard(documents: DataFrame, shards: int = 8, seed: int = 17, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
