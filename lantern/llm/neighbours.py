@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .shared import cut
 
 BITS, EPSILON = 6, 2.2
@@ -37,8 +38,9 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 
 def codes(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed signs, `a` and length of each row."""
-    norm = np.sqrt((x * x).sum(axis=1))
-    y = (x / norm[:, None]) @ turn.T
+    top = np.abs(x).max(axis=1)  # squares of large numbers would be infinite
+    norm = top * np.sqrt(((x / top[:, None]) ** 2).sum(axis=1))
+    y = (x / top[:, None] / (norm / top)[:, None]) @ turn.T
     dim = y.shape[1]
     bits = np.zeros((len(y), -(-dim // 64) * 64), bool)
     bits[:, :dim] = y > 0
@@ -46,6 +48,7 @@ def codes(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _index(dim: int, seed: int):
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(dim, seed)
         for batch in batches:
@@ -62,7 +65,9 @@ class Query:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int):
         self.ids, self.x, self.k = ids, x, k
-        y = x @ turn.T
+        # The codes are for queries of length 1: scores of a query are compared with each other only.
+        top = np.abs(x).max(axis=1, keepdims=True)
+        y = (x / top / np.sqrt(((x / top) ** 2).sum(axis=1, keepdims=True))) @ turn.T
         self.dim = y.shape[1]
         low = y.min(axis=1)
         self.step = np.maximum((y.max(axis=1) - low) / (2**BITS - 1), 1e-300)
@@ -73,7 +78,7 @@ class Query:
             wide[:, : self.dim] = (level >> b) & 1
             self.planes.append(np.packbits(wide, axis=1, bitorder="little").view(np.uint64))
         self.low, self.total = low, low * self.dim + self.step * level.sum(axis=1)
-        self.length = np.sqrt((x * x).sum(axis=1))
+        self.length = top[:, 0] * np.sqrt(((x / top) ** 2).sum(axis=1))
         self.best = np.full((len(ids), k), -np.inf)
         self.who = np.full((len(ids), k), np.iinfo(np.int64).max)
 
@@ -91,18 +96,20 @@ class Query:
             # Sum of the query's numbers where the code has a one; those with a zero count negative.
             positive = self.low[q][:, None] * ones[None, :] + self.step[q][:, None] * dot
             estimate = (2 * positive - self.total[q][:, None]) / (root * a[None, :])
-            error = self.length[q][:, None] * spread[None, :] + (EPSILON / np.sqrt(12)) * self.step[q][:, None] / a[None, :]
+            error = spread[None, :] + (EPSILON / np.sqrt(12)) * self.step[q][:, None] / a[None, :]
             mine = self.ids[q][:, None] == ids[None, :]
             upper, lower = (estimate + error) * norm, (estimate - error) * norm
             lower[mine] = -np.inf
-            floor = self.best[q, -1]
+            with np.errstate(over="ignore", invalid="ignore"):
+                floor = self.best[q, -1] / self.length[q]
             if len(ids) >= self.k:
                 floor = np.maximum(floor, np.partition(lower, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
             row, col = np.nonzero((upper >= floor[:, None]) & ~mine)
             score = np.empty(len(row))
             for s in range(0, len(row), 65536):
                 e = slice(s, s + 65536)
-                score[e] = (self.x[lo + row[e]] * x[col[e]]).sum(axis=1)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score[e] = (self.x[lo + row[e]] * x[col[e]]).sum(axis=1)
             row = np.concatenate([row, np.repeat(np.arange(n), self.k)])
             score = np.concatenate([score, self.best[q].ravel()])
             who = np.concatenate([ids[col], self.who[q].ravel()])
@@ -113,7 +120,7 @@ class Query:
             self.best[q], self.who[q] = score[take], who[take]
 
     def rows(self) -> pa.RecordBatch:
-        found = np.isfinite(self.best)
+        found = self.who != np.iinfo(np.int64).max
         query = np.repeat(self.ids, self.k).reshape(self.best.shape)
         return pa.RecordBatch.from_arrays([pa.array(query[found]), pa.array(self.who[found]), pa.array(self.best[found])], names=["query_id", "vec_id", "score"])
 
@@ -121,6 +128,7 @@ class Query:
 def _cells(dim: int, seed: int, k: int):
     """Rows come sorted by cell, a cell's queries first."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(dim, seed)
         cell, waiting, query = None, [], None
@@ -170,7 +178,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str =
     Bounds hold with high probability, not surely: EPSILON sets how many vectors are reranked.
     """
     spark = vectors.sparkSession
-    v = F.col(vector_column).cast("array<float>")
+    # Vectors of floats stay so, which halves what is moved; all others are read as doubles.
+    kind = "array<float>" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "array<double>"
+    v = F.col(vector_column).cast(kind)
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v"), is_query.alias("asked"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
@@ -179,7 +189,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n, asked = sizes["dim"], sizes["n"], sizes["asked"]
     rows = rows.where(F.size("v") == dim)
-    index = cut(rows.select("id", "v").mapInArrow(_index(dim, seed), "id long, v array<float>, code binary, a double, norm double"))
+    index = cut(rows.select("id", "v").mapInArrow(_index(dim, seed), f"id long, v {kind}, code binary, a double, norm double"))
     # Cells of bounded size; more row blocks than that only to give every core one.
     row_blocks = max(-(-n // ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-n // 4096)))
     query_blocks = max(1, -(-asked // QUERIES))
