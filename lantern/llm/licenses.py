@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import cut
 
 # The statements by which texts say what they are licensed under.
 TEMPLATES = [
@@ -94,6 +95,7 @@ class Templates:
 
 
 def _frequencies(templates: Templates):
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, files = np.zeros(len(templates.vocabulary), np.int64), 0
         for batch in batches:
@@ -129,6 +131,7 @@ def _windows(piece: np.ndarray, row: np.ndarray, signal: np.ndarray, longest: in
 
 
 def _match(templates):
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book: Templates = templates.value
         names = np.array([*book.names, ""], object)
@@ -199,14 +202,20 @@ def license_scan(
     book.weigh(np.array([counts.get(i, 0) for i in range(len(book.vocabulary))], float), counts.get(-1, 0))
     found = rows.mapInArrow(_match(spark.sparkContext.broadcast(book)), f"id {kind}, path string, whole boolean, license string, cosine double")
     own = F.col("cosine") >= least
-    found = found.select("id", "path", "whole", F.when(own, F.col("license")).alias("license"), F.when(own, F.col("cosine")).alias("cosine"), F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
+    # Three branches read this; texts are read once.
+    found = cut(found).select("id", "path", "whole", F.when(own, F.col("license")).alias("license"), F.when(own, F.col("cosine")).alias("cosine"), F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
     owners = found.where("whole and license is not null").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
     owners = owners.select(F.col("dir").alias("above"), F.col("best.license").alias("dir_license"), (-F.col("best.c")).alias("dir_cosine"))
     parts = F.split("dir", "/")
     above = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
-    ladder = found.select("dir").distinct().select("dir", F.posexplode(above).alias("depth", "above"))
+    # Every file is below the root: its licence, one row, comes as a literal and not as a key that all directories share.
+    owners = cut(owners)
+    root = owners.where("above = ''").first()
+    ladder = found.select("dir").distinct().select("dir", F.posexplode(above).alias("depth", "above")).where("above != ''")
     nearest = ladder.join(owners, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "dir_license", "dir_cosine")).alias("up")).select("dir", "up.*")
     out = found.join(nearest, "dir", "left")
+    for name, value, kind in (("dir_license", root and root["dir_license"], "string"), ("dir_cosine", root and root["dir_cosine"], "double"), ("above", root and "", "string")):
+        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value).cast(kind)))
     mine = F.col("license").isNotNull()
     return out.select(
         F.col("id").alias(id_column),
