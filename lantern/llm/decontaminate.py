@@ -7,13 +7,15 @@ transform in a wavelet tree, and suffix positions sampled every SAMPLE places. A
 once; each occurrence is located by walking back to a sampled position, and overlapping occurrences are merged to
 removal spans. Documents are never shuffled.
 
-The benchmark is taken in blocks of at most `block_bytes` of text, so what is sent to the tasks has a fixed bound.
-One block is the usual case and one pass over the documents; more blocks take one pass each and the passes' spans are
-merged per document.
+The benchmark is taken in blocks of at most `block_bytes` of text - longer items in overlapping pieces -, so what the driver
+and the tasks hold has a fixed bound. One block is the usual case and one pass over the documents; more blocks take one
+pass each, the rows are written between passes so that one block is in use at a time, and the passes' spans are merged
+per document.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import cut
 
 SAMPLE = 8
 #: Text of a shard that is indexed at once.
@@ -209,6 +212,7 @@ def _span_array(row: np.ndarray, n: int, start, end, first, words) -> pa.ListArr
 def _scan(phrases, number: int):
     """Adds the spans and items of one block of the benchmark to every row."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book: Phrases = phrases.value
         for batch in batches:
@@ -232,6 +236,7 @@ def _scan(phrases, number: int):
     return run
 
 
+@K.tidy
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges the spans that several blocks found in a row."""
     for batch in batches:
@@ -254,15 +259,37 @@ def _lengths(texts: pa.Array, part: K.Words) -> np.ndarray:
     return np.diff(offsets)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+_WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+
+
+def _pieces(text: str, width: int, block_bytes: int) -> Iterator[str]:
+    """A text of at most half a block as it is, a longer one in pieces that overlap by all but one word of a window."""
+    if 2 * len(text) <= block_bytes and 2 * len(text.encode()) <= block_bytes:
+        yield text
+        return
+    held: list[str] = []
+    size, new = 0, 0
+    for m in _WORD.finditer(text):
+        held.append(m[0])
+        size, new = size + len(m[0].encode()) + 1, new + 1
+        if 2 * size > block_bytes and len(held) >= width:
+            yield " ".join(held)
+            held, new = held[len(held) - width + 1 :], 0
+            size = sum(len(w.encode()) + 1 for w in held)
+    if new:
+        yield " ".join(held)
+
+
+def _blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     block, size = [], 0
     for r in benchmark.toLocalIterator():
-        n = len((r[1] or "").encode())
-        if block and size + n > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((r[0], r[1]))
-        size += n
+        for piece in _pieces(r[1] or "", width, block_bytes):
+            n = len(piece.encode())
+            if block and size + n > block_bytes:
+                yield block
+                block, size = [], 0
+            block.append((r[0], piece))
+            size += n
     yield block
 
 
@@ -285,22 +312,22 @@ def decontaminate(
     a hit word and hit words are at least `least_share` of its words.
 
     Null or empty texts have no words and are clean. Repeated rows and ids are judged one by one. Items that share
-    windows are all named; item ids that are null are left out. An empty benchmark hits nothing, empty documents give
+    windows are all named; an item whose id is null hits words like any other but has no name. An empty benchmark hits nothing, empty documents give
     no rows. Other columns of the inputs are not looked at.
     """
     spark = documents.sparkSession
     out = documents.select(F.col(id_column).alias("__id"), F.col(text_column).cast("string").alias("__text"))
-    items = benchmark.where(F.col(item_id_column).isNotNull()).select(F.col(item_id_column).cast("string").alias("a"), F.col(item_text_column).cast("string").alias("b"))
+    items = benchmark.select(F.col(item_id_column).cast("string").alias("a"), F.col(item_text_column).cast("string").alias("b"))
     fields = [f"__id {documents.schema[id_column].dataType.simpleString()}", "__text string", "n_words bigint"]
-    numbers = []
-    for number, block in enumerate(_blocks(items, block_bytes)):
-        numbers.append(number)
-        fields += [f"spans{number} {SPAN}", f"items{number} array<string>"]
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(Phrases(block, width)), number), ", ".join(fields))
-    spans, found = (F.concat(*(F.col(f"{what}{n}") for n in numbers)) for what in ("spans", "items"))
-    out = out.select("__id", "n_words", spans.alias("spans"), F.array_sort(F.array_distinct(found)).alias("items"))
-    if len(numbers) > 1:
-        out = out.mapInArrow(_union, out.schema)
+    names = [f.split()[0] for f in fields]
+    for block in _blocks(items, width, block_bytes):
+        again = "spans" in out.columns
+        found = (cut(out) if again else out).mapInArrow(_scan(spark.sparkContext.broadcast(Phrases(block, width)), 0), ", ".join([*fields, *(("spans " + SPAN, "items array<string>") if again else ()), f"spans0 {SPAN}", "items0 array<string>"]))
+        spans, items_ = (F.concat(c, f"{c}0") if again else F.col(f"{c}0") for c in ("spans", "items"))
+        out = found.select(*names, spans.alias("spans"), F.array_sort(F.array_distinct(F.array_compact(items_))).alias("items"))
+        if again:
+            out = out.mapInArrow(_union, out.schema)
+    out = out.select("__id", "n_words", "spans", "items")
     out = out.withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, s) -> a + s.words)"))
     share = F.col("n_hit") * round(1 / least_share) >= F.col("n_words") if abs(round(1 / least_share) * least_share - 1) < 1e-12 else F.col("n_hit") >= least_share * F.col("n_words")
     return out.select(F.col("__id").alias(id_column), "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & share).alias("contaminated"))
