@@ -29,6 +29,7 @@ def _distinct_words(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[in
         yield part.lo, part.hi, part.rows(), part.hash
 
 
+@K.tidy
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = []
@@ -64,14 +65,14 @@ class Chain:
 
     def __init__(self, bags: list[np.ndarray], y: np.ndarray, fold: np.ndarray, features: int = FEATURES):
         n, categories = y.shape
-        every = np.concatenate([np.zeros(0, np.uint64), *bags])
-        word, which, df = np.unique(every, return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(n), [len(b) for b in bags])
+        word, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *bags]), return_counts=True)
         best = np.zeros(len(word))
         for c in range(categories):
             # Chernoff's bound on a word's number of positive texts, in nats; rare words, which would only memorise
             # single labels, wrong ones among them, cannot reach much.
-            seen, share = np.bincount(which, y[row, c], len(word)), np.clip(y[:, c].mean(), 1e-9, 1 - 1e-9)
+            mine, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *(b for b, one in zip(bags, y[:, c], strict=True) if one)]), return_counts=True)
+            seen, share = np.zeros(len(word)), np.clip(y[:, c].mean(), 1e-9, 1 - 1e-9)
+            seen[np.searchsorted(word, mine)] = times
             rate = seen / np.maximum(df, 1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 nats = df * (np.nan_to_num(rate * np.log(rate / share)) + np.nan_to_num((1 - rate) * np.log((1 - rate) / (1 - share))))
@@ -79,9 +80,8 @@ class Chain:
         order = np.argsort(-best, kind="stable")[:features]
         self.words = np.sort(word[order[best[order] >= LEAST_NATS]])
         x = np.zeros((n, len(self.words)), np.float32)
-        at = np.searchsorted(self.words, every)
-        hit = (at < len(self.words)) & (self.words[np.minimum(at, max(len(self.words) - 1, 0))] == every) if len(self.words) else np.zeros(0, bool)
-        x[row[hit], at[hit]] = 1
+        for i, bag in enumerate(bags):
+            x[i] = np.isin(self.words, bag, assume_unique=True)
         self.models, earlier = [], np.zeros((n, 0))
         for c in range(categories):
             here = np.hstack([x, earlier])
@@ -109,6 +109,7 @@ class Chain:
 
 
 def _score(chain, names: list[str]):
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Chain = chain.value
         for batch in batches:
@@ -169,8 +170,11 @@ def toxicity(
     if not len(y) or len(np.unique(y[:, target])) < 2:
         return documents.select(*kept, *(F.lit(0.0).alias(f"p_{n}") for n in names), F.lit(False).alias("is_toxic"))
     fold = np.array([int(i) * 2654435761 % 2**32 // 65536 % FOLDS for i in rows.column("id").to_pylist()])
-    chain = Chain([np.frombuffer(b, np.uint64) for b in rows.column("bag").to_pylist()], y, fold)
+    offsets, data = K.buffers(rows.column("bag"))
+    chain = Chain([data[a:b].view(np.uint64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], y, fold)
     limit = threshold(chain.out_of_fold[:, target], y[:, target])
+    del rows, data
+    K.release()
     sent = spark.sparkContext.broadcast(chain)
     inner = {c: f"c{i}" for i, c in enumerate(kept)}
     fields = ", ".join([*(f"{inner[c]} {documents.schema[c].dataType.simpleString()}" for c in kept), *(f"p{i} double" for i in range(len(names)))])
