@@ -12,8 +12,10 @@ together reach `least` bytes.
 3. A stack scan over the neighbours' common prefixes gives the interval tree. In each interval the members are ordered
    by their left contexts; a second scan over common left extensions splits the interval where they differ, which leaves
    the maximal repeats: groups that can be extended neither way, with all their occurrences.
-4. Anchors with more than HOT different contexts are not gathered in one task: their windows are dealt by content, so
-   that equal ones meet, and counted with combiners.
+4. A group with more than HOT different contexts is not gathered in one task but split by the bytes around the anchor:
+   what covers a window shares either so many bytes to the right or the rest of it to the left, so members are dealt anew
+   by either. Parts that are still too large are split again, down to whole windows, of which only the number counts.
+   All other parts are suffix arrays with interval trees like any group.
 5. Spans meet their texts again, are merged and cut out.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from . import kernels as K
 from . import packets as P
 from .shared import cut, row_key
 
-GRAM, HOT, CHUNK = 50, 250_000, 1 << 20
+GRAM, HOT, CHUNK = 50, 4_000, 1 << 20
 _KINDS = ["u8", "u8", "i8", "i4", "i4"]  # anchor, context, key, place, flag - 0: asks, 1: the answer is known, 2: known, tells others
 
 
@@ -116,6 +119,7 @@ def _meet(by_context: bool):
 def _contexts(least: int, gram: int):
     """Cuts the contexts of the wanted anchors out of their texts."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = K.buffers(batch.column("text"))
@@ -230,6 +234,7 @@ def maximal_repeats(right: np.ndarray, right_lcp: np.ndarray, left_order: np.nda
 def _groups(least: int, gram: int):
     """Interval trees of whole anchors, rows sorted by anchor and suffix: how far each context is covered."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
@@ -285,29 +290,39 @@ def _tail(anchor: np.ndarray) -> int:
     return len(anchor) - (int(other[-1]) + 1 if len(other) else 0)
 
 
-def _windows(least: int):
-    """Every window of a hot anchor's context, by two hashes."""
+def split_hot(members: DataFrame, least: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows with anchor, key, at, suffix and before: the same rows in groups of at most `hot`, told by `anchor`, and the
+    covers (key, at, left, right) of windows that larger groups share whole.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, at = batch.column("key").to_numpy(), batch.column("at").to_numpy()
-            for lo in range(0, len(batch), 500):
-                rows = []
-                for i, (x, y) in enumerate(zip(batch.column("before").slice(lo, 500).to_pylist(), batch.column("suffix").slice(lo, 500).to_pylist(), strict=True), lo):
-                    text = np.frombuffer(x + y, np.uint8)
-                    h = K.gram_hashes(text, least)
-                    start = at[i] - len(x) + np.arange(len(h))
-                    s = np.arange(len(h))
-                    rows.append((h, K.span_hashes(text[::-1].copy(), s, s + least)[::-1], np.full(len(h), key[i]), start))
-                h, g, k, s = (np.concatenate(c) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(k), pa.array(s.astype(np.int32))], names=["h", "g", "key", "start"])
-
-    return run
+    Members of a group share `l` bytes before the anchor and `r` from it. Two that share more, `least` together, share half
+    of what is missing to the right, or else the other half and one byte to the left.
+    """
+    rows = members.select(F.col("anchor").alias("g"), "key", "at", "suffix", "before", F.lit(0).alias("l"), F.lit(gram).alias("r"), F.lit(0).cast("long").alias("check"))
+    small, whole = [], []
+    while True:
+        rows = cut(rows)
+        sizes = cut(rows.groupBy("g", "l", "r", "check").agg(F.count("*").alias("n")).where("n > 1"))
+        # Few groups are large, but how few is not known: they are joined, and their members split as a skewed side.
+        told = rows.join(sizes, ["g", "l", "r", "check"])
+        missing = F.lit(least) - F.col("l") - F.col("r")
+        whole.append(told.where(missing <= 0).select("key", "at", F.col("l").alias("left"), F.col("r").alias("right")))
+        small.append(told.where((missing > 0) & (F.col("n") <= hot)).select(F.xxhash64("g", "l", "r").alias("anchor"), "key", "at", "suffix", "before"))
+        if sizes.where((missing > 0) & (F.col("n") > hot)).isEmpty():
+            break
+        large = told.where((missing > 0) & (F.col("n") > hot)).drop("n")
+        half = F.ceil(missing / 2).cast("int")
+        right = large.withColumn("r", F.col("r") + half).where(F.length("suffix") >= F.col("r"))
+        left = large.withColumn("l", F.col("l") + missing - half + 1).where(F.length("before") >= F.col("l"))
+        after = F.substring("suffix", F.lit(1), F.col("r"))
+        ahead = F.substring("before", F.length("before") - F.col("l") + 1, F.col("l"))
+        rows = right.unionByName(left).withColumns({"g": F.xxhash64("g", after, ahead), "check": F.xxhash64(F.lit(7), after, ahead)})
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, whole)
 
 
 def _apply(mode: str, least: int, gram: int):
     """Merges a text's spans and cuts them out."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = K.buffers(batch.column("text"))
@@ -363,15 +378,14 @@ def repeated(documents: DataFrame, least: int = 200, gram: int = GRAM, hot: int
     schema = "anchor long, hot boolean, key long, at int, suffix binary, before binary"
     contexts = documents.join(wanted, "key").mapInArrow(_contexts(least, gram), schema)
     covers = "key long, at int, left int, right int"
+    groups, whole = contexts.where("not hot").drop("hot"), None
     if any_hot:
         contexts = cut(contexts)
-    out = settled.unionByName(contexts.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "suffix").mapInArrow(_groups(least, gram), covers))
-    if any_hot:
-        windows = contexts.where("hot").drop("hot").mapInArrow(_windows(least), "h long, g long, key long, start int")
-        # Neighbouring anchors bring the same window of a text: only different places count.
-        place = F.struct("key", "start")
-        twice = windows.groupBy("h", "g").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("h", "g")
-        out = out.unionByName(windows.join(twice, ["h", "g"]).select("key", F.col("start").alias("at"), F.lit(0).alias("left"), F.lit(least).alias("right")))
+        small, whole = split_hot(contexts.where("hot").drop("hot"), least, gram, hot)
+        groups = contexts.where("not hot").drop("hot").unionByName(small)
+    out = settled.unionByName(groups.repartition("anchor").sortWithinPartitions("anchor", "suffix").mapInArrow(_groups(least, gram), covers))
+    if whole is not None:
+        out = out.unionByName(whole)
     return out
 
 
