@@ -34,7 +34,7 @@ from . import kernels as K
 from . import packets as P
 from .shared import cut, row_key
 
-GRAM, HOT, CHUNK = 50, 4_000, 1 << 20
+GRAM, HOT, CHUNK = 50, 50_000, 1 << 20
 _KINDS = ["u8", "u8", "i8", "i4", "i4"]  # anchor, context, key, place, flag - 0: asks, 1: the answer is known, 2: known, tells others
 
 
