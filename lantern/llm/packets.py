@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .kernels import tidy
+
 SCHEMA = "bucket int, n int, packet binary"
 #: Records that a sender gathers before it packs them.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def buckets(spark: SparkSession) -> int:
@@ -48,6 +50,7 @@ def unpack(batch: pa.RecordBatch, kinds: list[str]) -> list[np.ndarray]:
 def sender(records: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]], settle: Callable[[list[np.ndarray]], tuple[np.ndarray, list[np.ndarray]]]):
     """mapInArrow function: gathers records of many batches, settles them, and packs what is to be sent."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
@@ -66,6 +69,7 @@ def sender(records: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]], sett
 def receiver(kinds: list[str], meet: Callable[[list[np.ndarray]], pa.RecordBatch | None]):
     """mapInArrow function over packets sorted by bucket: calls meet with all records of one bucket."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
