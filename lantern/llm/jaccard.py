@@ -5,12 +5,15 @@
    the set's size: similar sets differ in fewer shingles than there are parts, so they agree in some whole part. A set is
    divided on the level of its own size class, as a native, and on the next one's, as a guest. What agrees on a level is
    joined to families of that level; a family is a superset of what is linked, not yet a result.
-3. A family's sets meet once and are cut into blocks of documents. Each pair of blocks is a product of two sparse
-   document by n-gram matrices, taken over blocks of columns: overlap counts are accumulated, and pairs that cannot reach
-   the overlap that their sizes require are discarded on the way. A task returns a spanning forest of the links it
+3. Families are chains, and a passage that many documents share makes long ones. Similar sets agree in more parts than
+   there are spare ones, so a family's sets are compared by their parts first, with the same product as in the next step
+   over four bytes a part; what agrees in enough parts makes the families that go on.
+4. A family's sets meet once and are cut into blocks of documents. Each pair of blocks is a product of two sparse
+   document by n-gram matrices, held as postings and taken over blocks of columns: overlap counts are accumulated, and
+   pairs that cannot reach the overlap that their sizes require are discarded on the way. A task returns a spanning forest of the links it
    found and each document's number of links, never all pairs. Guests are not compared with each other: they are on
    their own level.
-4. Links are joined to components.
+5. Links are joined to components.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from . import kernels as K
 from . import packets as P
 from .shared import components, cut
 
-CHUNK, BLOCK, COLUMNS = 2 << 20, 1500, 8192
+CHUNK, BLOCK = 2 << 20, 1500
+#: Shingles of a block of documents, about; documents whose row of the product is made at once; products that are added at once.
+SHINGLES, ROWS, PRODUCTS = 1 << 20, 64, 1 << 20
 _U = np.uint64
 
 
@@ -98,29 +103,35 @@ class Parts:
         """The level of each set's own size class."""
         return np.searchsorted(self.top, size)
 
-    def signatures(self, sets: list[np.ndarray], told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of each set's parts - on the level of its own size class, and of the next - and the sets on those
-        levels that they are of; told: a number for each set."""
+    def divided(self, sets: list[np.ndarray], level: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each part of each set: a hash of its number and content, its tag - that of its number -, whether it has
+        content and whose it is; and where each set's parts begin and how many there are."""
         size = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate([np.zeros(0, np.uint64), *sets])
         row = np.repeat(np.arange(len(sets)), size)
+        parts = np.where(size > 0, self.count[level], 0)
+        begin = np.cumsum(parts) - parts
+        use = parts[row] > 0
+        x, r = flat[use], row[use]
+        y = K.mix(x + level[r].astype(np.uint64) * _U(0xA0761D6478BD642F))
+        part = begin[r] + (y % parts[r].astype(np.uint64)).astype(np.int64)
+        sums, filled = np.zeros(int(parts.sum()), np.uint64), np.zeros(int(parts.sum()), bool)
+        np.add.at(sums, part, K.mix(y))
+        filled[part] = True
+        number = K.expand(np.zeros(len(parts), np.int64), parts)
+        owner = np.repeat(np.arange(len(parts)), parts)
+        tag = K.mix((number + (level[owner] << 44)).astype(np.uint64))
+        return K.mix(sums + tag), tag, filled, owner, begin, parts
+
+    def signatures(self, sets: list[np.ndarray], told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of each set's parts - on the level of its own size class, and of the next - and the sets on those
+        levels that they are of; told: a number for each set."""
         hashes, nodes = [], []
-        own = self.own(size)
+        own = self.own(np.array([len(s) for s in sets], np.int64))
         for level in (own, own + 1):
             node = nodes_of(told, level, level > own)
-            parts = np.where(size > 0, self.count[level], 0)
-            begin = np.cumsum(parts) - parts
-            use = parts[row] > 0
-            x, r = flat[use], row[use]
-            y = K.mix(x + level[r].astype(np.uint64) * _U(0xA0761D6478BD642F))
-            part = begin[r] + (y % parts[r].astype(np.uint64)).astype(np.int64)
-            sums, filled = np.zeros(int(parts.sum()), np.uint64), np.zeros(int(parts.sum()), bool)
-            np.add.at(sums, part, K.mix(y))
-            filled[part] = True
-            number = K.expand(np.zeros(len(parts), np.int64), parts)
-            owner = np.repeat(np.arange(len(parts)), parts)
-            tag = K.mix((number + (level[owner] << 44)).astype(np.uint64))
-            hashes.append(K.mix(sums + tag)[filled])
+            content, tag, filled, owner, begin, parts = self.divided(sets, level)
+            hashes.append(content[filled])
             nodes.append(node[owner[filled]])
             # Sets may agree in empty parts alone if they have more than the spare ones: then in some subset of one more.
             empty, spare = np.bincount(owner[~filled], minlength=len(parts)), self.spare[level]
@@ -133,6 +144,7 @@ class Parts:
 
 
 def _base(n: int):
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in shingle_sets(batch.column("text"), n):
@@ -189,12 +201,31 @@ def _meet(columns: list[np.ndarray]) -> pa.RecordBatch:
 def _levels(parts: Parts):
     """Each distinct set on its two levels."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, told = parts.own(batch.column("n").to_numpy()), batch.column("h1").to_numpy().view(np.uint64)
             for level in (own, own + 1):
-                cols = [batch.column("rep"), batch.column("weight"), pa.array(level.astype(np.int32)), pa.array(nodes_of(told, level, level > own))]
-                yield pa.RecordBatch.from_arrays(cols, names=["rep", "weight", "level", "node"])
+                cols = [batch.column("rep"), batch.column("weight"), batch.column("n"), pa.array(level.astype(np.int32)), pa.array(nodes_of(told, level, level > own))]
+                yield pa.RecordBatch.from_arrays(cols, names=["rep", "weight", "n", "level", "node"])
+
+    return run
+
+
+def _vectors(parts: Parts, n: int):
+    """Each document's set on its two levels as hashes of all its parts, empty ones too, four bytes each."""
+
+    @K.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sets in shingle_sets(batch.column("text"), n):
+                own, told = parts.own(np.array([len(s) for s in sets], np.int64)), set_hashes(sets)
+                ids = batch.column("id").slice(part.lo, len(sets))
+                for level in (own, own + 1):
+                    content, _, _, _, begin, count = parts.divided(sets, level)
+                    offsets = np.append(begin, len(content)).astype(np.int32) * 4
+                    packed = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(content.astype("<u4").tobytes())])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(nodes_of(told, level, level > own)), packed], names=["id", "node", "shingles"]).filter(pa.array(count > 0))
 
     return run
 
@@ -202,6 +233,7 @@ def _levels(parts: Parts):
 def _sets(parts: Parts, n: int):
     """The shingle sets of a family's documents, one copy for each cell - pair of blocks - that needs them."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = [batch.column(c).to_pylist() for c in ("id", "family", "level", "weight", "blocks", "block")]
@@ -214,10 +246,10 @@ def _sets(parts: Parts, n: int):
                         continue
                     raw = s.tobytes()
                     for other in range(blocks):
-                        for c, v in zip(rows, (family, min(block, other), max(block, other), i, weight, block, level > at, raw), strict=True):
+                        for c, v in zip(rows, (family, min(block, other), max(block, other), i, weight, block, level > at, 0, raw), strict=True):
                             c.append(v)
                         size += len(raw)
-                        if size > 16 << 20:
+                        if size > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _CELL_TYPES, strict=True)], names=_CELL_NAMES)
                             rows, size = [[] for _ in _CELL_NAMES], 0
                 if rows[0]:
@@ -226,58 +258,143 @@ def _sets(parts: Parts, n: int):
     return run
 
 
-_CELL_NAMES = ["family", "x", "y", "id", "weight", "block", "guest", "shingles"]
-_CELL_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-_CELL_SCHEMA = "family long, x int, y int, id long, weight long, block int, guest boolean, shingles binary"
+_CELL_NAMES = ["family", "x", "y", "id", "weight", "block", "guest", "enough", "shingles"]
+_CELL_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()]
+_CELL_SCHEMA = "family long, x int, y int, id long, weight long, block int, guest boolean, enough int, shingles binary"
+
+
+def _multiplied(cells: DataFrame, percent: int) -> DataFrame:
+    """The products of all cells, each in one task."""
+    return cut(cells.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_cells(percent, 100), "a long, b long, links long"))
+
+
+def _nearer(rows: DataFrame, members: DataFrame, parts: Parts, n: int, percent: int, block: int) -> DataFrame:
+    """(node, family): the members that agree with another in as many parts as similar sets must."""
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("members"), F.count_if(F.col("node") < 0).alias("natives"))
+    sizes = sizes.where("members > 1 and natives > 0").select("family", "blocks")
+    enough = F.element_at(F.array(*(F.lit(int(x)) for x in parts.spare + 1)), F.col("level") + 1)
+    dealt = members.join(sizes, "family").select(F.col("rep").alias("id"), "node", "family", "blocks", enough.alias("enough"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    met = rows.mapInArrow(_vectors(parts, n), "id long, node long, shingles binary").join(dealt, ["id", "node"]).dropDuplicates(["node"])
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = met.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("node").alias("id"), F.lit(1).cast("long").alias("weight"), "block", (F.col("node") >= 0).alias("guest"), "enough", "shingles")
+    return components(_multiplied(cells, percent).where("b is not null")).withColumnRenamed("component", "family")
 
 
-def links(sets: list[np.ndarray], side: np.ndarray | None, up: int, down: int, guest: np.ndarray | None = None) -> np.ndarray:
-    """Matrix of the pairs with down * overlap >= up * union; of pairs of the two sides only, if sides are given, and not
-    of two guests.
+class Incidence:
+    """A sparse document by n-gram matrix as postings by column. Columns with equal postings are one, with a weight;
+    columns that most documents have are held as the documents that lack them."""
 
-    The product of the incidence matrix with itself, a block of columns at a time. A pair is discarded once what it has
-    and the most that is left cannot reach the overlap that its sizes require.
+    def __init__(self, sets: list[np.ndarray]):
+        n = self.n = len(sets)
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(flat, kind="stable")  # a column's documents in ascending order
+        flat, doc = flat[order], np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])[order]
+        begin = np.flatnonzero(np.concatenate([np.ones(min(len(flat), 1), bool), flat[1:] != flat[:-1]]))
+        df = np.diff(np.append(begin, len(flat)))
+        doc, df = doc[np.repeat(df > 1, df)], df[df > 1]  # columns of one document add to no overlap
+        begin = np.cumsum(df) - df
+        told = np.add.reduceat(K.mix(doc.astype(np.uint64) + _U(1)), begin) if len(begin) else np.zeros(0, np.uint64)
+        _, first, weight = np.unique(told, return_index=True, return_counts=True)
+        rare = np.argsort(np.minimum(df[first], n - df[first]), kind="stable")  # first those with the fewest products
+        first, self.weight = first[rare], weight[rare].astype(np.int64)
+        df, begin = df[first], begin[first]
+        doc, column = doc[K.expand(begin, df)].astype(np.int64), np.repeat(np.arange(len(df)), df)
+        self.common = np.bincount(doc, self.weight[column], n).astype(np.int64)  # shingles that some other document has
+        full = 2 * df > n
+        parts = [(column[~full[column]], doc[~full[column]])]
+        number = np.flatnonzero(full)
+        for lo in range(0, len(number), 256):
+            some = number[lo : lo + 256]
+            there = np.zeros((len(some), n), bool)
+            at = np.isin(column, some)
+            there[np.searchsorted(some, column[at]), doc[at]] = True
+            c, d = np.nonzero(~there)
+            parts.append((some[c], d))
+        column, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(column, kind="stable")
+        column, self.doc = column[order], doc[order]
+        self.count = np.bincount(column, minlength=len(df))
+        self.begin = np.cumsum(self.count) - self.count
+        self.full = int(self.weight[full].sum())
+        lacking = full[column]
+        self.lack = np.bincount(self.doc[lacking], self.weight[column[lacking]], n).astype(np.int64)
+        by_doc = np.argsort(self.doc, kind="stable")
+        self.of_doc, self.doc_at = column[by_doc], np.searchsorted(self.doc[by_doc], np.arange(n + 1))
+
+    def rows(self, first: int, last: int, alive: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Which pairs of documents first to last with all others overlap in `need` shingles or more.
+
+        Products are added a block of columns at a time. A pair is discarded once what it has and the most that its row
+        has left cannot reach what it needs; a row without pairs takes no part in further blocks. What both documents
+        lack of the full columns counts in neither: w(full) - lack(i) - lack(j) + w(lacked by both).
+        """
+        row = np.repeat(np.arange(last - first), np.diff(self.doc_at[first : last + 1]))
+        column = self.of_doc[self.doc_at[first] : self.doc_at[last]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        have = self.full - self.lack[first:last, None] - self.lack[None, :]
+        left = np.bincount(row, self.weight[column], last - first).astype(np.int64)
+        at = 0
+        while at < len(row) and alive.any():
+            cost = np.cumsum(self.count[column[at : at + PRODUCTS]])
+            to = at + max(1, int(np.searchsorted(cost, PRODUCTS, "right")))
+            r, c = row[at:to], column[at:to]
+            left -= np.bincount(r, self.weight[c], last - first).astype(np.int64)
+            go = alive.any(axis=1)[r]
+            r, c = r[go], c[go]
+            n = self.count[c]
+            key = np.repeat(r * self.n, n) + self.doc[K.expand(self.begin[c], n)]
+            have += np.bincount(key, np.repeat(self.weight[c], n), have.size).astype(np.int64).reshape(have.shape)
+            alive = alive & (have + left[:, None] >= need)
+            at = to
+        return alive & (have >= need)
+
+
+def links(sets: list[np.ndarray], side: np.ndarray | None, up: int, down: int, guest: np.ndarray | None = None, enough: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(documents, matrix of these by all documents), a few documents at a time, of the pairs with
+    down * overlap >= up * union; of pairs of the two sides only, if sides are given, and not of two guests.
+
+    The product of the sparse incidence matrix with its transpose. Pairs whose sizes, or whose numbers of shingles that
+    any other document has, cannot reach the overlap that their sizes require are discarded before it, others on the way.
+    enough: an overlap that links whatever the sizes.
     """
-    n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    row = np.repeat(np.arange(n), size)
-    column, which, df = np.unique(flat, return_inverse=True, return_counts=True)
-    need = -(-up * (size[:, None] + size[None, :]) // (up + down))  # overlap o with down * o >= up * (a + b - o)
-    alive = np.minimum(size[:, None], size[None, :]) >= need
-    np.fill_diagonal(alive, False)
-    if side is not None:
-        alive &= side[:, None] != side[None, :]
-    if guest is not None:
-        alive &= ~(guest[:, None] & guest[None, :])
-    # Columns of one document add to no overlap but to what cannot be shared; they go first.
-    shared = df[which] > 1
-    left = np.bincount(row[shared], minlength=n)
-    alive &= np.minimum(left[:, None], left[None, :]) >= need
-    row, which = row[shared], (np.cumsum(df > 1) - 1)[which[shared]]
-    order = np.argsort(which, kind="stable")
-    row, which = row[order], which[order]
-    total = int(which[-1]) + 1 if len(which) else 0
-    acc = np.zeros((n, n), np.int64)
-    for lo in range(0, total, COLUMNS):
-        keep = np.flatnonzero(alive.any(axis=1))
-        if not len(keep):
-            break
-        a, b = np.searchsorted(which, [lo, lo + COLUMNS])
-        place = np.full(n, -1)
-        place[keep] = np.arange(len(keep))
-        r, c = place[row[a:b]], which[a:b] - lo
-        m = np.zeros((len(keep), min(COLUMNS, total - lo)), np.float32)
-        m[r[r >= 0], c[r >= 0]] = 1
-        acc[np.ix_(keep, keep)] += (m @ m.T).astype(np.int64)
-        left = left - np.bincount(row[a:b], minlength=n)
-        alive &= acc + np.minimum(left[:, None], left[None, :]) >= need
-    return alive & (acc >= need)
+    everyone = np.arange(len(sets))
+
+    def needed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if enough:
+            return np.full((len(i), len(j)), enough)
+        return -(-up * (size[i, None] + size[None, j]) // (up + down))  # overlap o with down * o >= up * (a + b - o)
+
+    def possible(i: np.ndarray, j: np.ndarray, common: np.ndarray) -> np.ndarray:
+        ok = (np.minimum(common[i, None], common[None, j]) >= needed(i, j)) & (i[:, None] != j[None, :])
+        if side is not None:
+            ok &= side[i, None] != side[None, j]
+        if guest is not None:
+            ok &= ~(guest[i, None] & guest[None, j])
+        return ok
+
+    # Documents that fit none by size, then those that share too few columns with all others together.
+    common, keep = size, everyone
+    for _ in range(2):
+        some = [possible(keep[lo : lo + ROWS], keep, common).any(axis=1) for lo in range(0, len(keep), ROWS)]
+        keep = keep[np.concatenate([np.zeros(0, bool), *some])]
+        if len(keep) < 2:
+            return
+        product = Incidence([sets[i] for i in keep.tolist()])
+        common = np.zeros(len(sets), np.int64)
+        common[keep] = product.common
+    for lo in range(0, len(keep), ROWS):
+        i = keep[lo : lo + ROWS]
+        out = np.zeros((len(i), len(sets)), bool)
+        out[:, keep] = product.rows(lo, lo + len(i), possible(i, keep, common), needed(i, keep))
+        yield i, out
 
 
 def _cells(up: int, down: int):
     """Products of the cells' blocks, rows sorted by cell: each document's links, and edges that span what is linked."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
         for batch in batches:
@@ -301,24 +418,21 @@ def _cells(up: int, down: int):
         if len(t) < 2:
             return
         ids, weight, block = (t.column(c).to_numpy() for c in ("id", "weight", "block"))
-        sets, guest = [np.frombuffer(b, np.uint64) for b in t.column("shingles").to_pylist()], np.array(t.column("guest").to_pylist(), bool)
-        linked = links(sets, block if cell[1] != cell[2] else None, up, down, guest)
-        many = linked @ weight
-        up_to = list(range(len(ids)))
-
-        def top(i):
-            while up_to[i] != i:
-                up_to[i] = up_to[up_to[i]]
-                i = up_to[i]
-            return i
-
+        guest = t.column("guest").to_numpy()
+        offsets, data = K.buffers(t.column("shingles"))
+        enough = t.column("enough")[0].as_py()
+        sets = [data[a:b].view(np.uint32 if enough else np.uint64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        many = np.zeros(len(ids), np.int64)
+        part = np.arange(len(ids))  # what is joined so far
         a, b = [], []
-        for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
-            x, y = top(i), top(j)
-            if x != y:
-                up_to[x] = y
-                a.append(int(ids[i]))
-                b.append(int(ids[j]))
+        for some, linked in links(sets, block if cell[1] != cell[2] else None, up, down, guest, enough):
+            many[some] = linked @ weight
+            for i, row in zip(some.tolist(), linked, strict=True):
+                others = np.unique(part[row])
+                for j in others[others != part[i]].tolist():  # parts are told by one of their documents
+                    a.append(int(ids[i]))
+                    b.append(int(ids[j]))
+                    part[part == j] = part[i]
         hit = np.flatnonzero(many)
         n = len(hit)
         yield pa.RecordBatch.from_arrays(
@@ -348,13 +462,15 @@ def jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, block: int
     parts = Parts(Fraction(percent, 100))
     sent = rows.where("id is not null").mapInArrow(P.sender(_signatures(parts, n), _settle(number)), P.SCHEMA)
     family = components(P.exchange(sent, ["u8", "i8", "i1"], _meet, "a long, b long"))
-    members = whole.select("rep", "weight", "n", "h1").mapInArrow(_levels(parts), "rep long, weight long, level int, node long")
-    members = members.join(family.withColumnRenamed("component", "family"), "node")
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("members"), F.count_if(F.col("node") < 0).alias("natives"))
+    members = whole.select("rep", "weight", "n", "h1").mapInArrow(_levels(parts), "rep long, weight long, n long, level int, node long")
+    members = cut(members.join(family.withColumnRenamed("component", "family"), "node"))
+    named = rows.where("id is not null")
+    members = members.drop("family").join(_nearer(named, members, parts, n, percent, 4 * block), "node")
+    sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("members"), F.count_if(F.col("node") < 0).alias("natives"))
     sizes = sizes.where("members > 1 and natives > 0").select("family", "blocks")
     members = members.join(sizes, "family").select(F.col("rep").alias("id"), "family", "level", "weight", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
     cells = rows.join(members.dropDuplicates(["id", "family"]), "id").mapInArrow(_sets(parts, n), _CELL_SCHEMA)
-    found = cut(cells.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_cells(percent, 100), "a long, b long, links long"))
+    found = _multiplied(cells, percent)
     count = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     joined = components(found.where("b is not null")).select(F.col("node").alias("rep"), "component")
     told = whole.join(joined, "rep", "left").join(count, "rep", "left")

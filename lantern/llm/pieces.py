@@ -183,6 +183,7 @@ def pieces(model: str) -> Pieces:
 
 
 def _run(model: str, ids: bool):
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         try:
