@@ -7,7 +7,11 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+from .centroids import cluster
+from .counts import token_counts
 from .decontaminate import decontaminate
+from .divergence import divergence
 from .doubling import substring_dedup
 from .jaccard import jaccard_join
 from .licenses import license_scan
@@ -88,5 +92,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(files, F.col("path").rlike("(^|/)(LICENSE|COPYING)[^/]*$"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"), least=3, top=200)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer(), limit=4096)
+
+
 QUERIES = {name: f for name, f in sorted(vars(sys.modules[__name__]).items()) if name.startswith("op") and name[2].isdigit()}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_source_divergence": oracles.divergence(), "op12_centroids": oracles.centroids()}

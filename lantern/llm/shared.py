@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Like cut, as a Parquet table of the shared folder: the planner knows its size then, and broadcasts it only if small."""
+    at = posixpath.join(folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes what an operator wrote to the shared folder itself and nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
