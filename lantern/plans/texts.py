@@ -98,16 +98,33 @@ def national_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", X.national_letter(F.col("o_orderkey")).alias("letter"))
 
 
-@query("""WITH c AS (SELECT o_orderkey, o_orderkey AS k, (o_orderkey // 4) % 2 AS off, o_orderkey % 4 AS kind FROM orders)
-SELECT o_orderkey, CASE kind WHEN 3 THEN 'no_verificable' WHEN 2 THEN CASE WHEN abs((3 * k + 1) / 3.0 - (k + 0.33 + off / 100.0)) <= 0.005 THEN 'verificada' ELSE 'podada' END ELSE CASE WHEN 3 * k - 7 = 3 * k - 7 + off THEN 'verificada' ELSE 'podada' END END AS verdict FROM c""")
+@query("""
+WITH c AS (SELECT o_orderkey, o_orderkey AS k, o_custkey AS c, (o_orderkey // 16) % 2 AS off, o_orderkey % 16 AS kind, o_orderkey % 23 + 2 AS n FROM orders),
+t AS (SELECT *, CASE kind WHEN 0 THEN 3 * k - 7 WHEN 1 THEN (3 * k + 1) / 3.0 WHEN 2 THEN pow(2, n) * pow(2, n) WHEN 3 THEN factorial(n::INT)::DOUBLE / factorial((n - 2)::INT)::DOUBLE
+    WHEN 4 THEN gcd(6 * k, 9 * k) WHEN 5 THEN lcm(4 * k, 6 * k) WHEN 6 THEN floor(k / 7) + ceil(-k / 7) WHEN 7 THEN c % 97 + 97 * floor(c / 97)
+    WHEN 8 THEN factorial(n::INT)::DOUBLE / 2 / factorial((n - 2)::INT)::DOUBLE WHEN 9 THEN sqrt(k * k + 2 * k + 1) WHEN 10 THEN ln(exp(n)) WHEN 11 THEN pow(sin(k), 2) + pow(cos(k), 2) END AS truth,
+  CASE kind WHEN 0 THEN 3 * k - 7 WHEN 1 THEN k + 0.33 WHEN 2 THEN pow(4, n) WHEN 3 THEN n * (n - 1) WHEN 4 THEN 3 * k WHEN 5 THEN 12 * k WHEN 6 THEN 0 WHEN 7 THEN c
+    WHEN 8 THEN n * (n - 1) / 2 WHEN 9 THEN k + 1 WHEN 10 THEN n WHEN 11 THEN 1 END + off AS said FROM c)
+SELECT o_orderkey, CASE WHEN truth IS NULL THEN 'no_verificable' WHEN abs(truth - said) <= 0.005 THEN 'verificada' ELSE 'podada' END AS verdict,
+  CASE kind WHEN 12 THEN 'factorial_excesivo' WHEN 13 THEN 'nombre_no_permitido' WHEN 14 THEN 'resultado_mal_formado' WHEN 15 THEN 'sin_valor_numerico'
+    ELSE CASE WHEN abs(truth - said) > 0.005 THEN 'resultado_no_coincide' END END AS reason FROM t""")
 def calc_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims that are right or off by one, whole or rounded to two places, and one kind that is no arithmetic."""
-    k = F.col("o_orderkey")
-    off, kind = (F.floor(k / 4) % 2), k % 4
-    expression = F.when(kind == 3, F.concat(F.lit("x + "), k)).when(kind == 2, F.concat(F.lit("("), k, F.lit("*3+1)/3"))).otherwise(F.concat(k, F.lit("*3-7")))
-    result = F.when(kind == 2, F.concat(k, F.lit(","), (off + 33).cast("string"))).otherwise((k * 3 - 7 + off).cast("string"))
-    o = read(spark, sf_dir, "orders").select("o_orderkey", expression.alias("e"), result.alias("r"))
-    return o.select("o_orderkey", calc.calc_verdict("e", "r")["verdict"].alias("verdict"))
+    """Claims of twelve kinds that are right or off by one, and four kinds that can't be checked."""
+    k, c, n = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderkey") % 23 + 2
+    off = F.floor(k / 16) % 2
+    four = F.pow(F.lit(4.0), n).cast("decimal(20,0)")
+    kinds = [
+        ("%s*3-7", [k], 3 * k - 7), ("(%s*3+1)/3", [k], None), ("2^%s * 2**%s", [n, n], four), ("%s! / (%s-2)!", [n, n], n * (n - 1)), ("gcd(6*%s, 9*%s)", [k, k], 3 * k), ("lcm(4*%s, 6*%s)", [k, k], 12 * k),
+        ("floor(%s/7) + ceiling(-%s/7)", [k, k], F.lit(0)), ("mod(%s, 97) + 97*floor(%s/97)", [c, c], c), ("binomial(%s,2)", [n], n * (n - 1) / 2), ("sqrt(%s^2 + 2*%s + 1)", [k, k], k + 1), ("ln(exp(%s))", [n], n),
+        ("sin(%s)^2 + cos(%s)^2", [k, k], F.lit(1)), ("factorial(100000 + %s)", [k], k), ("x + %s", [k], k), ("%s*2", [k], None), ("%s/(%s-%s)", [k, c, c], k),
+    ]
+    e, r = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for kind, (text, parts, said) in enumerate(kinds):
+        written = F.concat((k + off).cast("string"), F.lit(",33" if kind == 1 else ".500")) if said is None else (said + off).cast("decimal(22,0)").cast("string")
+        e = F.when(k % 16 == kind, F.format_string(text, *(p.cast("string") for p in parts))).otherwise(e)
+        r = F.when(k % 16 == kind, written).otherwise(r)
+    claims = read(spark, sf_dir, "orders").select("o_orderkey", calc.calc_verdict(e, r).alias("v"))
+    return claims.select("o_orderkey", "v.verdict", "v.reason")
 
 
 @query()
