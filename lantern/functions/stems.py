@@ -43,8 +43,22 @@ def _rv(word: str) -> int:
     return 3
 
 
-def _longest(word: str, endings) -> str | None:
-    return max((e for e in endings if word.endswith(e)), key=len, default=None)
+def _by_length(endings) -> tuple[frozenset[str], int]:
+    return frozenset(endings), max(map(len, endings))
+
+
+def _longest(word: str, endings: tuple[frozenset[str], int]) -> str | None:
+    known, most = endings
+    for n in range(min(most, len(word)), 0, -1):
+        if (e := word[-n:]) in known:
+            return e
+    return None
+
+
+_KIND = {e: "plain" for e in PLAIN} | {e: "adora" for e in ADORA} | {e: "idad" for e in ("idad", "idades")} | {e: "iva" for e in ("iva", "ivo", "ivas", "ivos")}
+_PRONOUNS, _BEFORE, _LAST = _by_length(PRONOUNS), _by_length(BEFORE_PRONOUN), _by_length(["os", "a", "o", "á", "í", "ó", "e", "é"])
+_SUFFIXES, _Y, _VERBS = _by_length([*_KIND, *REPLACED, "amente", "mente"]), _by_length(Y_VERBS), _by_length([*SHORT_VERBS, *VERBS])
+_MORE = {k: _by_length(v) for k, v in {"amente": ["ativ", "iv", "os", "ic", "ad"], "mente": ["ante", "able", "ible"], "plain": [""], "adora": ["ic"], "idad": ["abil", "ic", "iv"], "iva": ["at"]}.items()}
 
 
 @lru_cache(100_000)
@@ -52,17 +66,17 @@ def stem(word: str) -> str:
     """The stem of a small-letter word."""
     rv, r1 = _rv(word), _after(word, 0)
     r2 = _after(word, r1)
-    pronoun = _longest(word, PRONOUNS)
+    pronoun = _longest(word, _PRONOUNS)
     if pronoun:
         rest = word[: -len(pronoun)]
-        before = _longest(rest, BEFORE_PRONOUN)
+        before = _longest(rest, _BEFORE)
         if before and len(rest) - len(before) >= rv and (before != "yendo" or rest[:-5].endswith("u")):
             word = rest[: -len(before)] + BEFORE_PRONOUN[before]
     begun = word
     word = _suffix(word, r1, r2)
     if word == begun:
         word = _verb(word, rv)
-    last = _longest(word, ["os", "a", "o", "á", "í", "ó", "e", "é"])
+    last = _longest(word, _LAST)
     if last and len(word) - len(last) >= rv:
         word = word[: -len(last)]
         if last in "eé" and word.endswith("gu") and len(word) - 1 >= rv:
@@ -71,8 +85,7 @@ def stem(word: str) -> str:
 
 
 def _suffix(word: str, r1: int, r2: int) -> str:
-    groups = {e: "plain" for e in PLAIN} | {e: "adora" for e in ADORA} | {e: "idad" for e in ("idad", "idades")} | {e: "iva" for e in ("iva", "ivo", "ivas", "ivos")}
-    found = _longest(word, [*groups, *REPLACED, "amente", "mente"])
+    found = _longest(word, _SUFFIXES)
     if not found:
         return word
     at = len(word) - len(found)
@@ -80,7 +93,7 @@ def _suffix(word: str, r1: int, r2: int) -> str:
         if at < r1:
             return word
         word = word[:at]
-        cut = _longest(word, ["ativ", "iv", "os", "ic", "ad"])
+        cut = _longest(word, _MORE["amente"])
         if cut == "ativ" and len(word) - 4 < r2:
             cut = "iv"
         return word[: -len(cut)] if cut and len(word) - len(cut) >= r2 else word
@@ -89,16 +102,15 @@ def _suffix(word: str, r1: int, r2: int) -> str:
     if found in REPLACED:
         return word[:at] + REPLACED[found]
     word = word[:at]
-    more = {"plain": [], "adora": ["ic"], "idad": ["abil", "ic", "iv"], "iva": ["at"]}[groups[found]] if found != "mente" else ["ante", "able", "ible"]
-    cut = _longest(word, more)
+    cut = _longest(word, _MORE["mente" if found == "mente" else _KIND[found]])
     return word[: -len(cut)] if cut and len(word) - len(cut) >= r2 else word
 
 
 def _verb(word: str, rv: int) -> str:
-    y = _longest(word[rv:], Y_VERBS)
+    y = _longest(word[rv:], _Y)
     if y and word[: -len(y)].endswith("u"):
         return word[: -len(y)]
-    found = _longest(word[rv:], [*SHORT_VERBS, *VERBS])
+    found = _longest(word[rv:], _VERBS)
     if not found:
         return word
     word = word[: -len(found)]

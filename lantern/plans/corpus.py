@@ -127,15 +127,60 @@ a AS (SELECT *, max(CASE WHEN term = 'worthless' THEN pos END) OVER o AS x, max(
 b AS (SELECT *, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN least(x, y) END AS s, least(i, j) AS m FROM a), c AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM b),
 d AS (SELECT doc_id, round(sum(0.1::DOUBLE / (1 + (pos - s) - (n - m))), 6) AS score FROM c WHERE s IS NOT NULL AND (before IS NULL OR s > before) GROUP BY 1) SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank FROM d ORDER BY score DESC, doc_id LIMIT 20""")
 def lexical_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = lexical.postings(read(spark, sf_dir, "documents"), "doc_id", stemmed=False)
-    return lexical.search(index, "worthless license", 20, "doc_id", every=True, stemmed=False).select("doc_id", "score", "rank")
+    return _searched(spark, sf_dir, "worthless license", every=True)
 
 
 @query("WITH " + TERMS + """, s AS (SELECT doc_id, round(0.1::DOUBLE * count(*), 6) AS score FROM h WHERE term IN ('worthless', 'license') AND doc_id NOT IN (SELECT doc_id FROM h WHERE term = 'mit') GROUP BY 1)
 SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 20""")
 def lexical_any_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, "worthless license -mit")
+
+
+def _searched(spark, sf_dir, question: str, every: bool = False) -> DataFrame:
+    index = lexical.postings(read(spark, sf_dir, "documents"), "doc_id", stemmed=False, only=lexical.terms_of(question, False))
+    return lexical.search(index, question, 20, "doc_id", every=every, stemmed=False).select("doc_id", "score", "rank")
+
+
+PHRASES = TERMS + """, lic AS (SELECT a.doc_id, a.pos AS s, a.pos + 1 AS e FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'license' AND b.term = 'version'),
+und AS (SELECT a.doc_id, a.pos AS s, a.pos + 1 AS e FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'licensed' AND b.term = 'under'),
+mit AS (SELECT doc_id, pos AS s, pos AS e FROM h WHERE term = 'mit'), apa AS (SELECT doc_id, pos AS s, pos AS e FROM h WHERE term = 'apache')"""
+
+
+@query("WITH " + PHRASES + """, f AS (SELECT * FROM lic UNION ALL SELECT * FROM und UNION ALL SELECT * FROM mit WHERE doc_id NOT IN (SELECT doc_id FROM h WHERE term = 'der')),
+s AS (SELECT doc_id, round(0.1::DOUBLE * count(*), 6) AS score FROM f GROUP BY 1)
+SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 20""")
+def lexical_phrase_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and words, any of which will do; an alternative's exclusion is its own."""
+    return _searched(spark, sf_dir, '"license version" "licensed under" or mit -der')
+
+
+@query("WITH " + PHRASES + """, two AS (SELECT 1 AS alt, doc_id, s, e, 2 AS n, 0 AS lit FROM und UNION ALL SELECT 1, doc_id, s, e, 1, 1 FROM apa UNION ALL SELECT 0, doc_id, s, e, 1, 0 FROM mit UNION ALL SELECT 0, doc_id, pos, pos, 1, 1 FROM h WHERE term = 'the'),
+p AS (SELECT DISTINCT a.alt, a.doc_id, least(a.s, b.s) AS s, greatest(a.e, b.e) AS e FROM two a JOIN two b ON a.alt = b.alt AND a.doc_id = b.doc_id AND a.lit = 0 AND b.lit = 1),
+m AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p x WHERE x.alt = p.alt AND x.doc_id = p.doc_id AND x.s >= p.s AND x.e <= p.e AND (x.s, x.e) <> (p.s, p.e))),
+c AS (SELECT m.alt, m.doc_id, m.s, m.e, sum(t.n) AS own FROM m JOIN two t ON t.alt = m.alt AND t.doc_id = m.doc_id AND t.s >= m.s AND t.e <= m.e GROUP BY ALL),
+s AS (SELECT doc_id, round(sum(0.1::DOUBLE / (1 + e - s + 1 - own)), 6) AS score FROM c WHERE alt = 1 OR doc_id NOT IN (SELECT doc_id FROM lic) GROUP BY 1)
+SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 20""")
+def lexical_phrase_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that one of two alternatives asks for, by the closeness in which it stands."""
+    return _searched(spark, sf_dir, 'mit the -"license version" or "licensed under" apache', every=True)
+
+
+@query("WITH " + TERMS + f""", b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM benchmark), q AS (SELECT * FROM b WHERE len(w) >= 9),
+l AS (SELECT item_id, 0 AS alt, 0 AS lit, false AS out, 0 AS off, w[1] AS term FROM q WHERE w[1] <> 'or' UNION ALL SELECT item_id, 1, 0, false, 0, w[4] FROM q UNION ALL SELECT item_id, 1, 0, false, 1, w[5] FROM q UNION ALL SELECT item_id, 1, 1, true, 0, w[9] FROM q),
+k AS (SELECT *, count(*) OVER g AS n, off - min(off) OVER g AS o FROM l WHERE NOT list_contains({STOPS}, term) WINDOW g AS (PARTITION BY item_id, alt, lit)),
+names AS (SELECT item_id, alt, lit, string_agg(o || term, ' ' ORDER BY o) AS name FROM k GROUP BY ALL),
+x AS (SELECT item_id, alt, lit, out, doc_id, pos - o AS s FROM k JOIN h ON k.term = h.term GROUP BY item_id, alt, lit, out, n, doc_id, s HAVING count(*) = n),
+good AS (SELECT * FROM x WHERE NOT out AND (item_id, alt, doc_id) NOT IN (SELECT item_id, alt, doc_id FROM x WHERE out)),
+each AS (SELECT DISTINCT item_id, doc_id, name, s FROM good JOIN names USING (item_id, alt, lit)),
+s AS (SELECT item_id, doc_id, round(0.1::DOUBLE * count(*), 6) AS score FROM each GROUP BY 1, 2)
+SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s QUALIFY rank <= 3""")
+def lexical_questions_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of questions in one pass over the postings: of each benchmark item a word, or a phrase without another word."""
+    w = lexical.words_of(F.col("text"))
+    text = F.concat(w[0], F.lit(' or "'), w[3], F.lit(" "), w[4], F.lit('" -'), w[8])
+    asked = read(spark, sf_dir, "benchmark").where(F.size(w) >= 9).select("item_id", text.alias("question"))
     index = lexical.postings(read(spark, sf_dir, "documents"), "doc_id", stemmed=False)
-    return lexical.search(index, "worthless license -mit", 20, "doc_id", stemmed=False).select("doc_id", "score", "rank")
+    return lexical.search_all(index, asked, 3, "doc_id", stemmed=False, query="item_id").select("item_id", "doc_id", "score", "rank")
 
 
 @query()

@@ -92,7 +92,7 @@ def test_lexical_search(spark, tmp_path):
     assert set(every) == {1, 2, 4} and every[4] == round(0.1 / 5 + 0.1 + 0.1, 6)  # three shortest stretches
     assert [r.chunk_id for r in lexical.search(index, "servidor -sesión", 9, "chunk_id").collect()] == [3]
     assert lexical.search(index, "de la que", 9, "chunk_id").count() == 0
-    plan = lexical.hits(index, ["servidor"])._jdf.queryExecution().toString()
+    plan = lexical.hits(index, spark.createDataFrame([("servidor",)], "term string"))._jdf.queryExecution().toString()
     assert "PartitionFilters: []" not in plan and "PartitionFilters: [" in plan
 
 
