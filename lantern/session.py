@@ -10,6 +10,7 @@ def session(app: str = "lantern", master: str | None = None, **conf: str) -> Spa
     if master:
         builder = builder.master(master)
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+    settings["spark.sql.streaming.stateStore.providerClass"] = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

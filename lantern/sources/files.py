@@ -79,11 +79,6 @@ def append_new(spark: SparkSession, rows: DataFrame, path: str, key: list[str])
     insert_new(target, rows, key).write.mode("append").parquet(path)
 
 
-def write_trace(requests: DataFrame, responses: DataFrame, claims: DataFrame, path: str) -> None:
-    for name, df in (("requests", requests), ("responses", responses), ("claims", claims)):
-        df.write.mode("append").parquet(f"{path}/{name}")
-
-
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("lineSep", "\n").json(path)
 

@@ -77,32 +77,50 @@ class Prose:
             self._char(c, out)
 
 
+class EarlyArray:
+    """Gives out the array of a root field as soon as its closing bracket has come, however the text is cut."""
+
+    def __init__(self, field: str = "afirmaciones", state: tuple | None = None):
+        self.field = field
+        (self.depth, self.quoted, self.escape, self.word, self.key, self.kept, self.done) = state or (0, False, False, "", "", "", False)
+
+    def state(self) -> tuple:
+        return (self.depth, self.quoted, self.escape, self.word, self.key, self.kept, self.done)
+
+    def feed(self, text: str) -> str | None:
+        for c in text:
+            if self.done:
+                return None
+            if self.kept:
+                self.kept += c
+            if self.quoted:
+                if self.escape:
+                    self.escape = False
+                elif c == "\\":
+                    self.escape = True
+                elif c == '"':
+                    self.quoted = False
+                elif self.depth == 1:
+                    self.word += c
+            elif c == '"':
+                self.quoted, self.word = True, ""
+            elif c == ":" and self.depth == 1:
+                self.key = self.word
+            elif c in "{[":
+                self.depth += 1
+                if c == "[" and self.depth == 2 and self.key == self.field and not self.kept:
+                    self.kept = c
+            elif c in "}]":
+                self.depth -= 1
+                if self.depth == 1 and self.kept:
+                    out, self.kept, self.done = self.kept, "", True
+                    return out
+        return None
+
+
 def early_array(text: str, field: str) -> str | None:
     """The array of a root field once its closing bracket is there, else null."""
-    depth, quoted, escape, word, key, begin = 0, False, False, "", "", -1
-    for i, c in enumerate(text):
-        if quoted:
-            if escape:
-                escape = False
-            elif c == "\\":
-                escape = True
-            elif c == '"':
-                quoted = False
-            elif depth == 1:
-                word += c
-        elif c == '"':
-            quoted, word = True, ""
-        elif c == ":" and depth == 1:
-            key = word
-        elif c in "{[":
-            depth += 1
-            if c == "[" and depth == 2 and key == field:
-                begin = i
-        elif c in "}]":
-            depth -= 1
-            if depth == 1 and begin >= 0:
-                return text[begin : i + 1]
-    return None
+    return EarlyArray(field).feed(text)
 
 
 class Gate:
@@ -193,8 +211,18 @@ def gate_stream(tokens: DataFrame, idle_ms: int | None = None) -> DataFrame:
     return out.withColumnRenamed("out", "sentence")
 
 
+def claims_stream(tokens: DataFrame, field: str = "afirmaciones", idle_ms: int | None = None) -> DataFrame:
+    """Streaming: (response_id, claims), the array of claims as JSON text, in the micro-batch in which its bracket closes -
+    while the prose behind it is still being written. A response whose array never closes has no row."""
+    step = _step(lambda kept: EarlyArray(field, tuple(kept[i] for i in range(7)) if kept else None), lambda p, text: [x for x in [p.feed(text)] if x], lambda p: [], lambda p: p.state(), idle_ms)
+    kept = "depth int, quoted boolean, escape boolean, word string, key string, kept string, done boolean"
+    out = tokens.groupBy("response_id").applyInPandasWithState(step, "response_id long, out string", kept, "append", _timeout(idle_ms))
+    return out.withColumnRenamed("out", "claims")
+
+
 def rate_stream(tokens: DataFrame, every: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
-    """Streaming: tokens per response and fixed window, final once the watermark has passed."""
+    """Streaming: tokens per response and fixed window, final once the watermark has passed. `watch.rate_watch` has the exact
+    trailing rate."""
     return tokens.withWatermark("ts", late).groupBy("response_id", F.window("ts", every)).agg(F.count("*").alias("n")).select("response_id", F.col("window.start").alias("start"), "n")
 
 
