@@ -92,51 +92,6 @@ def joined_lines(c: Column) -> Column:
     return F.regexp_replace(c, r"(?<=[\p{L},])[ \t]*\n(?=\p{Ll})", " ")
 
 
-CODE_LINE = r"[{};]\s*$|^\s*(public|private|class|def|import|SELECT|INSERT|CREATE|return|for|while|if)\b|^\s*(//|#include)"
-
-
-def code_share(c: Column) -> Column:
-    """Share of code: what stands in fences if there are two or more, else the lines that look like it."""
-    pieces = F.split(c, "```")
-    fenced = F.aggregate(F.transform(pieces, lambda p, i: F.when((i % 2 == 1) & (i < F.size(pieces) - 1), F.length(p) + 3).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    return F.when(F.size(pieces) >= 3, fenced / F.greatest(F.length(c), F.lit(1))).otherwise(X.share_of_lines(c, CODE_LINE))
-
-
-DEFINES = r"(?i)\b(es|son) (un|una|unos|unas|el|la|los|las) \p{L}+|\bse (define|denomina|llama|conoce) (como)?\b|\bconsiste en\b"
-WEAK = r"(?i)\b(es|son) (un|una) (buen|buena|gran|mal|mala|ejemplo|problema|error|poco)\b"
-
-
-def defining_sentence(c: Column) -> Column:
-    """The first sentence that defines something: six words or more, no question, no weak genus."""
-    parts = F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s))
-    good = F.filter(parts, lambda s: (F.size(X.words(s)) >= 6) & ~F.contains(s, F.lit("?")) & ~s.rlike(WEAK) & s.rlike(DEFINES))
-    return F.try_element_at(good, F.lit(1))
-
-
-def content_kind(c: Column, title: Column) -> Column:
-    """codigo, enunciado_ejercicio, procedimiento, ejemplo_resuelto, definicion, normativa or explicacion: the first that fits.
-
-    What shows by its form goes before what a word shows.
-    """
-    count = lambda p: F.regexp_count(c, F.lit(p))
-    orders = count(r"(?m)^\s*(\$|>|C:\\|sudo )")
-    steps = count(r"(?m)^\s*(\d{1,2}[.)]|[-*]|[Pp]aso \d+)\s")
-    tasks = count(r"(?i)\b(calcula|implementa|escribe|realiza|crea|indica|responde|resuelve|dise[nñ]a|explica)\b")
-    options = count(r"(?m)^\s*[a-dA-D][).]\s")
-    asked = c.rlike(r"(?i)\bse pide\b")
-    titled = F.regexp_replace(title, r"[_\-.]+", " ").rlike(r"(?i)\b(ejercicios?|tarea|pr[aá]ctica|actividad(es)?|bolet[ií]n|examen)\b")
-    exercise = (titled & ((tasks >= 2) | (options >= 3) | asked)) | (options >= 4) | ((tasks >= 3) & asked)
-    return (
-        F.when((code_share(c) >= 0.5) & (X.whole_sentences(c) <= 2), "codigo")
-        .when(exercise, "enunciado_ejercicio")
-        .when(((steps >= 3) & ((tasks > 0) | (orders > 0))) | (orders >= 3), "procedimiento")
-        .when(c.rlike(r"(?i)\b(por ejemplo|ejemplo( \d+)?:|veamos un ejemplo)"), "ejemplo_resuelto")
-        .when((code_share(c) < 0.2) & (F.size(X.words(c)) >= 30) & (count(r"\?") < 2) & defining_sentence(c).isNotNull(), "definicion")
-        .when(count(r"(?i)\b(art[ií]culo \d+|real decreto|ley org[aá]nica|bolet[ií]n oficial)\b") >= 2, "normativa")
-        .otherwise("explicacion")
-    )
-
-
 def gold_status(gold: DataFrame, chunks: DataFrame, key: list[str], hash_column: str = "hash", subject: str = "subject_id", admitted: str = "admitted", source: str = "source_id") -> DataFrame:
     """Each gold row with what is wrong: missing, shifted, not_admitted, circular, subject - or ok."""
     c = chunks.select(*key, F.col(hash_column).alias("__h"), F.col(subject).alias("__s"), F.col(admitted).alias("__a"), F.col(source).alias("__o"), F.lit(True).alias("__there"))
@@ -215,11 +170,25 @@ def pdf_date(c: Column) -> Column:
     return F.try_to_date(F.regexp_extract(c, r"D:(\d{8})", 1), "yyyyMMdd")
 
 
-def retry_after(c: Column, cap: float = 4.0) -> Column:
-    """Seconds to wait, of `12`, `1m30s`, `250ms` and the like, at most `cap`; null if it can't be read."""
-    part = lambda p: F.coalesce(F.regexp_extract(c, p, 1).try_cast("double"), F.lit(0.0))
-    seconds = part(r"(\d+)h") * 3600 + part(r"(\d+)m(?!s)") * 60 + part(r"(\d+(?:\.\d+)?)s") + part(r"(\d+(?:\.\d+)?)ms") / 1000
-    return F.when(c.rlike(r"^\d+(\.\d+)?$"), F.least(c.try_cast("double"), F.lit(cap))).when(c.rlike(r"^(\d+h)?(\d+m(?!s))?(\d+(\.\d+)?s)?(\d+(\.\d+)?ms)?$"), F.least(seconds, F.lit(cap)))
+def retry_after(c: Column, now: Column | None = None, cap: float = 4.0, resets: list[Column] | None = None) -> Column:
+    """Seconds to wait, at most `cap`: of a number of seconds, of spans such as `1m30s` and `250ms`, or of an HTTP date, counted
+    from `now`. A date that has passed is 0; what can't be read is null, an empty value the longest of `resets` that can
+    be read, or null: quotas are independent, so it is no use to come back before the last of them."""
+    if resets:
+        known = F.array_max(F.array(*(retry_after(r, now, cap) for r in resets)))
+        return F.when(F.length(F.coalesce(F.trim(c), F.lit(""))) > 0, retry_after(c, now, cap)).otherwise(known)
+    c = F.trim(c)
+    parts = F.regexp_extract_all(c, F.lit(r"(\d+(?:\.\d+)?(?:ms|s|m|h))"), 1)
+    unit = lambda p: F.regexp_extract(p, "[a-z]+$", 0)
+    times = lambda p: F.when(unit(p) == "ms", 0.001).when(unit(p) == "s", 1.0).when(unit(p) == "m", 60.0).otherwise(3600.0)
+    spans = F.aggregate(parts, F.lit(0.0), lambda a, p: a + F.regexp_extract(p, r"^[\d.]+", 0).cast("double") * times(p))
+    date = F.try_to_timestamp(F.regexp_replace(c, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    ahead = F.greatest(date.cast("double") - (F.current_timestamp() if now is None else now).cast("double"), F.lit(0.0))
+    return (
+        F.when(c.rlike(r"^[+-]?\d+(\.\d*)?$"), F.least(F.greatest(c.try_cast("double"), F.lit(0.0)), F.lit(cap)))
+        .when(c.rlike(r"^(\d+(\.\d+)?(ms|s|m|h))+$"), F.least(spans, F.lit(cap)))
+        .when(c.rlike(r"^[A-Za-z]{3}, \d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} GMT$"), F.when(date.isNotNull(), F.least(ahead, F.lit(cap))))
+    )
 
 
 def as_of(events: DataFrame, marks: DataFrame, key: str, at: str, start: str, value: str) -> DataFrame:
@@ -234,25 +203,3 @@ def sections(lines: DataFrame, document: str, ordinal: str, line: str, heading:
     heads = lines.where(F.col(line).rlike(heading))
     end = F.lead(ordinal).over(Window.partitionBy(document).orderBy(ordinal)) - 1
     return heads.select(document, F.col(line).alias("heading"), F.col(ordinal).alias("first"), end.alias("last"))
-
-
-def code_chunks(documents: DataFrame, id_column: str, text_column: str, budget: int = 512) -> DataFrame:
-    """Source files cut where classes and methods begin, pieces under half the budget joined; no overlap."""
-    kind = documents.schema[id_column].dataType.simpleString()
-
-    def cut(text: str) -> list[str]:
-        parts = [p for p in re.split(r"(?m)^(?=\s*(?:public|private|protected|class|def|interface|function)\b)", text) if p.strip()]
-        out: list[str] = []
-        for p in parts:
-            small = out and min(len(out[-1].split()), len(p.split())) < budget // 2
-            if small and len(out[-1].split()) + len(p.split()) <= budget:
-                out[-1] += p
-            else:
-                out.append(p)
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(i, n, c) for i, t in zip(pdf["id"], pdf["text"], strict=True) for n, c in enumerate(cut(t or ""))], columns=["id", "ord", "text"])
-
-    return documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInPandas(run, f"id {kind}, ord int, text string").withColumnRenamed("id", id_column)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lantern.functions import calc
+from lantern.functions import calc, teaching
 from lantern.functions import text as X
 from lantern.operators import evidence, ingest, verify
 from lantern.sources import files
@@ -158,9 +158,64 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", files.html_text(F.col("html")).alias("text"))
 
 
-@query()
+KINDS = [
+    ("codigo", "ud", ["public class C", "id", " {\n  int x = ", "id", ";\n}\n"]),
+    ("codigo", "expresiones", ["re", "id", " = \"[0-9]bc\"\nprint \"Corchetes\"\nfrom re import match\n"]),
+    ("enunciado_ejercicio", "ud4_Ejercicios", ["1. Escribe un programa.\n2. Calcula ", "id", " por dos.\n"]),
+    ("enunciado_ejercicio", "tema", ["Debes entregarlo. Realiza ", "id", " pasos; indica el resultado; explica el porqué."]),
+    ("procedimiento", "ud", ["Primero, abre ", "id", ". Luego, pulsa aceptar. Por último, guarda los cambios."]),
+    ("procedimiento", "ud", ["systemctl stop s", "id", "\napt-get install x\nsystemctl start x\nY ya está."]),
+    ("ejemplo_resuelto", "ud", ["## Ejemplo resuelto\nCon ", "id", " filas."]),
+    ("definicion", "ud", ["La clave ajena es una columna que referencia a otra tabla ", "id", ". " + "Sigue el texto con palabras que no cuentan. " * 4]),
+    ("explicacion", "ud", ["El índice es el que se encarga de ordenar las filas de la tabla ", "id", ". " + "Sigue el texto con palabras que no cuentan. " * 4]),
+    ("normativa", "ud", ["Real Decreto ", "id", ". Resultados de aprendizaje del anexo."]),
+    ("explicacion", "Practica 3", ["La memoria ", "id", " permite que un proceso use más de la que hay."]),
+]
+
+
+@query("SELECT doc_id, CASE doc_id % " + str(len(KINDS)) + " " + " ".join(f"WHEN {i} THEN '{k}'" for i, (k, _, _) in enumerate(KINDS)) + " END AS kind FROM documents")
 def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").groupBy(evidence.content_kind(F.col("text"), F.col("source")).alias("kind")).agg(F.count("*").alias("n"))
+    """Texts of every kind, with what only looks like one, about each document."""
+    n = F.col("doc_id") % len(KINDS)
+    text, title = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (_, t, parts) in enumerate(KINDS):
+        text = F.when(n == i, F.concat(*(F.col("doc_id").cast("string") if p == "id" else F.lit(p) for p in parts))).otherwise(text)
+        title = F.when(n == i, F.lit(t)).otherwise(title)
+    return read(spark, sf_dir, "documents").select("doc_id", teaching.content_kind(text, title).alias("kind"))
+
+
+CODE_LINE_SQL = teaching.CODE_LINE.removeprefix("(?Ud)").replace("\\w", "[\\p{L}\\p{N}_]").replace("'", "''")
+
+
+@query(f"""WITH l AS (SELECT doc_id, lang, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\s\\x{{A0}}]')) AS l, len(string_split(coalesce(text, ''), '```')) AS f FROM documents),
+s AS (SELECT lang, len(l) AS n, len(list_filter(l, lambda x: regexp_matches(x, '{CODE_LINE_SQL}'))) AS c FROM l WHERE f < 3)
+SELECT lang, count(*) AS n, count(*) FILTER (WHERE c > 0) AS n_some, count(*) FILTER (WHERE n > 0 AND c / n >= 0.2) AS n_much, round(sum(CASE WHEN n > 0 THEN c / n ELSE 0 END), 6) AS total FROM s GROUP BY 1""")
+def code_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the documents' lines looks like code, those with fences apart."""
+    rows = read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).where(F.size(F.split("text", "```")) < 3)
+    rows = rows.select("lang", teaching.code_share(F.col("text")).alias("s"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("s") > 0).alias("n_some"), F.count_if(F.col("s") >= 0.2).alias("n_much"), F.round(F.sum("s"), 6).alias("total"))
+
+
+@query("""WITH k AS (SELECT doc_id, doc_id % 5 + 1 AS n FROM documents), m AS (SELECT doc_id, n, unnest(range(0, n)) AS i FROM k)
+SELECT doc_id, CAST(i AS INT) AS ord, 'm' || i || '_' || doc_id AS name, 'method' AS kind FROM m WHERE i > 0 UNION ALL SELECT doc_id, 0, 'C' || doc_id, 'class' FROM k WHERE doc_id IS NOT NULL""")
+def code_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with strings and comments full of brackets, cut where methods begin."""
+    body = "        // no } { end\n" + '        String s = "{ \\" ( ";\n        for (int i = 0; i < 9; i++) { if (i > 1) { x(i); } }\n' * 8
+    method = lambda i: F.concat(F.lit("    @Test\n    public int m"), i.cast("string"), F.lit("_"), F.col("doc_id").cast("string"), F.lit("(int a) {\n" + body + "        return a;\n    }\n"))
+    methods = F.transform(F.sequence(F.lit(0), F.col("doc_id") % 5), method)
+    source = F.concat(F.lit("package x;\n\npublic class C"), F.col("doc_id").cast("string"), F.lit(" {\n"), F.array_join(methods, ""), F.lit("}\n"))
+    pieces = teaching.code_chunks(read(spark, sf_dir, "documents").select("doc_id", source.alias("text")), "doc_id", "text", 200)
+    return pieces.select("doc_id", "ord", F.coalesce("name", F.concat(F.lit("C"), F.col("doc_id").cast("string"))).alias("name"), F.coalesce("kind", F.lit("class")).alias("kind"))
+
+
+@query("""WITH q AS (SELECT conv_id, turn, coalesce(length(replace(replace(text, '\\', '\\\\'), '"', '\\"')), 0) + 2 * (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))) - (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))) AS c FROM conversations)
+SELECT conv_id, turn, 2 AS claims, 1 AS quotes, c::INT AS quote_chars, c::INT AS quote_chars_max FROM q""")
+def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims and quotes counted in answers that were cut off."""
+    quoted = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    raw = F.concat(F.lit('{"afirmaciones": [{"tipo": "cita", "cita" : "'), quoted, F.lit('"}, {"tipo" :"conocimiento", "cita": "sin fin'))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.claims_in(raw).alias("c")).select("conv_id", "turn", "c.*")
 
 
 @query()

@@ -238,20 +238,15 @@ def test_premises():
     assert evidence.premise("", "x", "y") == (None, "none")
 
 
-def test_kinds(spark):
-    rows = [
-        ("public class A {\n int x;\n}\n", "a", "codigo"), ("a) uno\nb) dos\nc) tres\n", "ud4_Ejercicios", "enunciado_ejercicio"), ("$ ls\n$ cd x\n$ pwd\n", "a", "procedimiento"),
-        ("Por ejemplo, esto vale.", "a", "ejemplo_resuelto"), ("Una tabla es una estructura que guarda filas de datos. " + "Sigue el texto con palabras. " * 6, "a", "definicion"), ("Nada de eso.", "a", "explicacion"),
-    ]
-    got = spark.createDataFrame(rows, "t string, n string, k string").select(evidence.content_kind(F.col("t"), F.col("n")), "k").collect()
-    assert [r[0] for r in got] == [r[1] for r in got]
-
-
 def test_small_functions(spark):
     one = spark.range(1)
     value = lambda c: one.select(c).first()[0]
     assert str(value(evidence.pdf_date(F.lit("D:20240131120000")))) == "2024-01-31" and value(evidence.pdf_date(F.lit("x"))) is None
-    assert [value(evidence.retry_after(F.lit(s))) for s in ("2", "1.5s", "250ms", "1m", "soon")] == [2.0, 1.5, 0.25, 4.0, None]
+    assert [value(evidence.retry_after(F.lit(s))) for s in ("2", "1.5s", "250ms", "1m", "soon", "", "-3", "1m30s", "0ms")] == [2.0, 1.5, 0.25, 4.0, None, None, 0.0, 4.0, 0.0]
+    now = F.to_timestamp(F.lit("2026-08-13 10:00:00"))
+    assert [value(evidence.retry_after(F.lit(s), now)) for s in ("Thu, 13 Aug 2026 10:00:03 GMT", "Thu, 13 Aug 2026 09:00:00 GMT", "Thu, 13 Aug 2026 11:00:00 GMT", "Thu, 99 Aug 2026 10:00:03 GMT")] == [3.0, 0.0, 4.0, None]
+    resets = [F.lit("100ms"), F.lit("2s"), F.lit("never")]
+    assert [value(evidence.retry_after(F.lit(s), resets=resets)) for s in ("", None, "1", "soon")] == [2.0, 2.0, 1.0, None]
     assert value(X.national_letter(F.lit(12345678))) == "Z" and value(X.reference_number(F.lit("F123"))) == 123 and value(X.reference_number(F.lit("G1"))) is None
     assert value(X.first_difference(F.lit("abc"), F.lit("abd"))) == 3 and value(X.first_difference(F.lit("a"), F.lit("a"))) is None
     assert value(evidence.next_pass(F.lit(1), F.lit(0), F.lit(False), F.lit(10))) == "retry" and value(evidence.next_pass(F.lit(1), F.lit(5), F.lit(False), F.lit(10))) == "stop"
