@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lantern.functions import calc, teaching
+from lantern.functions import calc, curriculum, teaching
 from lantern.functions import text as X
 from lantern.operators import evidence, ingest, verify
 from lantern.sources import files
@@ -209,6 +209,29 @@ def code_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "ord", F.coalesce("name", F.concat(F.lit("C"), F.col("doc_id").cast("string"))).alias("name"), F.coalesce("kind", F.lit("class")).alias("kind"))
 
 
+@query("""WITH m AS (SELECT doc_id, unnest(range(0, doc_id % 3 + 1)) AS i FROM documents), u AS (SELECT doc_id, i, unnest(range(0, i + 1)) AS j FROM m WHERE i < 2)
+SELECT doc_id, CAST(1000 + i AS VARCHAR) AS code, 'module' AS level, 0 AS n, 'Gestión de datos ' || doc_id || ' y sistemas de información' AS name, CAST(i + 1 AS INT) AS page FROM m
+UNION ALL SELECT doc_id, CAST(1000 + i AS VARCHAR), 'outcome', CAST(j AS INT), 'Reconoce ' || doc_id || ' características del apartado ' || j, CAST(i + 1 AS INT) FROM u
+UNION ALL SELECT doc_id, CAST(1000 + i AS VARCHAR), 'unit', CAST(j AS INT), 'Unidad: ' || j || ' de ' || doc_id, CAST(i + 1 AS INT) FROM u
+UNION ALL SELECT doc_id, CAST(1000 + i AS VARCHAR), 'loose', 0, 'Un encabezado sin lista', CAST(i + 1 AS INT) FROM m WHERE i < 2
+UNION ALL SELECT doc_id, '1002', 'mute', 0, 'Gestión de datos ' || doc_id || ' y sistemas de información', 3 FROM m WHERE i = 2""")
+def curriculum_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three modules a document, a page each; the third announces contents and has none."""
+    doc = F.col("doc_id").cast("string")
+    each = lambda i, f: F.array_join(F.transform(F.sequence(F.lit(0), i), lambda j: f(j.cast("string"))), "")
+    outcome = lambda j: F.concat(j, F.lit(". Reconoce "), doc, F.lit(" características\n  del apartado "), j, F.lit(". Criterios de evaluación:\na) Se ha visto la lista de\ncontenidos.\n"))
+    unit = lambda j: F.concat(F.lit("Unidad: "), j, F.lit(" de "), doc, F.lit(":\n− Uno. Dos.\n- Tres\n"))
+
+    def module(i):
+        head = F.concat(F.lit("Módulo Profesional: Gestión de datos "), doc, F.lit(" y sistemas de \ninformación.\nEquivalencia en créditos: 7\nCódigo: "), (i + 1000).cast("string"), F.lit("\n"))
+        body = F.concat(each(i, outcome), F.lit("Contenidos básicos:\n"), each(i, unit), F.lit("Un encabezado sin lista:\nOrientaciones pedagógicas.\nLa función incluye:\n− Nada\n"))
+        return F.concat(head, F.when(i < 2, body).otherwise("Contenidos\nno se dan\n"))
+
+    text = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int")), module), "\f")
+    found = curriculum.sections_of(read(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id")
+    return found.select("doc_id", "code", "level", "n", "name", "page")
+
+
 @query("""WITH q AS (SELECT conv_id, turn, coalesce(length(replace(replace(text, '\\', '\\\\'), '"', '\\"')), 0) + 2 * (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))) - (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))) AS c FROM conversations)
 SELECT conv_id, turn, 2 AS claims, 1 AS quotes, c::INT AS quote_chars, c::INT AS quote_chars_max FROM q""")
 def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
