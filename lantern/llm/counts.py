@@ -3,8 +3,8 @@
 Most words of a text are a piece of the vocabulary as they stand. For which strings that piece is also all that the
 merges leave - a piece that no order of merges reaches is none - is proved once, on the driver: each piece that can be a
 whole pre-token is merged on its own, and the library has to give the same single id. Texts are then cut into pre-tokens
-as in pieces.py; a proved one counts as one token without a look at its characters, and only the rest is merged, each
-distinct one once as long as a task remembers it.
+as in pieces.py; a proved one counts as one token without a look at its characters. Only the rest is merged, by the
+library, each distinct one once as long as a task remembers it.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .pieces import CHUNK, Pieces, pieces
 
-#: Merged pre-tokens that a task remembers, and how long they may be: about 25 MB.
-KEEP, KEEP_CHARS = 200_000, 40
+#: Merged pre-tokens in each of a task's two memories - when the young one is full it takes the old one's place -, and
+#: how long they may be: about 20 MB a memory.
+KEEP, KEEP_CHARS = 150_000, 40
 #: A long text is taken apart in stretches of about so many characters; between two plain words each is on its own.
 STRETCH = 1 << 20
 _BETWEEN = re.compile("(?<=[^ ▁\n]) (?=[^ ▁\n])")
@@ -48,36 +49,48 @@ class Costs:
 
     def __init__(self, p: Pieces, whole: frozenset[str]):
         self.p, self.whole = p, whole
-        self.known: dict[str, int] = {}
-        self.differ: set[str] = set()
-
-    def learn(self, parts: list[str]) -> None:
-        """Merges pre-tokens and checks each against the library, whose count holds where the two differ."""
-        for part, theirs in zip(parts, self.p.library.encode(parts, num_threads=1), strict=True):
-            own = part[:1] == "\n"  # the library puts a space before it that isn't there
-            n = len(self.p.numbers(self.p.merge(part if own else "▁" + part)))
-            if part and n != len(theirs) - own:
-                self.differ.add(part)
-            self.known[part] = n
-
-    def count(self, text: str) -> tuple[int, int, bool]:
-        """Tokens, those of them that were counted as whole pre-tokens, and whether the library counts a part otherwise."""
-        tokens = direct = 0
-        odd = False
-        for stretch in stretches(text):
-            if len(self.known) > KEEP:
-                self.known, self.differ = {}, set()
-            parts = self.p.parts(stretch)
-            rest = [x for x in parts if x not in self.whole]
-            if new := [x for x in set(rest) if x not in self.known]:
-                self.learn(new)
-            direct += len(parts) - len(rest)
-            tokens += len(parts) - len(rest) + sum(map(self.known.__getitem__, rest))
-            odd |= bool(self.differ) and not self.differ.isdisjoint(rest)
+        self.old: dict[str, int] = {}
+        self.known = dict.fromkeys(whole, 1)
+
+    def learn(self, parts: set[str]) -> list[str]:
+        """Makes all parts known; those that had to be merged."""
+        if len(self.known) > KEEP + len(self.whole):
+            self.old, self.known = self.known, dict.fromkeys(self.whole, 1)
+        new = []
+        for x in parts.difference(self.known):
+            if (n := self.old.get(x)) is None:
+                new.append(x)
+            else:
+                self.known[x] = n
+        for x, ids in zip(new, self.p.library.encode(new, num_threads=1), strict=True):
+            self.known[x] = len(ids) - (x[:1] == "\n") if x else 1  # the library puts a space before it that isn't there
+        return new
+
+    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text, and those of them that were counted as whole pre-tokens."""
+        tokens, direct = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def settle() -> None:
+            new = self.learn(set().union(*(parts for _, parts in held)))
+            for i, parts in held:
+                tokens[i] += sum(map(self.known.__getitem__, parts))
+                direct[i] += sum(map(self.whole.__contains__, parts))
             for x in new:
-                if len(x) > KEEP_CHARS and x not in self.differ:
+                if len(x) > KEEP_CHARS:
                     del self.known[x]
-        return tokens, direct, odd
+            held.clear()
+
+        for i, text in enumerate(texts):
+            for stretch in stretches(text):
+                held.append((i, self.p.parts(stretch)))
+                size += len(stretch)
+                if size > STRETCH:
+                    settle()
+                    size = 0
+        settle()
+        return tokens, direct
 
 
 def _run(model: str, whole):
@@ -87,15 +100,13 @@ def _run(model: str, whole):
         for batch in batches:
             offsets = K.buffers(batch.column("__text"))[0]
             for lo, hi in K.row_chunks(offsets, CHUNK):
-                rows = []
-                for k, text in enumerate(batch.column("__text").slice(lo, hi - lo).to_pylist()):
-                    n, direct, differs = costs.count(text or "")
-                    if text and (differs or k == 0):  # a whole text of each chunk is checked
-                        said = len(costs.p.library.encode(text))
-                        n, differs = said, said != n
-                    rows.append((n, direct, differs))
-                n, direct, differs = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-                cols = [batch.column("__id").slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(n), pa.array(direct), pa.array(differs.astype(np.int32))]
+                texts = [t or "" for t in batch.column("__text").slice(lo, hi - lo).to_pylist()]
+                n, direct = costs.count(texts)
+                differs = np.zeros(len(texts), np.int32)
+                said = len(costs.p.library.encode(texts[0]))  # a whole text of each chunk is checked
+                if said != n[0]:
+                    n[0], differs[0] = said, 1
+                cols = [batch.column("__id").slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(n), pa.array(direct), pa.array(differs)]
                 yield pa.RecordBatch.from_arrays(cols, names=["__id", "n_bytes", "n_tokens", "n_whole", "n_differ"])
 
     return run
@@ -103,8 +114,8 @@ def _run(model: str, whole):
 
 def token_counts(documents: DataFrame, model: str, limit: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Tokens of every whole text: id, n_bytes (UTF-8), n_tokens as the sentencepiece library counts them without begin and
-    end ids, over_limit (more than `limit`), n_whole (tokens counted as whole pre-tokens) and n_differ (1 where merging and
-    the library gave different numbers and the library's was taken, else 0).
+    end ids, over_limit (more than `limit`), n_whole (tokens counted as whole pre-tokens) and n_differ (1 where a text that was
+    checked, one of each chunk, has another number as a whole, which was taken then; else 0).
 
     Null and empty texts have no tokens. Repeated rows are counted one by one, also under one id or none; very long texts
     whole, in stretches. The names of special symbols inside a text are ordinary text, as is the library's default. An

@@ -47,14 +47,17 @@ def test_long_texts_are_counted_in_stretches(library):
         for size in (1, 7, 50):
             cut = list(counts.stretches(text, size))
             assert " ".join(cut) == text and (size == 50 or len(cut) > 2)
-            assert sum(costs.count(c)[0] for c in cut) == len(library.encode(text)) == costs.count(text)[0]
+            assert costs.count(cut)[0].sum() == len(library.encode(text)) == costs.count([text])[0][0]
 
 
 def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(counts, "KEEP", 3)
+    monkeypatch.setattr(counts, "STRETCH", 5)
     costs = counts.Costs(pieces.pieces(MODEL), frozenset())
-    for text in ["qzx wvq pqy zzkq " * 3, "qzx mmq", "a b c d e f g"]:
-        assert costs.count(text)[:2] == (len(library.encode(text)), 0)
+    texts = ["qzx wvq pqy zzkq " * 3, "", "qzx mmq " + "k" * 90, "a b c d e f g", "a  b\n qzx"]
+    for _ in range(3):
+        n, direct = costs.count(texts)
+        assert n.tolist() == [len(library.encode(t)) for t in texts] and not direct.any()
 
 
 def test_query_counts_whole_texts(spark, library):
