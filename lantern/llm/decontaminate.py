@@ -28,7 +28,7 @@ from .shared import cut
 
 SAMPLE = 8
 #: Text of a shard that is indexed at once.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 
 class Phrases:
