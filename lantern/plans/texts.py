@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import calc, curriculum, teaching
 from lantern.functions import text as X
-from lantern.operators import evidence, ingest, verify
+from lantern.operators import dating, evidence, ingest, verify
 from lantern.sources import files
 from lantern.streaming import tokens
 
@@ -86,7 +86,7 @@ def pii_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in found.items()))
 
 
-@query("""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT source, doc_id, trim(regexp_replace(regexp_replace(line, '[0-9]', '#', 'g'), '\\s+', ' ', 'g')) AS signature FROM l),
+@query("""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT source, doc_id, regexp_replace(trim(regexp_replace(line, '\\s+', ' ', 'g')), '[0-9]+', '#', 'g') AS signature FROM l),
 n AS (SELECT source, count(DISTINCT doc_id) AS n_pages FROM documents GROUP BY 1), c AS (SELECT source, signature, count(DISTINCT doc_id) AS n FROM s WHERE length(signature) BETWEEN 4 AND 90 GROUP BY 1, 2) SELECT source, signature, n, n_pages FROM c JOIN n USING (source) WHERE n > n_pages * 0.02""")
 def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
@@ -209,6 +209,63 @@ def code_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "ord", F.coalesce("name", F.concat(F.lit("C"), F.col("doc_id").cast("string"))).alias("name"), F.coalesce("kind", F.lit("class")).alias("kind"))
 
 
+@query("""WITH d AS (SELECT doc_id, doc_id % 4 AS kind, doc_id % 5 + 4 AS p, length('Cuerpo del documento ' || doc_id) AS n FROM documents)
+SELECT doc_id, CAST(p AS INT) AS pages, CASE kind WHEN 2 THEN 'signatures' WHEN 3 THEN 'all' ELSE 'nothing' END AS undone,
+  CASE kind WHEN 2 THEN (n + 29) * p - 2 WHEN 3 THEN 44 * p - 2 ELSE (n + 97) * p - 2 END AS chars, CASE kind WHEN 2 THEN (n + 29) * p - 2 WHEN 3 THEN 0 ELSE (n + 121) * p - 2 END AS unique_chars FROM d""")
+def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with running heads and numbers; with lines that differ in a number only and are the content; and with nothing else.
+
+    Each page ends in its letter, so that bodies are no repetition of each other.
+    """
+    body = F.concat(F.lit("Cuerpo del documento "), F.col("doc_id").cast("string"))
+    letter = lambda i: F.substring(F.lit("ABCDEFGHIJ"), i + 1, F.lit(1))
+    number = lambda i: F.lpad((i + 10).cast("string"), 2, "0")
+
+    def page(i):
+        own = F.concat(body, F.lit(" pág. "), letter(i), F.lit(". Es un texto con bastantes palabras, para que pese más que sus cabeceras y pies, todos."))
+        heads = F.concat(F.lit("PROGRAMACIÓN / CFGS DAW\nTEMA 6-"), number(i), F.lit(" Página "), number(i), F.lit(" ISO\n"), own, F.lit("\nalgo de relleno en medio\n"), F.lit("- "), number(i), F.lit(" -"))
+        same = F.concat(F.lit("Esta línea está en todas las páginas iguales"))
+        numbered = F.concat(body, F.lit(" ejercicio número "), number(i), F.lit(" de hoy"))
+        return F.when(F.col("kind") < 2, F.replace(heads, F.lit("algo de relleno en medio\n"), F.lit(""))).when(F.col("kind") == 2, numbered).otherwise(F.substring(same, 1, 42))
+
+    rows = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("kind"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 5 + 3).cast("int")), page), "\f")
+    found = ingest.clean_documents(rows.select("doc_id", text.alias("text")), "doc_id")
+    return found.select("doc_id", "pages", "undone", F.length("text").cast("long").alias("chars"), "unique_chars")
+
+
+@query("""WITH e AS (SELECT doc_id AS n, doc_id % 11 AS kind, 'corpus/' || coalesce(source, 's') || '/' || coalesce(lang, 'l') AS f FROM documents),
+p AS (SELECT n, kind, CASE kind WHEN 0 THEN f || '/RD-686-2010-' || n || '.txt' WHEN 1 THEN f || '/u' || n % 3 || '/d' || n || '.pdf' WHEN 2 THEN f || '/u' || n % 3 || '/e' || n || '.PDF' WHEN 5 THEN 'corpus/familia/x' || n || '.md'
+  WHEN 6 THEN 'corpus/derivado/familia/x' || n || '.md' WHEN 7 THEN f || '/otro/y' || n || '.md' WHEN 8 THEN 'lejos/a' || n WHEN 9 THEN 'lejos/b' || n WHEN 10 THEN 'lejos2/c' || n ELSE f || '/u' || n % 3 || '/x' || n || '.java' END AS path,
+  CASE WHEN kind = 1 THEN '2020-01-0' || (n // 11 % 3 + 1) END AS pdf, CASE WHEN kind = 10 AND n % 2 = 0 THEN '1999-01-01' END AS known, CASE kind WHEN 8 THEN n - 7 WHEN 9 THEN n - 1 WHEN 10 THEN n + 11 END AS made_of FROM e),
+o AS (SELECT *, CASE kind WHEN 0 THEN '2010-06-12' WHEN 1 THEN pdf WHEN 5 THEN '2019-01-01' WHEN 6 THEN '2019-01-01' END AS own, regexp_replace(path, '/?[^/]*$', '') AS f1, regexp_replace(regexp_replace(path, '/?[^/]*$', ''), '/?[^/]*$', '') AS f2 FROM p),
+v AS (SELECT f1 AS folder, own, row_number() OVER (PARTITION BY f1 ORDER BY count(*) DESC, min(n)) AS r FROM o WHERE own IS NOT NULL GROUP BY 1, 2), b AS (SELECT folder, own AS date FROM v WHERE r = 1),
+r AS (SELECT o.*, coalesce(own, x.date, y.date) AS date, CASE WHEN kind = 0 THEN 'norma' WHEN kind = 1 THEN 'metadatos_pdf' WHEN own IS NOT NULL THEN 'texto' WHEN coalesce(x.date, y.date) IS NOT NULL THEN 'carpeta' END AS origin FROM o LEFT JOIN b x ON f1 = x.folder LEFT JOIN b y ON f2 = y.folder),
+i8 AS (SELECT a.n, b.date FROM r a JOIN r b ON a.made_of = b.n WHERE a.kind = 8), i9 AS (SELECT a.n, i8.date FROM r a JOIN i8 ON a.made_of = i8.n WHERE a.kind = 9), i10 AS (SELECT a.n, b.known AS date FROM r a JOIN r b ON a.made_of = b.n WHERE a.kind = 10 AND b.known IS NOT NULL),
+i AS (SELECT * FROM i8 UNION ALL SELECT * FROM i9 UNION ALL SELECT * FROM i10)
+SELECT r.n, coalesce(r.date, i.date) AS date, CASE WHEN r.date IS NOT NULL THEN r.origin WHEN i.date IS NOT NULL THEN 'heredada' END AS origin FROM r LEFT JOIN i ON r.n = i.n""")
+def source_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of eleven kinds, laid out by source and language, dated by all five means."""
+    n, s = F.col("doc_id"), lambda c: c.cast("string")
+    kind, unit = n % 11, F.concat(F.lit("/u"), s(n % 3))
+    f = F.concat(F.lit("corpus/"), F.coalesce("source", F.lit("s")), F.lit("/"), F.coalesce("lang", F.lit("l")))
+    paths = {
+        0: F.concat(f, F.lit("/RD-686-2010-"), s(n), F.lit(".txt")), 1: F.concat(f, unit, F.lit("/d"), s(n), F.lit(".pdf")), 2: F.concat(f, unit, F.lit("/e"), s(n), F.lit(".PDF")), 5: F.concat(F.lit("corpus/familia/x"), s(n), F.lit(".md")),
+        6: F.concat(F.lit("corpus/derivado/familia/x"), s(n), F.lit(".md")), 7: F.concat(f, F.lit("/otro/y"), s(n), F.lit(".md")), 8: F.concat(F.lit("lejos/a"), s(n)), 9: F.concat(F.lit("lejos/b"), s(n)), 10: F.concat(F.lit("lejos2/c"), s(n)),
+    }
+    path = F.concat(f, unit, F.lit("/x"), s(n), F.lit(".java"))
+    for k, p in paths.items():
+        path = F.when(kind == k, p).otherwise(path)
+    docs = read(spark, sf_dir, "documents").select(
+        n.alias("n"), path.alias("path"), F.when(kind == 1, F.concat(F.lit("2020-01-0"), s(F.floor(n / 11) % 3 + 1))).alias("pdf_date"), F.when((kind == 10) & (n % 2 == 0), "1999-01-01").alias("known_date"),
+        F.when(kind == 8, n - 7).when(kind == 10, n + 11).alias("d"), F.when(kind == 9, n - 1).alias("p"),
+    )
+    names = docs.select(F.col("n").alias("m"), F.col("path").alias("of"))
+    docs = docs.join(names, F.col("d") == F.col("m"), "left").withColumn("derived_from", F.coalesce("of", F.when(F.col("d").isNotNull(), "nowhere"))).drop("m", "of")
+    docs = docs.join(names, F.col("p") == F.col("m"), "left").withColumn("planted_from", F.col("of"))
+    return dating.dated(docs, [("RD-686-2010", "2010-06-12"), ("RD-405-2023", "2023-06-03")], [("corpus/familia", "2019-01-01", "texto: año citado")]).select("n", "date", "origin")
+
+
 @query("""WITH m AS (SELECT doc_id, unnest(range(0, doc_id % 3 + 1)) AS i FROM documents), u AS (SELECT doc_id, i, unnest(range(0, i + 1)) AS j FROM m WHERE i < 2)
 SELECT doc_id, CAST(1000 + i AS VARCHAR) AS code, 'module' AS level, 0 AS n, 'Gestión de datos ' || doc_id || ' y sistemas de información' AS name, CAST(i + 1 AS INT) AS page FROM m
 UNION ALL SELECT doc_id, CAST(1000 + i AS VARCHAR), 'outcome', CAST(j AS INT), 'Reconoce ' || doc_id || ' características del apartado ' || j, CAST(i + 1 AS INT) FROM u

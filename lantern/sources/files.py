@@ -10,12 +10,36 @@ from lantern import schemas
 from lantern.operators.reconcile import insert_new, require_unique
 
 
+class Malformed(ValueError):
+    """A file that can't be taken as it is; says which line of which file."""
+
+
+def bad_lines(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> DataFrame:
+    """file, line (from 1, blank ones counted) and reason of the first bad line of each split of the files: not a JSON object, not of the
+    schema, or without a required field - null or an empty string; dots reach into structs.
+
+    One pass: lines are numbered within their split as it is read, and splits are moved by the lines before them, so that what is
+    shuffled is a row a split.
+    """
+    kinds = T._parse_datatype_string(schema)
+    whole = T.StructType([*kinds.fields, T.StructField("_corrupt", T.StringType())])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    read = lines.withColumn("r", F.when(F.length(F.trim("value")) > 0, F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})))
+    lacks = lambda c: F.col(f"r.{c}").isNull() | (F.col(f"r.{c}").cast("string") == "")
+    missing = F.filter(F.array(*(F.when(lacks(c), F.lit(c)) for c in required or [])), lambda x: x.isNotNull()) if required else F.array().cast("array<string>")
+    reason = F.when(F.col("r._corrupt").isNotNull() | ~F.col("value").rlike(r"^\s*\{"), "malformed").when(F.size(missing) > 0, F.concat(F.lit("without "), F.array_join(missing, ", ")))
+    marked = read.select("file", "block", "id", F.when(F.col("r").isNotNull(), reason).alias("reason"))
+    splits = marked.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("lines"), F.min(F.when(F.col("reason").isNotNull(), F.struct("id", "reason"))).alias("bad"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("block")) - F.col("lines")
+    return splits.withColumn("before", before).where("bad is not null").select("file", (F.col("before") + F.col("bad.id") - F.col("first") + 1).alias("line"), F.col("bad.reason").alias("reason"))
+
+
 def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False, required: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """JSON lines; blank ones are skipped. strict: a malformed line, or one without a required field, is an error."""
+    """JSON lines; blank ones are skipped. strict: the first line that is malformed, or that has no value for a required field, is
+    an error that names it and its file."""
+    if strict and (bad := bad_lines(spark, path, schema, required).orderBy("file", "line").first()):
+        raise Malformed(f"{bad['file']}: line {bad['line']}: {bad['reason']}")
     df = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
-    for c in required or []:
-        if strict and not df.where(F.col(c).isNull()).isEmpty():
-            raise ValueError(f"{c} is missing in {path}")
     return df.limit(limit) if limit is not None else df
 
 
