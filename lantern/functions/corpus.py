@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lantern.functions import text as X
+from lantern.functions.teaching import ORDER, strip
 
 # Shapes of page numbers and footers, of identifiers and code, of secrets, and of unit folders; folders that
 # only say how material is kept; endings of derived files; ordinals of articles.
@@ -144,15 +145,11 @@ def path_parts(path: Column, single: dict[str, str] | None = None, by_code: dict
     )
 
 
-# Fixed value: how command lines begin, which are no titles.
-COMMAND = r"^\s*(\$|sudo |apt|docker |git |cd |ls |mkdir |npm |pip |\./|/)"
-
-
 def title_of(path: Column, text: Column) -> Column:
     """The first heading of three to eighty characters that is no command, where the format has headings; else the file's name."""
     headed = F.lower(path).rlike(r"\.(md|markdown)$") & ~F.lower(path).endswith(".pdf.md")
-    heads = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^#{1,3}[ \t]+(.+)$"), 1), lambda h: F.trim(F.regexp_replace(F.trim(h), "#+$", "")))
-    good = F.filter(heads, lambda h: F.length(h).between(3, 80) & ~h.rlike(COMMAND) & ~F.contains(F.split_part(h, F.lit(" "), F.lit(1)), F.lit("/")))
+    heads = F.transform(F.regexp_extract_all(text, F.lit(r"(?Udm)^#{1,3}\s+(.+)$"), 1), lambda h: strip(F.regexp_replace(strip(h), "#+$", "")))
+    good = F.filter(heads, lambda h: F.length(h).between(3, 80) & ~h.rlike(ORDER) & ~h.rlike(r"(?U)^[^\s/]*/"))
     name = F.regexp_extract(path, r"[^/]*$", 0)
     plain = F.when(name.rlike(ENDINGS), F.regexp_replace(name, ENDINGS, "")).otherwise(F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", ""))
     return F.coalesce(F.when(headed, F.try_element_at(good, F.lit(1))), plain)

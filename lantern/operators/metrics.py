@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.session import cut
+
 
 def two_units(df: DataFrame, key: list[str], per: list[str] | None = None) -> DataFrame:
     """Rows, distinct cases of the key, and rows per case. The key must be named."""
@@ -46,22 +48,16 @@ def contaminated(context: DataFrame, query: str, own: str, other: str) -> DataFr
     return per.agg(F.count("*").alias("n_queries"), F.sum("bad").alias("n_contaminated"))
 
 
-#: Ranges that a group's values are cut into, so that a rank is looked up in one of them.
-RANGES = 256
-
-
 def at_ranks(df: DataFrame, value: str, per: list[str], ranks: dict[str, Column]) -> DataFrame:
     """The values at given 0-based ranks of each group, in ascending order; each rank is an expression of the group's count n.
 
-    Nothing sorts a whole group: its distinct values are counted, cut into RANGES at approximate quantiles, and only the
-    ranges in which a rank falls are numbered. Which cuts are found changes nothing but the ranges' sizes. Nulls don't
-    count; a group of nulls has no row.
+    Nothing sorts a whole group: its distinct values are counted, dealt out in ranges, and only the ranges in which a rank
+    falls are numbered. Where ranges begin changes nothing but their sizes. Nulls don't count; a group of nulls has no row.
     """
     key = F.struct(*per) if per else F.lit(0)
-    counts = df.where(F.col(value).isNotNull()).groupBy(key.alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    cuts = counts.groupBy("g").agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], F.lit(10 * RANGES)).alias("cuts"))
-    dealt = counts.join(cuts, "g").select("g", "v", "c", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("r"))
-    sums = dealt.groupBy("g", "r").agg(F.sum("c").alias("c"))  # RANGES rows a group
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(key.alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c")))
+    dealt = cut(counts.repartitionByRange("g", "v").withColumn("r", F.spark_partition_id()))
+    sums = dealt.groupBy("g", "r").agg(F.sum("c").alias("c"))  # a row a range
     w = Window.partitionBy("g").orderBy("r")
     sums = sums.select("g", "r", (F.sum("c").over(w) - F.col("c")).alias("before"), F.sum("c").over(w).alias("upto"), F.sum("c").over(Window.partitionBy("g")).alias("n"))
     asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()))).alias("a")

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lantern.functions import text as X
 from lantern.functions import vectors as V
+from lantern.session import cut
 
 # Rank constant, list weights, pool and context sizes, confidence levels.
 RANK_CONSTANT = 60
@@ -45,55 +46,73 @@ def by_vector(chunks: DataFrame, vector: list[float], k: int, id_column: str = "
     return top(scored.drop(vector_column), k, "score", id_column)
 
 
-#: Queries that are sent to all tasks at once; more take a pass each over the chunks.
-QUERIES = 4096
+#: Queries that are sent to all tasks at once, more take a pass each over the chunks; and those that are multiplied at once.
+QUERIES, TILE = 4096, 256
+
+
+def _best(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row, by score, then id."""
+    order = np.lexsort((ids, -score, row))
+    r = row[order]
+    return order[np.arange(len(r)) - np.searchsorted(r, r) < k]
 
 
 def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int, id_column: str, vector_column: str = "embedding", subject: str = "subject_id", same: bool | None = None) -> DataFrame:
     """query_id, id, subject, score and rank of each query's k nearest chunks by cosine, rounded so that equal scores tie.
 
-    queries: query_id, v and subject. same: of the query's own subject only, of the others only, or of all. Blocks of
-    queries go to all tasks; each keeps the k best of its rows for each query, so only these are shuffled. A query that
-    nothing fits has no row; vectors that are null or of another length than the block's first take no part.
+    queries: query_id, v and subject, or subjects, an array, within which each query is answered. same: of the query's own
+    subject only, of the others only, or of all. Blocks of queries go to all tasks; each keeps the k best of its rows for each
+    query, so only these are shuffled. A query that nothing fits has no row; vectors that are null or of another length than
+    the block's first take no part.
     """
     kinds = {c: chunks.schema[c].dataType.simpleString() for c in (id_column, subject)}
     rows = chunks.where(F.col(vector_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(subject).alias("subject"), F.col(vector_column).cast("array<double>").alias("v"))
+    within = "subjects" in queries.columns
 
     def scan(block: list):
-        names, own = pa.array([r[0] for r in block], kind), np.array([r[2] for r in block])
+        names = pa.array([r[0] for r in block], kind)
         q = np.array([r[1] for r in block], float)
         q /= np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
+        asked = [set(r[2] or ()) if within else {r[2]} for r in block]
+
+        def fits(theirs: np.ndarray) -> np.ndarray | None:
+            if same is None and not within:
+                return None
+            kinds, code = np.unique(theirs, return_inverse=True)
+            table = np.array([[x in s for x in kinds.tolist()] for s in asked])
+            return (table if within or same else ~table)[:, code]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: list[pa.Table] = []
+            held = [np.zeros(0, np.int64), np.zeros(0), None, None]  # query, score, id, subject
             for batch in batches:
-                fits = np.flatnonzero(batch.column("v").value_lengths().to_numpy() == q.shape[1])
-                if not len(fits):
+                good = np.flatnonzero(batch.column("v").value_lengths().to_numpy() == q.shape[1])
+                if not len(good):
                     continue
-                batch = batch.take(pa.array(fits))
+                batch = batch.take(pa.array(good))
                 v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+                v = (v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)).T
                 ids, theirs = batch.column("id").to_numpy(), batch.column("subject").to_numpy(zero_copy_only=False)
-                s = np.round(q @ (v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)).T, 6)
-                if same is not None:
-                    s[(own[:, None] == theirs[None, :]) != same] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                row = np.repeat(np.arange(len(q)), order.shape[1])
-                t = pa.table({"q": row, "id": ids[order.ravel()], "subject": theirs[order.ravel()], "score": s[row, order.ravel()]})
-                best.append(t.filter(pa.compute.is_finite(t.column("score"))))
-            t = pa.concat_tables(best) if best else None
-            if t is not None and len(t):
-                t = t.sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
-                number = t.column("q").to_numpy()
-                place = np.arange(len(t)) - np.searchsorted(number, number)
-                t = t.filter(pa.array(place < k))
-                yield pa.RecordBatch.from_arrays([names.take(t.column("q").combine_chunks()), *(t.column(c).combine_chunks() for c in ("id", "subject", "score"))], names=["query_id", "id", "subject", "score"])
+                may = fits(theirs)
+                for lo in range(0, len(q), TILE):
+                    s = np.round(q[lo : lo + TILE] @ v, 6)
+                    if may is not None:
+                        s[~may[lo : lo + TILE]] = -np.inf
+                    least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else -np.inf
+                    row, at = np.nonzero((s >= least) & (s > -np.inf))
+                    mine = [row + lo, s[row, at], ids[at], theirs[at]]
+                    held = mine if held[2] is None else [np.concatenate(x) for x in zip(held, mine, strict=True)]
+                keep = _best(held[0], held[1], held[2], k)
+                held = [x[keep] for x in held]
+            if held[2] is not None and len(held[0]):
+                cols = [names.take(pa.array(held[0])), pa.array(held[2], batch.schema.field("id").type), pa.array(held[3], batch.schema.field("subject").type), pa.array(held[1])]
+                yield pa.RecordBatch.from_arrays(cols, names=["query_id", "id", "subject", "score"])
 
         return run
 
     out = None
     kind = to_arrow_type(queries.schema["query_id"].dataType)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kinds[id_column]}, subject {kinds[subject]}, score double"
-    for block in batched(queries.select("query_id", "v", "subject").orderBy("query_id").toLocalIterator(), QUERIES):
+    for block in batched(queries.where("v is not null").select("query_id", "v", "subjects" if within else "subject").orderBy("query_id").toLocalIterator(), QUERIES):
         part = rows.mapInArrow(scan(list(block)), schema)
         out = part if out is None else out.unionByName(part)
     out = chunks.sparkSession.createDataFrame([], schema) if out is None else out
@@ -209,3 +228,68 @@ def confidence_of(found: DataFrame, questions: DataFrame, query: str = "query_id
     """Confidence of every question: one that found nothing is low, with a margin of 0."""
     rows = questions.select(query).distinct().join(found, query, "left")
     return rows.select(query, "best", F.coalesce("margin", F.lit(0.0)).alias("margin"), F.coalesce("level", F.lit("low")).alias("level"))
+
+
+def by_glossary_all(glossary: DataFrame, questions: DataFrame, scope: DataFrame, k: int, subject: str = "subject_id") -> DataFrame:
+    """query_id, chunk_id and rank: each question's first k chunks of the terms that stand in it, between spaces; longer terms
+    first, then by term. Terms are met by their first word, so questions and terms are not all compared."""
+    flat = lambda c: F.concat(F.lit(" "), X.collapse(F.lower(c)), F.lit(" "))
+    q = questions.select("query_id", flat(F.col("question")).alias("__q")).withColumn("__w", F.explode(F.array_distinct(X.words(F.col("__q")))))
+    g = glossary.select(subject, "chunk_id", "term", flat(F.col("term")).alias("__t")).withColumn("__w", F.try_element_at(X.words(F.col("__t")), F.lit(1)))
+    met = q.join(scope, "query_id").join(g, [subject, "__w"]).where(F.contains("__q", F.col("__t")))
+    best = met.groupBy("query_id", "chunk_id").agg(F.max(F.struct(F.length("term").alias("long"), "term")).alias("b"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("b.long"), "b.term", "chunk_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank")
+
+
+def retrieve_all(
+    chunks: DataFrame,
+    index: DataFrame,
+    questions: DataFrame,
+    subjects: DataFrame,
+    glossary: DataFrame | None = None,
+    k: int = CONTEXT,
+    pool: int = POOL,
+    weights: dict[str, float] = WEIGHTS,
+    stemmed: bool = True,
+    **levels: float,
+) -> DataFrame:
+    """The whole retrieval of a table of questions: query_id, chunk_id, score, origins, rank, and of the question first_subject,
+    level, first_level and adopted. A question that finds nothing has one row without a chunk.
+
+    chunks: chunk_id, subject_id, embedding. index: postings of them with subject_id. questions: query_id, question, degree_id,
+    subject_id - null: the subject of the degree with most material, ties to the smaller id - and v, its vector or null. subjects:
+    subject_id, degree_id, chunks. Words, vector and glossary give a list each within the subject, which are fused by rank.
+    Where the vector list's confidence is low, or without a vector nothing was found, the other subjects of the degree are
+    searched, and that counts if its level is strictly higher, or without a vector if it finds anything.
+    """
+    from lantern.operators import checks, lexical
+
+    rich = checks.richest(subjects, "degree_id").select("degree_id", F.col("subject_id").alias("__rich"))
+    asked = questions.join(rich, "degree_id", "left").select("query_id", "question", "degree_id", "v", F.coalesce("subject_id", "__rich").alias("first_subject"))
+    asked = cut(asked)
+
+    def one_pass(asked: DataFrame, scope: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The fused list and each question's level; a question without a vector has none."""
+        some = scope.groupBy("query_id").agg(F.collect_set("subject_id").alias("subjects"))
+        own = nearest_chunks(chunks, asked.join(some, "query_id"), pool, "chunk_id")
+        lists = [("lexical", lexical.search_all(index, asked, pool, "chunk_id", stemmed=stemmed, scope=scope)), ("vector", own)]
+        if glossary is not None:
+            lists.append(("glossary", by_glossary_all(glossary, asked, scope, pool)))
+        rows = reduce(DataFrame.unionByName, (df.select("query_id", F.lit(name).alias("list"), "chunk_id", "rank") for name, df in lists))
+        level_ = confidence_of(confidence(own, **levels), asked.where("v is not null"))
+        return cut(fuse(rows, pool, weights)), cut(level_.select("query_id", "level"))
+
+    found, level_ = one_pass(asked, asked.where("first_subject is not null").select("query_id", F.col("first_subject").alias("subject_id")))
+    any_ = found.select("query_id", F.lit(True).alias("__any")).distinct()
+    state = asked.join(level_, "query_id", "left").join(any_, "query_id", "left")
+    again = cut(state.where("first_subject is not null and (level = 'low' or level is null and __any is null)").drop("__any"))
+    scope = again.join(subjects.select("degree_id", "subject_id"), "degree_id").where("subject_id <> first_subject").select("query_id", "subject_id")
+    found2, level2 = one_pass(again.drop("level"), scope)
+    any2 = found2.select("query_id").distinct().join(level2.select("query_id", F.col("level").alias("__second")), "query_id", "left")
+    better = F.col("level").isNull() | F.col("__second").isin("medium", "high")
+    taken = again.join(any2, "query_id").where(better).select("query_id", F.coalesce("__second", F.lit("low")).alias("__taken"), F.lit(True).alias("adopted"))
+    state = state.drop("__any", "v", "question", "degree_id").join(taken, "query_id", "left")
+    state = state.select("query_id", "first_subject", F.coalesce("__taken", "level", F.lit("low")).alias("level"), F.coalesce("level", F.lit("low")).alias("first_level"), F.coalesce("adopted", F.lit(False)).alias("adopted"))
+    ranked = found.join(taken, "query_id", "left_anti").unionByName(found2.join(taken, "query_id", "left_semi")).where(F.col("rank") <= k)
+    return state.join(ranked, "query_id", "left").select("query_id", "chunk_id", "score", "origins", "rank", "first_subject", "level", "first_level", "adopted")

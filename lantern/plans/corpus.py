@@ -195,31 +195,53 @@ def passage_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.passage_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
-@query()
+RETRIEVED = "WITH " + TERMS + f""", c AS (SELECT doc_id AS chunk_id, doc_id % 7 AS subject_id, CASE WHEN doc_id % 7 < 4 THEN 1 ELSE 2 END AS degree_id, embedding AS e FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+sub AS (SELECT subject_id, degree_id, count(*) AS n FROM c GROUP BY 1, 2), rich AS (SELECT degree_id, arg_max(subject_id, n * 100 - subject_id) AS rich FROM sub GROUP BY 1),
+b AS (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), 1, 6) AS w FROM benchmark),
+q AS (SELECT item_id AS query_id, w, item_id % 2 + 1 AS degree_id, CASE WHEN item_id % 3 > 0 THEN CASE item_id % 2 WHEN 0 THEN item_id % 4 ELSE 4 + item_id % 3 END END AS own, CASE WHEN item_id % 5 > 0 THEN embedding END AS v FROM b LEFT JOIN embeddings ON item_id = vec_id),
+a AS (SELECT q.*, coalesce(own, rich) AS first FROM q LEFT JOIN rich USING (degree_id)),
+words AS (SELECT DISTINCT query_id, unnest(w) AS term FROM a), lit AS (SELECT * FROM words WHERE term <> 'or' AND NOT list_contains({STOPS}, term)),
+hit AS (SELECT query_id, doc_id AS chunk_id, round(0.1::DOUBLE * count(*), 6) AS score FROM lit JOIN h USING (term) GROUP BY 1, 2),
+pairs AS (SELECT a.query_id, c.chunk_id, c.subject_id = first AS own, v, e FROM a JOIN c ON c.degree_id = a.degree_id),
+lex AS (SELECT p.query_id, own, p.chunk_id, row_number() OVER (PARTITION BY p.query_id, own ORDER BY score DESC, p.chunk_id) AS rank FROM pairs p JOIN hit USING (query_id, chunk_id)),
+sim AS (SELECT query_id, own, chunk_id, round(list_cosine_similarity(v::DOUBLE[], e::DOUBLE[]), 6) AS score FROM pairs WHERE v IS NOT NULL AND e IS NOT NULL),
+vec AS (SELECT *, row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, chunk_id) AS rank FROM sim),
+l AS (SELECT query_id, own, chunk_id, rank, 'lexical' AS list FROM lex WHERE rank <= 30 UNION ALL SELECT query_id, own, chunk_id, rank, 'vector' FROM vec WHERE rank <= 30),
+fus AS (SELECT query_id, own, chunk_id, round(sum(CASE list WHEN 'vector' THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank)), 9) AS score, string_agg(list || '#' || rank, '+' ORDER BY list) AS origins FROM l GROUP BY 1, 2, 3),
+ran AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, chunk_id) AS INT) AS rank FROM fus),
+cf AS (SELECT query_id, own, max(CASE WHEN rank = 1 THEN score END) AS best, arg_max(score, rank) AS last FROM vec WHERE rank <= 6 GROUP BY 1, 2),
+lev AS (SELECT query_id, own, CASE WHEN round(best - last, 6) >= 0.085 AND best >= 0.3 THEN 3 WHEN round(best - last, 6) >= 0.025 THEN 2 ELSE 1 END AS level FROM cf),
+st AS (SELECT a.query_id, first, v IS NOT NULL AS has_v, coalesce(x.level, 1) AS l1, coalesce(y.level, 1) AS l2, EXISTS (SELECT 1 FROM ran r WHERE r.query_id = a.query_id AND r.own) AS f1, EXISTS (SELECT 1 FROM ran r WHERE r.query_id = a.query_id AND NOT r.own) AS f2
+  FROM a LEFT JOIN lev x ON a.query_id = x.query_id AND x.own LEFT JOIN lev y ON a.query_id = y.query_id AND NOT y.own),
+fin AS (SELECT *, CASE WHEN has_v THEN l1 = 1 AND f2 AND l2 > l1 ELSE NOT f1 AND f2 END AS adopted FROM st)"""
+
+
+@query(RETRIEVED + """ SELECT f.query_id, r.chunk_id, r.score, r.origins, r.rank, first AS first_subject, ['low', 'medium', 'high'][CASE WHEN adopted AND has_v THEN l2 ELSE l1 END] AS level, ['low', 'medium', 'high'][l1] AS first_level, adopted
+FROM fin f LEFT JOIN ran r ON r.query_id = f.query_id AND r.own = NOT adopted AND r.rank <= 6""")
+def retrieved_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's beginnings as questions to the documents, a third of them without a subject, some without a vector."""
+    return _retrieved(spark, sf_dir)
+
+
+def _retrieved(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    d = read(spark, sf_dir, "documents").join(e, F.col("doc_id") == F.col("vec_id"), "left")
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 7).alias("subject_id"), "embedding", "text")
+    degree = F.when(F.col("subject_id") < 4, 1).otherwise(2).alias("degree_id")
+    subjects = chunks.groupBy("subject_id").agg(F.count("*").alias("chunks")).withColumn("degree_id", degree)
+    i = F.col("item_id")
+    text = F.array_join(F.slice(lexical.words_of(F.col("text")), 1, 6), " ")
+    own = F.when(i % 3 > 0, F.when(i % 2 == 0, i % 4).otherwise(4 + i % 3))
+    asked = read(spark, sf_dir, "benchmark").join(e, i == F.col("vec_id"), "left")
+    asked = asked.select(i.alias("query_id"), text.alias("question"), (i % 2 + 1).alias("degree_id"), own.alias("subject_id"), F.when(i % 5 > 0, F.col("embedding")).alias("v"))
+    index = lexical.postings(chunks, "chunk_id", stemmed=False, keep=["subject_id"])
+    return R.retrieve_all(chunks, index, asked, subjects, stemmed=False, floor=0.3)
+
+
+@query(RETRIEVED + """, d AS (SELECT f.query_id, r.rank, '[fragmento_id=F' || r.chunk_id || '] (' || coalesce(source, 'sin unidad') || ')' || chr(10) || text AS p FROM fin f JOIN ran r ON r.query_id = f.query_id AND r.own = NOT adopted AND r.rank <= 6 JOIN documents ON doc_id = r.chunk_id)
+SELECT query_id, md5(string_agg(p, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context, count(*) AS n_chunks FROM d WHERE p IS NOT NULL GROUP BY 1""")
 def retrieve_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question from words to the text that a model is given: lexical list, fusion, context with real ids."""
-    d = read(spark, sf_dir, "documents")
-    chunks = d.select(F.col("doc_id").alias("chunk_id"), (F.length("lang") * 0 + 1).alias("subject_id"), F.col("source").alias("unit"), "text")
-    index = lexical.postings(chunks, "chunk_id", keep=["subject_id"])
-    found = R.retrieve(chunks, index, 1, "worthless license software")
-    return R.context(found.join(chunks, "chunk_id").withColumn("query_id", F.lit(1)))
-
-
-@F.pandas_udf(T.StringType())
-def _prose(answers: pd.Series) -> pd.Series:
-    """Reads answers in small pieces, as they would come."""
-    out = []
-    for a in answers:
-        p, text = tokens.Prose("prosa"), ""
-        for i in range(0, len(a), 7):
-            text += p.feed(a[i : i + 7])
-        out.append(text)
-    return pd.Series(out)
-
-
-@query("""SELECT conv_id, turn, text AS prose FROM conversations WHERE text IS NOT NULL""")
-def stream_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers packed as JSON with other fields around, and their prose read back piece by piece."""
-    c = read(spark, sf_dir, "conversations").where("text is not null")
-    answer = F.to_json(F.struct(F.array(F.struct(F.lit("prosa").alias("tipo"))).alias("afirmaciones"), F.col("text").alias("prosa"), F.lit(3).alias("n")))
-    return c.select("conv_id", "turn", _prose(answer).alias("prose"))
+    """From words and vectors to the text that a model is given for every question, under real ids."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("unit"), "text")
+    found = _retrieved(spark, sf_dir).where("chunk_id is not null").join(d.where("text is not null"), "chunk_id")
+    return R.context(found).select("query_id", F.md5("context").alias("context"), "n_chunks")

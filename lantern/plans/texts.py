@@ -266,6 +266,12 @@ def source_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dating.dated(docs, [("RD-686-2010", "2010-06-12"), ("RD-405-2023", "2023-06-03")], [("corpus/familia", "2019-01-01", "texto: año citado")]).select("n", "date", "origin")
 
 
+@query("""SELECT doc_id, md5(strip_accents(text || ' Ấ ő ç Ł é' || chr(769))) AS plain FROM documents""")
+def unaccented_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without accents, with some letters that no short table has."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(X.strip_accents(F.concat("text", F.lit(" Ấ ő ç Ł é\u0301")))).alias("plain"))
+
+
 @query("""WITH m AS (SELECT doc_id, unnest(range(0, doc_id % 3 + 1)) AS i FROM documents), u AS (SELECT doc_id, i, unnest(range(0, i + 1)) AS j FROM m WHERE i < 2)
 SELECT doc_id, CAST(1000 + i AS VARCHAR) AS code, 'module' AS level, 0 AS n, 'Gestión de datos ' || doc_id || ' y sistemas de información' AS name, CAST(i + 1 AS INT) AS page FROM m
 UNION ALL SELECT doc_id, CAST(1000 + i AS VARCHAR), 'outcome', CAST(j AS INT), 'Reconoce ' || doc_id || ' características del apartado ' || j, CAST(i + 1 AS INT) FROM u

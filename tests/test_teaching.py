@@ -100,3 +100,21 @@ def test_claims_in_raw_answers(spark):
     raw = '{"afirmaciones":[{"tipo": "cita", "cita": "dos \\"ü\\" más"},{"tipo":"cita","cita" : ""}, {"tipo" : "calculo", "cita": "sin f'
     got = spark.createDataFrame([(1, raw), (2, '"type": 1'), (3, "")], "i int, t string").select("i", X.claims_in(F.col("t")).alias("c")).select("i", "c.*").collect()
     assert sorted(map(tuple, got)) == [(1, 3, 2, 13, 13), (2, 0, 0, 0, 0), (3, 0, 0, 0, 0)]
+
+
+def test_accents_of_any_letter(spark):
+    cases = {"Ấ ő Ł ñ Ç ǘ": "A o Ł n C u", "ẹ́x": "ex", "ёй": "еи", "ΐ": "ι", "日本": "日本", "": ""}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", X.strip_accents(F.col("t"))).collect()
+    assert {r[0]: r[1] for r in got} == cases
+
+
+def test_titles(spark):
+    from lantern.functions import corpus
+
+    cases = [
+        ("corpus/x/despliegue.md", "# apt-get install eclipse\n\nInstalamos.\n\n# Despliegue de aplicaciones web\n\nContenido.", "Despliegue de aplicaciones web"),
+        ("corpus/x/DAW05.pdf.md", "# /etc/init.d/nscd restart\n\ntexto", "DAW05"), ("corpus/x/a.md", "# systemctl restart x\n\ntexto", "a"), ("corpus/x/b.md", "# aptitudes del alumno\n", "aptitudes del alumno"),
+        ("corpus/x/12-redis.md", "# Redis Caching ##\n\ntexto", "Redis Caching"), ("corpus/x/expresiones.txt", "# -*- coding: utf-8 -*-\nprint 1", "expresiones"), ("c.markdown", "## ab\n### " + "x" * 81 + "\n# Buen título\n", "Buen título"), ("d.md", None, "d"),
+    ]
+    got = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(cases)], "i int, p string, t string").select("i", corpus.title_of(F.col("p"), F.col("t"))).collect()
+    assert {r[0]: r[1] for r in got} == {i: w for i, (*_, w) in enumerate(cases)}
