@@ -48,3 +48,46 @@ def centroids(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024) -
     SELECT a.vec_id, a.c::INTEGER AS cluster, a.d AS distance, o.cluster_inertia::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
       sha256(array_to_string(m.x, ',')) AS centroid_sha256
     FROM assigned{rounds} a JOIN of_cluster o ON a.c = o.c JOIN middle{rounds} m ON a.c = m.c"""
+
+
+SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPACED, ALNUM = r"[^ \t\n\x0B\f\r]+", r"[0-9a-z\x{80}-\x{10FFFF}]+"
+
+
+def jaccard(n: int = 4, percent: int = 85) -> str:
+    """Every pair of documents that share a shingle, and all documents that each can reach."""
+    return f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({SMALL}, '{SPACED}') AS w FROM documents),
+    s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) END AS s FROM w),
+    e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM s),
+    l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+    r AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a),
+    c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1), k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+    SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, coalesce(k.n, 0)::BIGINT AS n_links FROM s JOIN c ON s.doc_id = c.doc_id LEFT JOIN k ON s.doc_id = k.a"""
+
+
+def substring(words: int = 13) -> str:
+    """Every window of every document, and the first document that it starts in."""
+    return f"""
+    WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+    x AS (SELECT doc_id, unnest(range(1, len(w) - {words} + 2)) AS i, unnest(list_transform(range(1, len(w) - {words} + 2), lambda i: md5(array_to_string(w[i:i + {words} - 1], ' ')))) AS win FROM w),
+    f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM x),
+    g AS (SELECT DISTINCT doc_id, unnest(range(i, i + {words})) AS i FROM f WHERE first < doc_id), y AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+    k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM y ANTI JOIN g USING (doc_id, i) GROUP BY 1)
+    SELECT w.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id"""
+
+
+def contamination(width: int = 13) -> str:
+    """Every window of every item against every stretch of as many words."""
+    return f"""
+    WITH b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({SMALL}, '{ALNUM}') AS w FROM benchmark),
+    i AS (SELECT item, least({width}, len(w)) AS k, unnest(range(1, len(w) - least({width}, len(w)) + 2)) AS s, w FROM b WHERE len(w) > 0),
+    p AS MATERIALIZED (SELECT DISTINCT item, k, array_to_string(w[s:s + k - 1], ' ') AS win FROM i), sizes AS (SELECT DISTINCT k FROM p),
+    d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({SMALL}, '{ALNUM}') AS w FROM documents),
+    x AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS s, w FROM d, sizes WHERE len(w) >= k),
+    m AS MATERIALIZED (SELECT x.doc_id, x.s, x.k, p.item FROM (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS win FROM x) x JOIN p ON x.k = p.k AND x.win = p.win),
+    h AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(s, s + k)) AS at FROM m) GROUP BY 1),
+    n AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(n.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+      coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN n ON d.doc_id = n.doc_id"""

@@ -105,4 +105,10 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name: f for name, f in sorted(vars(sys.modules[__name__]).items()) if name.startswith("op") and name[2].isdigit()}
-ORACLE_SQL: dict[str, str] = {"op11_source_divergence": oracles.divergence(), "op12_centroids": oracles.centroids()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.jaccard(n=4, percent=85),
+    "op3_substring_dedup": oracles.substring(words=13),
+    "op9_benchmark_decontamination": oracles.contamination(width=13),
+    "op11_source_divergence": oracles.divergence(),
+    "op12_centroids": oracles.centroids(),
+}
