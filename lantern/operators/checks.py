@@ -82,6 +82,21 @@ def united(**parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("origin", F.lit(name)) for name, df in parts.items()))
 
 
+def detection_set(divergent: DataFrame, planted: DataFrame, missed: DataFrame, most: int = 6) -> DataFrame:
+    """The cases that conflict detection is measured on: id, origin, code, term, question, expected, documents and detected.
+
+    divergent: code, term and documents, as measured on the glossary. planted and missed: id, code, term, question and document, a row a
+    chunk that holds it; cases that are planted, and that are known to be missed today. A case names its first `most` documents.
+    """
+    one = lambda df, name, seen: df.groupBy(F.concat(F.lit(f"{name}-"), F.col("id").cast("string")).alias("id"), "code", "term", "question").agg(
+        F.slice(F.array_sort(F.collect_set("document")), 1, most).alias("documents")
+    ).select("id", "code", "term", "question", F.lit("aviso_de_conflicto_con_las_dos_versiones").alias("expected"), "documents", F.lit(seen).alias("detected"))
+    name = F.concat(F.lit("glosario-"), F.col("code"), F.lit("-"), F.replace("term", F.lit(" "), F.lit("_")))
+    question = F.concat(F.lit("¿Qué es "), F.col("term"), F.lit("?"))
+    glossary = divergent.select(name.alias("id"), "code", "term", question.alias("question"), F.lit("aviso_de_definiciones_divergentes").alias("expected"), "documents", F.lit(True).alias("detected"))
+    return united(glosario=glossary, plantado=one(planted, "plantado", True), conocido=one(missed, "conocido", False))
+
+
 def questions(limit: int | None = None, **sets: DataFrame) -> DataFrame:
     """The questions of several evaluation sets, in a stable order: set by set, each by its id; the first `limit` if asked."""
     rows = united(**{name: df.select(F.col("id").cast("string").alias("id"), "question").where(X.collapse(F.col("question")) != "") for name, df in sets.items()})

@@ -81,17 +81,6 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(T.StringType())
-def composed(a: pd.Series) -> pd.Series:
-    """Unicode composed form; accents stay."""
-    return a.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-
-def joined_lines(c: Column) -> Column:
-    """Hard-wrapped prose as paragraphs: a line end between a letter or comma and a small letter becomes a space."""
-    return F.regexp_replace(c, r"(?<=[\p{L},])[ \t]*\n(?=\p{Ll})", " ")
-
-
 def gold_status(gold: DataFrame, chunks: DataFrame, key: list[str], hash_column: str = "hash", subject: str = "subject_id", admitted: str = "admitted", source: str = "source_id") -> DataFrame:
     """Each gold row with what is wrong: missing, shifted, not_admitted, circular, subject - or ok."""
     c = chunks.select(*key, F.col(hash_column).alias("__h"), F.col(subject).alias("__s"), F.col(admitted).alias("__a"), F.col(source).alias("__o"), F.lit(True).alias("__there"))
@@ -196,10 +185,3 @@ def as_of(events: DataFrame, marks: DataFrame, key: str, at: str, start: str, va
     both = events.withColumns({"__t": F.col(at), "__o": F.lit(1)}).unionByName(marks.select(key, F.col(start).alias("__t"), F.lit(0).alias("__o"), value), allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("__o = 1").drop("__t", "__o")
-
-
-def sections(lines: DataFrame, document: str, ordinal: str, line: str, heading: str) -> DataFrame:
-    """Line ranges that run from a heading to the next."""
-    heads = lines.where(F.col(line).rlike(heading))
-    end = F.lead(ordinal).over(Window.partitionBy(document).orderBy(ordinal)) - 1
-    return heads.select(document, F.col(line).alias("heading"), F.col(ordinal).alias("first"), end.alias("last"))

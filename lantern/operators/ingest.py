@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import corpus as C
 from lantern.functions import text as X
+from lantern.functions.teaching import strip
 
 BUDGET, OVERLAP = 512, 64
 CHUNK_SCHEMA = "ord int, kind string, heading string, n_tokens int, n_overlap int, text string"
@@ -76,6 +77,24 @@ def _without(pages: list[str], gone: set[str], by_signature: bool) -> list[str]:
     return out
 
 
+# Fixed value: what looks like code to the joining of lines.
+LISTING = re.compile(r"[{};=<>]|\)\s*$|^\s*(?:public|private|import|package|class|if|for|while|return|System\.|int |String |void )")
+
+
+def joined_lines(text: str) -> str:
+    """Lines that the width of a page cut become one again: where the line before is long, ends in no closing sign, and the line
+    goes on with a small letter; neither may look like code."""
+    out: list[list[str]] = []
+    for line in map(str.rstrip, text.split("\n")):
+        before = out[-1] if out else []
+        long = sum(map(len, before)) + len(before) - 1
+        if long > 30 and line and before[-1][-1:] not in ".:;!?)»\"•-–" and line[0].isalpha() and not line[0].isupper() and not any(map(LISTING.search, [*before, line])):
+            before.append(line)
+        else:
+            out.append([line])
+    return "\n".join(map(" ".join, out))
+
+
 def cleaned(text: str, page_mark: str = "\f") -> tuple[str, int, int, str]:
     """A text without what its pages repeat: the text, pages, characters that are no repetition, and what was taken back.
 
@@ -92,7 +111,7 @@ def cleaned(text: str, page_mark: str = "\f") -> tuple[str, int, int, str]:
         if len(joined(out)) < source // 2:
             out, undone = [p.strip() for p in pages], "all"
     kept = "\n".join(x for x in joined(out).split("\n") if not (x.strip() and (PAGE_NUMBER.match(x.strip()) or FOOTER.match(x.strip()))))
-    return kept, len(pages), len(joined(safe)), undone
+    return joined_lines(kept), len(pages), len(joined(safe)), undone
 
 
 def clean_documents(documents: DataFrame, id_column: str, text_column: str = "text", page_mark: str = "\f") -> DataFrame:
@@ -109,8 +128,8 @@ def clean_documents(documents: DataFrame, id_column: str, text_column: str = "te
 
 def border_lines(c: Column) -> Column:
     """First and last two lines of a page that could be furniture."""
-    lines = F.filter(X.lines_of(c), lambda x: F.length(F.trim(x)).between(4, 90))
-    return F.array_distinct(F.concat(F.slice(lines, 1, 2), F.slice(F.reverse(lines), 1, 2)))
+    lines = F.filter(F.transform(F.split(c, "\n"), strip), lambda x: F.length(x) > 3)
+    return F.filter(F.array_distinct(F.concat(F.slice(lines, 1, 2), F.slice(F.reverse(lines), 1, 2))), lambda x: F.length(x) <= HEADING)
 
 
 def document_gate(chunks: DataFrame, document: str, reason: Column, text: str = "text", kind: str = "kind", share: float = 0.6, least: int = 5, least_words: int = 60) -> DataFrame:

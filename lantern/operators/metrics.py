@@ -16,6 +16,14 @@ def two_units(df: DataFrame, key: list[str], per: list[str] | None = None) -> Da
     return out.withColumn("factor", F.round(F.coalesce(F.try_divide(F.col("n_rows"), F.col("n_cases")), F.lit(0.0)), 2))
 
 
+def verdicts_by_instrument(claims: DataFrame, kind: str = "type", verdict: str = "verdict", instrument: str = "instrument") -> DataFrame:
+    """signed_by, verdict and n: verdicts by the instrument that gave them, those that none signed by why that is so."""
+    from lantern.operators.checks import unsigned_reason
+
+    by = F.coalesce(F.col(instrument), F.concat(F.lit("unsigned: "), unsigned_reason(F.col(kind), F.col(verdict), F.col(instrument))))
+    return claims.groupBy(by.alias("signed_by"), verdict).agg(F.count("*").alias("n"))
+
+
 def percentage(part: Column, whole: Column) -> Column:
     """Like `75.0 %`, or n/a of nothing."""
     return F.when(whole > 0, F.concat(F.format_number(100 * part / whole, 1), F.lit(" %"))).otherwise("n/a")

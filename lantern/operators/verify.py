@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.functions import text as X
+from lantern.functions.corpus import undeclared_sum
 
 # Least entailment, least coverage to ask at all, sentence coverage, shortest judged sentence.
 ENTAILMENT, LEAST_COVERAGE, SENTENCE_COVERAGE, LEAST_WORDS = 0.90, 0.25, 0.50, 3
@@ -53,6 +54,15 @@ def sentence_backing(sentence: Column, support: Column, least: float = SENTENCE_
     return F.when(F.size(own) < LEAST_WORDS, "short").when((F.size(support) > 0) & (X.coverage(support, own) >= least), "backed").otherwise("unbacked")
 
 
+def support_of(claims: Column) -> Column:
+    """The words that back the prose of an answer: those of its claims, given as JSON objects, and of their quotes. Scaffolding
+    with a sum in it backs nothing, else a sum that nobody checked would allow what is built on it."""
+    get = lambda x, n: F.coalesce(F.get_json_object(x, f"$.{n}"), F.lit(""))
+    own = lambda x: F.array_union(X.content_words(get(x, "texto")), X.content_words(get(x, "cita")))
+    summed = lambda x: (get(x, "tipo") == "andamiaje") & undeclared_sum(get(x, "texto")).isNotNull()
+    return F.array_distinct(F.flatten(F.transform(F.filter(claims, lambda x: ~summed(x)), own)))
+
+
 def final_verdict(*verdicts: Column) -> Column:
     return F.coalesce(*verdicts, F.lit("sin_verificar"))
 

@@ -122,12 +122,12 @@ STOPS = "[" + ", ".join(f"'{w}'" for w in lexical.STOP_WORDS) + "]"
 TERMS = f"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM w), h AS (SELECT * FROM t WHERE NOT list_contains({STOPS}, term))"""
 
 
-@query("WITH " + TERMS + """, q AS (SELECT doc_id, term, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM h WHERE term IN ('worthless', 'license') AND doc_id IN (SELECT doc_id FROM h WHERE term = 'worthless') AND doc_id IN (SELECT doc_id FROM h WHERE term = 'license')),
-a AS (SELECT *, max(CASE WHEN term = 'worthless' THEN pos END) OVER o AS x, max(CASE WHEN term = 'license' THEN pos END) OVER o AS y, max(CASE WHEN term = 'worthless' THEN n END) OVER o AS i, max(CASE WHEN term = 'license' THEN n END) OVER o AS j FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+@query("WITH " + TERMS + """, q AS (SELECT doc_id, term, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM h WHERE term IN ('version', 'license') AND doc_id IN (SELECT doc_id FROM h WHERE term = 'version') AND doc_id IN (SELECT doc_id FROM h WHERE term = 'license')),
+a AS (SELECT *, max(CASE WHEN term = 'version' THEN pos END) OVER o AS x, max(CASE WHEN term = 'license' THEN pos END) OVER o AS y, max(CASE WHEN term = 'version' THEN n END) OVER o AS i, max(CASE WHEN term = 'license' THEN n END) OVER o AS j FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT *, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN least(x, y) END AS s, least(i, j) AS m FROM a), c AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM b),
 d AS (SELECT doc_id, round(sum(0.1::DOUBLE / (1 + (pos - s) - (n - m))), 6) AS score FROM c WHERE s IS NOT NULL AND (before IS NULL OR s > before) GROUP BY 1) SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank FROM d ORDER BY score DESC, doc_id LIMIT 20""")
 def lexical_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _searched(spark, sf_dir, "worthless license", every=True)
+    return _searched(spark, sf_dir, "version license", every=True)
 
 
 @query("WITH " + TERMS + """, s AS (SELECT doc_id, round(0.1::DOUBLE * count(*), 6) AS score FROM h WHERE term IN ('worthless', 'license') AND doc_id NOT IN (SELECT doc_id FROM h WHERE term = 'mit') GROUP BY 1)

@@ -49,11 +49,21 @@ def abstention_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").agg(F.count("*").alias("n"), bad.alias("abstained"), F.round(100.0 * bad / F.count("*"), 4).alias("share"))
 
 
-@query("""SELECT split_part(text, ':', 1) AS class, count(*) AS n FROM conversations WHERE contains(text, ':') GROUP BY 1""")
+@query("""SELECT split_part(url, ':', 1) AS class, substr(split_part(url, ':', 2), 3, 6) AS begins, count(*) AS n FROM pages WHERE contains(url, ':') GROUP BY 1, 2""")
 def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands before the first colon of those turns that have one."""
-    rows = read(spark, sf_dir, "conversations").where(F.contains("text", F.lit(":")))
-    return rows.groupBy(F.split_part("text", F.lit(":"), F.lit(1)).alias("class")).agg(F.count("*").alias("n"))
+    """What stands before the first colon of those addresses that have one, with the beginning of what stands behind it."""
+    rows = read(spark, sf_dir, "pages").where(F.contains("url", F.lit(":")))
+    part = lambda i: F.split_part("url", F.lit(":"), F.lit(i))
+    return rows.groupBy(part(1).alias("class"), F.substring(part(2), 3, 6).alias("begins")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT event_type AS type, CASE WHEN value >= 100 THEN 'verificada' WHEN value >= 50 THEN 'podada' ELSE 'sin_verificar' END AS verdict, CASE WHEN event_id % 3 > 0 THEN 'instrument ' || event_id % 3 END AS instrument FROM events)
+SELECT coalesce(instrument, CASE WHEN verdict = 'sin_verificar' THEN 'unsigned: not verifiable' ELSE 'unsigned: undeclared' END) AS signed_by, verdict, count(*) AS n FROM c GROUP BY 1, 2""")
+def verdicts_by_instrument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdict = F.when(F.col("value") >= 100, "verificada").when(F.col("value") >= 50, "podada").otherwise("sin_verificar")
+    signed = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("instrument "), (F.col("event_id") % 3).cast("string")))
+    claims = read(spark, sf_dir, "events").select(F.col("event_type").alias("type"), verdict.alias("verdict"), signed.alias("instrument"))
+    return M.verdicts_by_instrument(claims)
 
 
 @query("""SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS kinds FROM orders GROUP BY 1 HAVING string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) = 'O'""")

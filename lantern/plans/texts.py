@@ -266,6 +266,16 @@ def source_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dating.dated(docs, [("RD-686-2010", "2010-06-12"), ("RD-405-2023", "2023-06-03")], [("corpus/familia", "2019-01-01", "texto: año citado")]).select("n", "date", "origin")
 
 
+@query(f"""WITH c AS (SELECT conv_id, turn, {WORDS.format("coalesce(text, '')")} AS own, conv_id % 3 AS kind FROM conversations)
+SELECT conv_id, turn, CASE kind WHEN 0 THEN len(list_distinct(own || ['palabra', 'citada'])) WHEN 1 THEN 2 ELSE len(list_distinct(own || ['suelta', 'igual', 'palabra', 'citada'])) END AS n FROM c""")
+def prose_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words back an answer, of claims with scaffolding that holds a sum, or none."""
+    kind = F.col("conv_id") % 3
+    told = F.when(kind == 1, F.concat(F.coalesce("text", F.lit("")), F.lit(" y así 64 - 2 = 62 equipos"))).when(kind == 2, F.concat(F.coalesce("text", F.lit("")), F.lit(" suelta igual"))).otherwise(F.coalesce("text", F.lit("")))
+    claims = F.array(F.to_json(F.struct(F.when(kind == 0, "conocimiento").otherwise("andamiaje").alias("tipo"), told.alias("texto"))), F.lit('{"tipo": "literal", "cita": "una palabra citada"}'))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(verify.support_of(claims)).alias("n"))
+
+
 @query("""SELECT doc_id, md5(strip_accents(text || ' Ấ ő ç Ł é' || chr(769))) AS plain FROM documents""")
 def unaccented_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text without accents, with some letters that no short table has."""
