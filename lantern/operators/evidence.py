@@ -108,29 +108,47 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     return ranged.join(F.broadcast(first), "__part").withColumn(name, F.col("f") + F.col("__in")).drop("__part", "__in", "__at", "f")
 
 
-def negative_pairs(rows: DataFrame, id_column: str, document: str, linked: DataFrame | None = None, stride: int = 7, reach: int = 16) -> DataFrame:
+def run_ends(rows: DataFrame, place: str, group: str, block: int = 1 << 16) -> DataFrame:
+    """Rows numbered from 0 without gaps, with `next`: the first later place at which the group changes, counted on past the last
+    row; null if it never does. Places are looked at in blocks, and blocks by their first change, so no task sees all rows."""
+    n = rows.count()
+    before = rows.select(((F.col(place) + 1) % n).alias(place), F.col(group).alias("__g"))
+    begins = F.when(~F.col(group).eqNullSafe(F.col("__g")), F.col(place))
+    marked = rows.join(before, place).withColumns({"__begins": begins, "__block": F.floor(F.col(place) / block)}).drop("__g")
+    later = Window.orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
+    firsts = cut(marked.groupBy("__block").agg(F.min("__begins").alias("__first")))
+    first = firsts.agg(F.min("__first")).first()[0]
+    blocks = firsts.select("__block", F.min("__first").over(later).alias("__later"))  # a row a block
+    inside = F.min("__begins").over(Window.partitionBy("__block").orderBy(place).rowsBetween(1, Window.unboundedFollowing))
+    around = F.lit(None if first is None else first + n).cast("long")
+    return marked.withColumn("__in", inside).join(blocks, "__block").withColumn("next", F.coalesce("__in", "__later", around)).drop("__begins", "__block", "__in", "__later")
+
+
+def negative_pairs(rows: DataFrame, id_column: str, document: str, linked: DataFrame | None = None, stride: int = 7) -> DataFrame:
     """For row i of n in id order: the first row from place (i * stride) mod n on that is of another document and not linked.
 
-    Looks `reach` places ahead, then as far again, until every row has a partner or all places have been tried. Rows that
-    nothing fits, and empty tables, give no pair.
+    Where the row there is of the same document, the search goes on behind that document's run, which is a row of another; where
+    it is linked, one place on. So each round settles all rows but those whose next candidate is linked too. Rows that
+    nothing fits once around, and empty tables, give no pair.
     """
-    base = cut(numbered(rows.select(F.col(id_column).alias("a"), F.col(document).alias("d")), ["a"], "i"))
+    base = cut(run_ends(cut(numbered(rows.select(F.col(id_column).alias("a"), F.col(document).alias("d")), ["a"], "i")), "i", "d"))
     n = base.count()
-    done, start = base.select("a", F.col("a").alias("b")).limit(0), 0
-    waiting = base
-    while start < n:
-        ahead = F.explode(F.sequence(F.lit(start), F.lit(min(start + reach, n) - 1)))
-        tries = waiting.select("a", "d", "i", ahead.alias("k")).withColumn("j", (F.col("i") * stride + F.col("k")) % n)
-        found = tries.join(base.select(F.col("i").alias("j"), F.col("a").alias("b"), F.col("d").alias("e")), "j").where("e != d and a != b")
+    done = base.select("a", F.col("a").alias("b")).limit(0)
+    if not n:
+        return done
+    at = base.select(F.col("i").alias("j"), F.col("a").alias("b"), F.col("d").alias("e"), "next")
+    waiting = cut(base.select("a", "d", (F.col("i") * stride % n).alias("k")).withColumn("begun", F.col("k")))
+    while not waiting.isEmpty():
+        met = waiting.withColumn("j", F.col("k") % n).join(at, "j")
+        same = F.col("e").eqNullSafe(F.col("d")) | (F.col("a") == F.col("b"))
         if linked is not None:
-            pairs = linked.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-            found = found.join(pairs, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-        best = cut(found.groupBy("a").agg(F.min_by("b", "k").alias("b")))
-        done = done.unionByName(best)
-        waiting = cut(waiting.join(best.select("a"), "a", "left_anti"))
-        if waiting.isEmpty():
-            break
-        start, reach = start + reach, reach * 2
+            pairs = linked.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.lit(True).alias("tied")).distinct()
+            met = met.join(pairs, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left")
+        tied = F.coalesce("tied", F.lit(False)) if linked is not None else F.lit(False)
+        met = cut(met.select("a", "b", "d", "k", "begun", "next", "j", same.alias("same"), (~same & ~tied).alias("fits")))
+        done = done.unionByName(met.where("fits").select("a", "b"))
+        further = F.when(F.col("same"), F.col("k") + F.col("next") - F.col("j")).otherwise(F.col("k") + 1)
+        waiting = cut(met.where("not fits").select("a", "d", further.alias("k"), "begun").where(F.col("k") < F.col("begun") + n))
     return done
 
 

@@ -119,3 +119,35 @@ def test_whole_retrieval(spark):
     assert one[2] == (1, "low", False, [(1, 0), (2, 3), (3, 6)])  # no subject asked: the richest, ties to the smaller id
     assert one[3] == (2, "low", False, []) and one[4] == (None, "low", False, []) and one[6] == (None, "low", False, [])
     assert one[5][0] == 3 and [c for _, c in one[5][3]] == [2, 5, 8] and not one[5][2]
+
+
+@pytest.mark.parametrize("kind", ["runs", "one", "mixed", "two"])
+def test_negative_pairs_by_trying_all_places(spark, kind):
+    import random
+
+    r = random.Random(kind)
+    n = 150
+    doc = {"runs": [i // 40 for i in range(n)], "one": [1] * n, "mixed": [r.choice([0, 0, 0, 0, 1, 2, None]) for _ in range(n)], "two": [0] * (n - 1) + [1]}[kind]
+    ids = sorted(r.sample(range(1000), n))
+    linked = {tuple(sorted(r.sample(ids, 2))) for _ in range(1500)}
+    df = spark.createDataFrame(list(zip(ids, doc, strict=True)), "id int, d int").repartition(3)
+    ties = spark.createDataFrame([(b, a) if i % 2 else (a, b) for i, (a, b) in enumerate(sorted(linked))], "a int, b int")
+    for known in (None, linked):
+        want = {}
+        for i, a in enumerate(ids):
+            for k in range(n):
+                j = (i * 7 + k) % n
+                if doc[j] != doc[i] and (known is None or tuple(sorted((a, ids[j]))) not in known):
+                    want[a] = ids[j]
+                    break
+        got = evidence.negative_pairs(df, "id", "d", None if known is None else ties).collect()
+        assert len(got) == len(want) and {x.a: x.b for x in got} == want
+
+
+def test_run_ends(spark):
+    groups = ["a", "a", "b", None, None, "a", "a"]
+    df = spark.createDataFrame(list(enumerate(groups)), "i int, g string").repartition(2)
+    for block in (1, 2, 100):
+        got = {r.i: r.next for r in evidence.run_ends(df, "i", "g", block).collect()}
+        assert got == {0: 2, 1: 2, 2: 3, 3: 5, 4: 5, 5: 9, 6: 9}
+    assert evidence.run_ends(df.where("i < 2"), "i", "g").where("next is not null").count() == 0
