@@ -230,14 +230,23 @@ def split(text: str, budget: int = BUDGET, overlap: int = OVERLAP) -> list[tuple
     return out
 
 
-def chunk(documents: DataFrame, id_column: str, text_column: str, budget: int = BUDGET, overlap: int = OVERLAP) -> DataFrame:
-    """One row a chunk: id, ord, kind, heading, tokens and text. Each document is cut in its own row; nothing is shuffled."""
+def chunk(documents: DataFrame, id_column: str, text_column: str, budget: int = BUDGET, overlap: int = OVERLAP, context_column: str | None = None) -> DataFrame:
+    """One row a chunk: id, ord, kind, heading, tokens and text. Each document is cut in its own row; nothing is shuffled.
+
+    A context line that is embedded with every chunk of its document takes its tokens, and two for the model's own signs, from the
+    budget, but at most half of it; chunks then have it as `context` too, null ones count as empty.
+    """
     kind = documents.schema[id_column].dataType.simpleString()
+    more = ["context"] if context_column else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, *c) for i, t in zip(pdf["id"], pdf["text"], strict=True) for c in split(t or "", budget, overlap)]
-            yield pd.DataFrame(rows, columns=["id", "ord", "kind", "heading", "n_tokens", "n_overlap", "text"])
-
-    out = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInPandas(run, f"id {kind}, {CHUNK_SCHEMA}")
+            rows = []
+            for i, t, line in zip(pdf["id"], pdf["text"], pdf["context"] if more else [None] * len(pdf), strict=True):
+                room = budget - min(_tokens(line or "") + 2, budget // 2) if more else budget
+                rows += [(i, *c, *([line] if more else [])) for c in split(t or "", room, min(overlap, room // 2))]
+            yield pd.DataFrame(rows, columns=["id", "ord", "kind", "heading", "n_tokens", "n_overlap", "text", *more])
+
+    columns = [F.col(id_column).alias("id"), F.col(text_column).alias("text"), *(F.col(context_column).alias(c) for c in more)]
+    out = documents.select(*columns).mapInPandas(run, f"id {kind}, {CHUNK_SCHEMA}" + ", context string" * bool(more))
     return out.withColumnRenamed("id", id_column)

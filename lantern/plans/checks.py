@@ -120,12 +120,12 @@ def strongest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.strongest(rows, 50)
 
 
-@query("""WITH d AS (SELECT 'corpus/' || source || '/' || lang || '/' || doc_id AS path, source, lang FROM documents) SELECT path, CASE WHEN lang = 'es' THEN 'by language' WHEN source = 'web' THEN 'by source' END AS reason FROM d""")
+@query("""WITH d AS (SELECT 'corpus/' || source || '/' || lang || '/' || doc_id AS path, source, lang FROM documents) SELECT path, CASE WHEN lang = 'es' THEN 'by language' WHEN source = 'src3' THEN 'by source' END AS reason FROM d""")
 def excluded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     paths = d.select(F.concat_ws("/", F.lit("corpus"), "source", "lang", F.col("doc_id").cast("string")).alias("path"))
     entries = d.where("lang = 'es'").select(F.concat(F.lit("corpus/"), "source", F.lit("/es/")).alias("path"), F.lit("by language").alias("reason")).distinct()
-    return C.excluded_reason(paths, entries.unionByName(spark.range(1).select(F.lit("corpus/web/").alias("path"), F.lit("by source").alias("reason"))))
+    return C.excluded_reason(paths, entries.unionByName(spark.range(1).select(F.lit("corpus/src3/").alias("path"), F.lit("by source").alias("reason"))))
 
 
 @query("""SELECT event_id, list_contains([CAST(json_extract_string(props, '$.k') AS BIGINT), 3, 5], user_id % 7) AS held FROM events""")

@@ -104,10 +104,10 @@ def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.support(read(spark, sf_dir, "conversations").where("role = 'assistant'"), "conv_id", "text")
 
 
-@query("""WITH d AS (SELECT doc_id, source, regexp_extract(text, '^[^.]*\\.', 0) AS sentence FROM documents) SELECT doc_id, source, doc_id % 3 AS code FROM d WHERE length(trim(sentence)) > 0 AND source <> 'web'""")
+@query("""WITH d AS (SELECT doc_id, source, regexp_extract(text, '^[^.]*\\.', 0) AS sentence FROM documents) SELECT doc_id, source, doc_id % 3 AS code FROM d WHERE length(trim(sentence)) > 0 AND source NOT IN ('src3', 'src17')""")
 def definition_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_extract("text", r"^[^.]*\.", 0).alias("sentence"), (F.col("doc_id") % 3).alias("code"))
-    subjects = read(spark, sf_dir, "documents").select("source", (F.col("source") == "web").alias("excluded")).distinct()
+    subjects = read(spark, sf_dir, "documents").select("source", F.col("source").isin("src3", "src17").alias("excluded")).distinct()
     return checks.definition_candidates(d, subjects, "source").select("doc_id", "source", "code")
 
 

@@ -201,9 +201,9 @@ def priority_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.overridden([c, o], ["custkey"], ["class"])
 
 
-@query("""WITH r AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n, sha256(text) AS h FROM documents) SELECT a.doc_id AS missing_path, b.doc_id AS found_path FROM (SELECT h, doc_id, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS n FROM r WHERE lang = 'en' AND source < 'src5') a JOIN (SELECT h, doc_id, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS n FROM r WHERE lang = 'en' AND source >= 'src5') b USING (h, n)""")
+@query("""WITH r AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n, sha256(text) AS h FROM documents) SELECT a.doc_id AS missing_path, b.doc_id AS found_path FROM (SELECT h, doc_id, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS n FROM r WHERE source < 'src5') a JOIN (SELECT h, doc_id, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS n FROM r WHERE source >= 'src5') b USING (h, n)""")
 def hash_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").where("lang = 'en'").select(F.sha2("text", 256).alias("h"), F.col("doc_id").alias("path"), "source")
+    d = read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("h"), F.col("doc_id").alias("path"), "source")
     return C.repair(d.where("source < 'src5'"), d.where("source >= 'src5'"), "h", "path")
 
 

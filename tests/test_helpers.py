@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lantern.operators import checks, evidence, ingest, metrics, quality, reconcile, retrieval, verify
+from lantern.functions import text as X
+from lantern.operators import checks, evidence, ingest, lookups, metrics, quality, reconcile, retrieval, verify
 from lantern.sources import files
 
 
@@ -151,3 +152,53 @@ def test_run_ends(spark):
         got = {r.i: r.next for r in evidence.run_ends(df, "i", "g", block).collect()}
         assert got == {0: 2, 1: 2, 2: 3, 3: 5, 4: 5, 5: 9, 6: 9}
     assert evidence.run_ends(df.where("i < 2"), "i", "g").where("next is not null").count() == 0
+
+
+def test_first_differences(spark):
+    cases = [("abc", "abd", (2, "abc", "abd")), ("ab", "abcd", (2, "ab", "abcd")), ("", "x", (0, "", "x")), ("a", "a", None), (None, "a", None), ("x" * 100 + "1" + "y" * 100, "x" * 100 + "2" + "z" * 9, (100, "x" * 40 + "1" + "y" * 39, "x" * 40 + "2" + "z" * 9))]
+    got = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string").select("i", X.difference(F.col("a"), F.col("b")).alias("d")).collect()
+    assert {r.i: None if r.d is None else tuple(r.d) for r in got} == {i: w for i, (*_, w) in enumerate(cases)}
+
+
+def test_manifests(spark):
+    manifest = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, sha256 string")
+    disk = spark.createDataFrame([("a", "9"), ("b", "8"), ("d", "4"), ("d", "4")], "path string, sha256 string")
+    assert sorted(map(tuple, lookups.manifest_append(manifest, disk).collect())) == [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")]
+    named = spark.createDataFrame([("b",), ("c",)], "path string")
+    assert sorted((r.path, r.sha256, r.changed) for r in lookups.manifest_rehash(manifest, named, disk).collect()) == [("a", "1", False), ("b", "8", True), ("c", "3", False)]
+    assert sorted(r.path for r in lookups.manifest_delist(manifest, named.where("path = 'c'"), disk).collect()) == ["a", "b"]
+    with pytest.raises(ValueError, match="still on disk: b"):
+        lookups.manifest_delist(manifest, named, disk)
+    for act in (lookups.manifest_rehash, lookups.manifest_delist):
+        with pytest.raises(ValueError, match="not in the manifest: z"):
+            act(manifest, spark.createDataFrame([("z",)], "path string"), disk)
+    assert {r.path for r in lookups.unlisted(disk, manifest).collect()} == {"d"}
+
+
+def test_loads_count_what_is_left_out_and_refuse_what_lacks(spark):
+    chunks = spark.createDataFrame([(i,) for i in range(6)], "k int")
+    out = spark.createDataFrame([(0, "dump"), (1, "dump"), (2, "secret")], "k int, reason string")
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in (3, 4, 5)], "k int, v array<double>")
+    rows, counts = lookups.loadable(chunks, out, {"vector": vectors}, ["k"])
+    assert sorted(r.k for r in rows.collect()) == [3, 4, 5] and {tuple(r) for r in counts.collect()} == {("dump", 2), ("secret", 1)}
+    with pytest.raises(ValueError, match=r"no vector of \(4,\)"):
+        lookups.loadable(chunks, out, {"vector": vectors.where("k <> 4")}, ["k"])
+
+
+def test_conflicting_definitions(spark):
+    rows = [(1, "a", "X", "d1"), (1, "a", "x", "d2"), (1, "b", "X", "d1"), (1, "b", "Y", "d1"), (1, "c", "X", "d1"), (1, "c", "Y", "d2"), (2, "c", "X", "d1")]
+    p = spark.createDataFrame(rows, "subject_id int, term string, definition string, path string")
+    assert {r.term for r in lookups.definition_conflicts(p).collect()} == {"c"} and {r.term for r in lookups.definition_conflicts(p, raw=True).collect()} == {"a", "b", "c"}
+
+
+def test_the_context_line_is_inside_the_budget(spark):
+    text = "\n\n".join(" ".join(f"palabra{i} punto." for i in range(40)) for _ in range(6))
+    line = "DAW · curso 1 · programacion · Unidad 4 · " + "título largo " * 10
+    df = spark.createDataFrame([(1, text, line), (2, text, None), (3, None, line), (4, text, "x " * 900)], "doc int, body string, line string")
+    got = ingest.chunk(df, "doc", "body", 120, 20, "line").collect()
+    for r in got:
+        assert r.n_tokens + min(ingest._tokens(r.context or "") + 2, 60) <= 120 and ingest._tokens(r.text) == r.n_tokens
+    many = {d: sum(r.doc == d for r in got) for d in (1, 2, 3, 4)}
+    assert many[1] > many[2] > 0 == many[3] and many[4] >= many[1]
+    plain = ingest.chunk(df.where("doc = 2"), "doc", "body", 120, 20).collect()
+    assert max(r.n_tokens for r in plain) > max(r.n_tokens for r in got if r.doc == 1)
