@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import packets as P
-from .shared import cut
+from .shared import bucketed, cut
 
 BASE, CHUNK = 4, 2 << 20
 #: Hash, document's order, its text, first word and number of words; 1: the answer is known, 2: known, tells others.
@@ -252,6 +252,7 @@ def substring_dedup(documents: DataFrame, words: int = 13, mode: str = "text", i
     number = P.buckets(spark) // 2  # answers go from every bucket to every other
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     rows = rows.select(F.coalesce("id", F.lit(2**63 - 1)).alias("doc"), F.hash("text").alias("hash"), "id", "text")
+    rows = bucketed(rows, ["doc", "hash"], "texts")  # texts move once; from then on only answers come to them
 
     def level(frame: DataFrame, records, length: int, last: bool) -> DataFrame:
         sent = frame.mapInArrow(P.sender(records, _settle(number, last, length)), P.SCHEMA)

@@ -37,6 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Like written, dealt by the keys into as many files as a shuffle has partitions: joins by the keys shuffle their other side
+    only. The table's name is gone from the catalogue at once, its files stay in the shared folder."""
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions", "200")), f"{name}_{uuid.uuid4().hex}"
+    at = posixpath.join(folder(spark), table)
+    df.repartition(n, *keys).write.format("parquet").option("path", at).option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes what an operator wrote to the shared folder itself and nothing reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
