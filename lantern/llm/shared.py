@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import posixpath
 import tempfile
 import uuid
@@ -59,6 +60,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of frames that are gone, which it does when the driver's garbage is collected: rounds
+    that each leave a few small files for every partition would fill disks until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(doc_id, text):
     """Tells rows apart, even those that share an id; rows equal in both count as one."""
     return F.xxhash64(doc_id, text)
@@ -84,6 +92,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 80) -
         parent = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(parent, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         e = cut(small.unionByName(parent.select("hi", F.col("m").alias("lo"))).distinct())
+        del lows, large, parent, small
+        give_back(e.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     tops = e.select(F.col("lo").alias("node")).distinct()
