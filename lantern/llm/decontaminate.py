@@ -32,35 +32,42 @@ SHARD_BYTES = 4 << 20
 
 
 class Phrases:
-    """The distinct windows of a block of benchmark items, as arrays."""
+    """The distinct windows of a block of benchmark items, as arrays of a few dozen bytes a window."""
 
     def __init__(self, items: list[tuple[str, str | None]], width: int):
         self.width = width
-        names, texts = [a for a, _ in items], pa.array([b or "" for _, b in items], pa.large_string())
-        rows: dict[bytes, list[int]] = {}
-        hashes = []
-        for part in K.words(texts, K.ALNUM, True):
-            for i in range(part.hi - part.lo):
-                hashes.append(part.hash[part.row_at[i] : part.row_at[i + 1]])
-        for i, h in enumerate(hashes):
-            n = min(width, len(h))
-            for s in range(len(h) - n + 1 if n else 0):
-                rows.setdefault(h[s : s + n].tobytes(), []).append(i)
-        windows = [np.frombuffer(k, np.uint64) for k in rows]
-        self.names = np.array(names, object)
-        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *windows]))
-        self.length = np.array([len(w) for w in windows], np.int64)
+        self.names = np.array([a for a, _ in items], object)
+        parts = [(p.hash, np.diff(p.row_at)) for p in K.words(pa.array([b or "" for _, b in items], pa.large_string()), K.ALNUM, True)]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)])
+        n = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+        self.vocabulary = np.unique(hashes)
+        number = (np.searchsorted(self.vocabulary, hashes) + 1).astype(np.int32)
+        begin, size = np.cumsum(n) - n, np.minimum(n, width)
+        windows = np.where(n > 0, n - size + 1, 0)
+        item, start = np.repeat(np.arange(len(n), dtype=np.int32), windows), K.expand(begin, windows).astype(np.int32)
         # Right-aligned, as backward search starts at the last word; 0 stands for no word.
-        self.words = np.zeros((len(windows), width), np.int32)
-        for i, w in enumerate(windows):
-            self.words[i, width - len(w) :] = np.searchsorted(self.vocabulary, w) + 1
-        pairs = [self.words[i, width - len(w) :] for i, w in enumerate(windows)]
-        v = len(self.vocabulary) + 1
-        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(p[:-1].astype(np.int64) * v + p[1:] for p in pairs)]))
-        self.least = int(self.length.min()) if len(windows) else width
-        owners = [np.unique(x) for x in rows.values()]
-        self.owner_at = np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int64)
-        self.owner = np.concatenate([np.zeros(0, np.int64), *owners]).astype(np.int64)
+        words = np.zeros((len(start), width), np.int32)
+        for j in range(width):
+            long = np.flatnonzero(size[item] > j)
+            words[long, width - 1 - j] = number[start[long] + size[item[long]] - 1 - j]
+        del start
+        order = np.argsort(words.view(np.dtype((np.void, 4 * width))).ravel()).astype(np.int32)
+        new = np.ones(len(order), bool)
+        for lo in range(1, len(order), 1 << 18):  # equal windows stand together
+            hi = min(len(order), lo + (1 << 18))
+            new[lo:hi] = (words[order[lo:hi]] != words[order[lo - 1 : hi - 1]]).any(axis=1)
+        first, same = order[new], np.empty(len(order), np.int32)
+        same[order] = np.cumsum(new) - 1
+        self.words, self.length = words[first], size[item[first]]
+        del order, words
+        self.least = int(self.length.min()) if len(first) else width
+        owners = np.unique(same.astype(np.int64) * max(1, len(n)) + item)
+        self.owner_at = np.searchsorted(owners // max(1, len(n)), np.arange(len(first) + 1)).astype(np.int64)
+        self.owner = owners % max(1, len(n))
+        next_to = np.ones(max(0, len(number) - 1), bool)  # which words stand side by side in an item
+        next_to[begin[(begin > 0) & (begin < len(number))] - 1] = False
+        at = np.flatnonzero(next_to)
+        self.pairs = np.unique(number[at].astype(np.int64) * (len(self.vocabulary) + 1) + number[at + 1])
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -302,7 +309,7 @@ def decontaminate(
     item_text_column: str = "text",
     width: int = 13,
     least_share: float = 0.05,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 12 << 20,
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (the ids of benchmark items with occurring windows, sorted as
     strings), spans (merged removal spans: byte range and number of words) and contaminated.
