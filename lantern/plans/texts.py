@@ -81,9 +81,8 @@ WHEN regexp_matches(text, '[A-ZÁÉÍÓÚÑ]{3,}\\s+[A-ZÁÉÍÓÚÑ]{3,},\\s*[A
 
 @query(PII)
 def pii_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = X.personal_data(F.col("text"))
-    found["density"] = F.round(found["density"], 6)
-    return read(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in found.items()))
+    found = X.with_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return found.withColumn("density", F.round("density", 6)).drop("text")
 
 
 @query("""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT source, doc_id, regexp_replace(trim(regexp_replace(line, '\\s+', ' ', 'g')), '[0-9]+', '#', 'g') AS signature FROM l),
