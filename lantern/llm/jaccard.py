@@ -35,6 +35,8 @@ from .shared import components, cut
 CHUNK, BLOCK = 2 << 20, 1500
 #: Shingles of a block of documents, about; documents whose row of the product is made at once; products that are added at once.
 SHINGLES, ROWS, PRODUCTS = 1 << 20, 64, 1 << 20
+#: A signature counts as frequent from so many sets of a task's on; so many frequent ones at most go to all tasks (16 bytes each).
+OFTEN, FREQUENT = 4, 1 << 17
 _U = np.uint64
 
 
@@ -123,18 +125,27 @@ class Parts:
         tag = K.mix((number + (level[owner] << 44)).astype(np.uint64))
         return K.mix(sums + tag), tag, filled, owner, begin, parts
 
-    def signatures(self, sets: list[np.ndarray], told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def signatures(self, sets: list[np.ndarray], told: np.ndarray, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Signatures of each set's parts - on the level of its own size class, and of the next - and the sets on those
-        levels that they are of; told: a number for each set."""
+        levels that they are of; told: a number for each set.
+
+        frequent: hashes of parts that many sets have, in order, and how many. Similar sets agree in one part more than
+        there are spare ones; in empty parts they agree in no more than either has. So each set can do without as many of
+        its parts as its empty ones leave of the spare ones, if all sets leave out the last by one order: the first that
+        two similar sets agree in stays. The most frequent are last, which any counts may say.
+        """
         hashes, nodes = [], []
         own = self.own(np.array([len(s) for s in sets], np.int64))
         for level in (own, own + 1):
             node = nodes_of(told, level, level > own)
             content, tag, filled, owner, begin, parts = self.divided(sets, level)
-            hashes.append(content[filled])
-            nodes.append(node[owner[filled]])
-            # Sets may agree in empty parts alone if they have more than the spare ones: then in some subset of one more.
             empty, spare = np.bincount(owner[~filled], minlength=len(parts)), self.spare[level]
+            h, o = content[filled], owner[filled]
+            if frequent is not None:
+                h, o = self._without_last(h, o, np.maximum(spare - empty, 0), *frequent)
+            hashes.append(h)
+            nodes.append(node[o])
+            # Sets may agree in empty parts alone if they have more than the spare ones: then in some subset of one more.
             for i in np.flatnonzero((empty > spare) & (parts > 0)).tolist():
                 mine = tag[begin[i] : begin[i] + parts[i]][~filled[begin[i] : begin[i] + parts[i]]]
                 extra = np.array([sum(c) & (2**64 - 1) for c in itertools.combinations(mine.tolist(), int(spare[i]) + 1)], np.uint64)
@@ -142,6 +153,17 @@ class Parts:
                 nodes.append(np.full(len(extra), node[i]))
         return np.concatenate(hashes), np.concatenate(nodes)
 
+    @staticmethod
+    def _without_last(h: np.ndarray, owner: np.ndarray, drop: np.ndarray, known: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each owner's hashes but for the last few, as many as `drop` says, by how frequent they are."""
+        at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+        n = np.where(known[at] == h, times[at], 0) if len(known) else np.zeros(len(h), np.int64)
+        order = np.lexsort((h, n, owner))
+        h, owner = h[order], owner[order]
+        end = np.cumsum(np.bincount(owner, minlength=len(drop)))
+        keep = np.arange(len(h)) < (end - drop)[owner]
+        return h[keep], owner[keep]
+
 
 def _base(n: int):
     @K.tidy
@@ -158,14 +180,56 @@ def _base(n: int):
     return run
 
 
-def _signatures(parts: Parts, n: int):
+def _signatures(parts: Parts, n: int, frequent: tuple[np.ndarray, np.ndarray] | None = None):
     def records(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         for _, sets in shingle_sets(batch.column("text"), n):
-            yield [*parts.signatures(sets, set_hashes(sets))]
+            yield [*parts.signatures(sets, set_hashes(sets), frequent)]
 
     return records
 
 
+def _often(parts: Parts, n: int):
+    """Signatures that OFTEN or more sets of those that a task holds at once have, and how many."""
+    records = _signatures(parts, n)
+
+    @K.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for h, _ in records(batch):
+                held.append(h)
+                size += len(h)
+                if size >= P.FLUSH:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, times = np.unique(np.concatenate(held), return_counts=True)
+        h, times = h[times >= OFTEN], times[times >= OFTEN]
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times.astype(np.int64))], names=["h", "times"])
+
+    return run
+
+
+def frequent_parts(rows: DataFrame, parts: Parts, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the most frequent parts of all rows, in order, and how many sets have them: FREQUENT at most, as all
+    tasks get them. They only order a set's parts; nothing is lost by those that are missing."""
+    counts = cut(rows.mapInArrow(_often(parts, n), "h long, times long").groupBy("h").agg(F.sum("times").alias("times")))
+    power = F.floor(F.log2("times")).cast("int")
+    least, many = 63, 0
+    for p, c in sorted(((r[0], r[1]) for r in counts.groupBy(power.alias("p")).count().collect()), reverse=True):
+        many += c
+        if many > FREQUENT:
+            break
+        least = p
+    t = counts.where(power >= least).toArrow()
+    h = t.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], t.column("times").to_numpy()[order]
+
+
 def _stars(h: np.ndarray, node: np.ndarray, natives: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First record of each hash, and an edge from its smallest node to each other; natives: if that is a native only."""
     order = np.lexsort((node, h))
@@ -460,12 +524,12 @@ def jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, block: int
     whole = cut(whole)
     number = P.buckets(spark) // 2
     parts = Parts(Fraction(percent, 100))
-    sent = rows.where("id is not null").mapInArrow(P.sender(_signatures(parts, n), _settle(number)), P.SCHEMA)
+    named = rows.where("id is not null")
+    sent = named.mapInArrow(P.sender(_signatures(parts, n, frequent_parts(named, parts, n)), _settle(number)), P.SCHEMA)
     family = components(P.exchange(sent, ["u8", "i8", "i1"], _meet, "a long, b long"))
     members = whole.select("rep", "weight", "n", "h1").mapInArrow(_levels(parts), "rep long, weight long, n long, level int, node long")
     members = cut(members.join(family.withColumnRenamed("component", "family"), "node"))
-    named = rows.where("id is not null")
-    members = members.drop("family").join(_nearer(named, members, parts, n, percent, 4 * block), "node")
+    members = members.drop("family").join(_nearer(named, members, parts, n, percent, 16 * block), "node")
     sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("members"), F.count_if(F.col("node") < 0).alias("natives"))
     sizes = sizes.where("members > 1 and natives > 0").select("family", "blocks")
     members = members.join(sizes, "family").select(F.col("rep").alias("id"), "family", "level", "weight", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
