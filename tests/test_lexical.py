@@ -119,3 +119,20 @@ def test_only_the_terms_that_are_asked_for(spark):
     chunks = spark.createDataFrame([(1, "la tabla tiene claves y más claves")], "chunk_id int, text string")
     rows = lexical.postings(chunks, "chunk_id", only=lexical.terms_of("clave foránea")).collect()
     assert [(r.term, r.positions, r.n_terms) for r in rows] == [("clav", [4, 7], 7)]
+
+
+def test_postings_take_few_words_at_once(spark, monkeypatch):
+    """However few words are looked at together, and whichever terms are wanted, postings are the same; a question's terms are
+    enough for it. Null and empty texts have none."""
+    rows = [(i, t) for i, t in enumerate(["pan dos, pan. DOS tres", None, "", "tres tristes tigres y dos", "de la que", "Dos_dos x2 dos"])]
+    df = spark.createDataFrame(rows, "id long, text string")
+    get = lambda **o: {(r.term, r.id): (r.n_terms, list(r.positions)) for r in lexical.postings(df, "id", **o).collect()}
+    whole = get(stemmed=False)
+    assert whole[("pan", 0)] == (5, [1, 3]) and whole[("dos", 3)] == (5, [5]) and not any(i in (1, 2, 4) for _, i in whole)
+    monkeypatch.setattr(lexical, "WORDS", 2)
+    assert get(stemmed=False) == whole
+    assert get(stemmed=False, only=["dos", "tres"]) == {k: v for k, v in whole.items() if k[0] in ("dos", "tres")}
+    asked = spark.createDataFrame([(1, "dos -pan"), (2, None)], "query_id long, question string")
+    index = lexical.postings_for(df, asked, "id", stemmed=False)
+    assert {r.term for r in index.collect()} == {"pan", "dos"}
+    assert [(r.query_id, r.id) for r in lexical.search_all(index, asked, 5, "id", stemmed=False).collect()] == [(1, 3), (1, 5)]
