@@ -13,19 +13,25 @@ def glossary_passages(glossary: DataFrame, chunks: DataFrame, documents: DataFra
     return found.select("subject_id", "term", "definition", "chunk_id", "ord", "text", "path")
 
 
-def definition_conflicts(passages: DataFrame, raw: bool = False) -> DataFrame:
-    """subject_id, term, times, definitions and documents of terms that are defined more than once. Definitions that are equal but
-    for capitals are one, and those of one document are its overlap with itself: only terms with two definitions or more of two
-    documents or more conflict - `raw` leaves that out, to show how many there would seem to be."""
+def repeated_terms(passages: DataFrame) -> DataFrame:
+    """subject_id, term, times, definitions and documents of terms that are defined more than once, and whether they conflict:
+    definitions that are equal but for capitals are one, and those of one document are its overlap with itself, so only terms with
+    two definitions or more of two documents or more do."""
+    small = F.lower("definition")
     terms = passages.groupBy("subject_id", "term").agg(
         F.count("*").alias("times"),
-        F.array_sort(F.collect_list("definition")).alias("definitions"),
-        F.array_sort(F.collect_list("path")).alias("documents"),
-        F.countDistinct(F.lower("definition")).alias("__d"),
-        F.countDistinct("path").alias("__p"),
+        F.sort_array(F.collect_list("definition")).alias("definitions"),
+        F.sort_array(F.collect_list("path")).alias("documents"),
+        # Two different ones: the first is not the last.
+        F.coalesce((F.min(small) != F.max(small)) & (F.min("path") != F.max("path")), F.lit(False)).alias("conflict"),
     )
-    terms = terms.where("times > 1") if raw else terms.where("times > 1 and __d > 1 and __p > 1")
-    return terms.drop("__d", "__p")
+    return terms.where("times > 1")
+
+
+def definition_conflicts(passages: DataFrame, raw: bool = False) -> DataFrame:
+    """The repeated terms that conflict; `raw` shows all, as how many there would seem to be."""
+    terms = repeated_terms(passages)
+    return (terms if raw else terms.where("conflict")).drop("conflict")
 
 
 def cited_passages(asked: DataFrame, claims: DataFrame, chunks: DataFrame, documents: DataFrame, subjects: DataFrame) -> DataFrame:

@@ -36,10 +36,10 @@ def glossary_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT subject_id, term, times, definitions, documents, true AS raw FROM t UNION ALL SELECT subject_id, term, times, definitions, documents, false FROM t WHERE d > 1 AND n > 1""")
 def definition_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms defined more than once, and those of them that conflict."""
-    p = _passages(spark, sf_dir)
     digest = lambda c: F.md5(F.array_join(c, "|")).alias(c)
-    each = [L.definition_conflicts(p, raw).select("subject_id", "term", "times", digest("definitions"), digest("documents"), F.lit(raw).alias("raw")) for raw in (True, False)]
-    return each[0].unionByName(each[1])
+    each = L.repeated_terms(_passages(spark, sf_dir)).select("subject_id", "term", "times", digest("definitions"), digest("documents"), "conflict")
+    raw = F.explode(F.when(F.col("conflict"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
+    return each.withColumn("raw", raw).drop("conflict")
 
 
 @query("""WITH a AS (SELECT l_orderkey AS response_id, l_partkey AS chunk_id FROM lineitem WHERE l_linenumber <= 3), k AS (SELECT DISTINCT l_orderkey AS response_id, l_partkey AS chunk_id FROM lineitem WHERE l_returnflag = 'R'),
