@@ -95,10 +95,16 @@ def is_furniture(line: Column) -> Column:
 
 
 def bullets_repaired(c: Column) -> Column:
-    """A digit that opens three lines or more without a sign after it was a bullet: it becomes a hyphen."""
-    opens = lambda d: F.concat(F.lit(r"(?m)^[ \t]*["), d, F.lit(r"][ \t]+(?=[A-Za-zÁÉÍÓÚÑáéíóúñ(¿¡])"))
-    digits = F.filter(F.array(*(F.lit(str(d)) for d in range(10))), lambda d: F.regexp_count(c, opens(d)) >= 3)
-    return F.when(F.size(digits) > 0, F.regexp_replace(c, opens(F.array_join(digits, "")), F.lit("- "))).otherwise(c)
+    """A digit that opens three lines or more without a sign after it was a bullet: it becomes a hyphen. The text is looked at once
+    for all digits."""
+    opens = lambda d: F.concat(F.lit(r"(?m)^[ \t]*(["), d, F.lit(r"])[ \t]+(?=[A-Za-zÁÉÍÓÚÑáéíóúñ(¿¡])"))
+
+    def repaired(text: Column, opening: Column) -> Column:
+        digits = F.filter(F.array(*(F.lit(str(d)) for d in range(10))), lambda d: F.size(F.filter(opening, lambda x: x == d)) >= 3)
+        many = lambda found: F.when(F.size(found) > 0, F.regexp_replace(text, opens(F.array_join(found, "")), F.lit("- "))).otherwise(text)
+        return F.when(F.size(opening) >= 3, X.let(digits, many)).otherwise(text)
+
+    return X.let(c, lambda text: X.let(F.regexp_extract_all(text, opens(F.lit("0-9")), 1), lambda opening: repaired(text, opening)))
 
 
 def without_furniture(c: Column) -> Column:

@@ -1,5 +1,8 @@
 """What keeps queries from growing faster than their tables."""
 
+from pyspark.sql import functions as F
+
+from lantern.functions import corpus as C
 from lantern.operators import lexical
 
 
@@ -9,3 +12,15 @@ def test_each_word_is_stemmed_once(spark):
     assert [(r.stem, r.words) for r in found.collect()] == [("gat", ["gato", "gatos"])]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [" in plan[plan.index("stems(") :].split("\n", 1)[1]  # distinct stands below the stemming
+
+
+def passes(spark, column, part):
+    """How often an expression stands in the plan of a column."""
+    df = spark.createDataFrame([("x",)], "t string").select(column(F.col("t")).alias("v"))
+    return df._jdf.queryExecution().optimizedPlan().toString().count(part)
+
+
+def test_pages_are_cleaned_of_controls_once(spark):
+    assert passes(spark, C.without_furniture, "regexp_replace(t#") == 1
+    page = "9 uno\n 9\tdos\n9 Tres\n8 cuatro\n8 cinco\n0 seis\n0 siete\n0 ocho\r9\n"
+    assert spark.createDataFrame([(page,), (None,), ("",)], "t string").select(C.bullets_repaired(F.col("t"))).collect() == [("- uno\n- dos\n- Tres\n8 cuatro\n8 cinco\n- seis\n- siete\n- ocho\r9\n",), (None,), ("",)]
