@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lantern.functions import corpus as C
+from lantern.functions import text as X
 from lantern.operators import lexical
 
 
@@ -24,3 +25,16 @@ def test_pages_are_cleaned_of_controls_once(spark):
     assert passes(spark, C.without_furniture, "regexp_replace(t#") == 1
     page = "9 uno\n 9\tdos\n9 Tres\n8 cuatro\n8 cinco\n0 seis\n0 siete\n0 ocho\r9\n"
     assert spark.createDataFrame([(page,), (None,), ("",)], "t string").select(C.bullets_repaired(F.col("t"))).collect() == [("- uno\n- dos\n- Tres\n8 cuatro\n8 cinco\n- seis\n- siete\n- ocho\r9\n",), (None,), ("",)]
+
+
+def test_chunk_gate_looks_at_lines_only_where_a_sign_of_machines_stands(spark):
+    plan = lambda c: str(spark.createDataFrame([("x",)], "t string").select(c(F.col("t")).alias("v"))._jdf.queryExecution().optimizedPlan())
+    for sign in (s for of in X.MACHINE_SIGNS.values() for s in of):
+        assert f", {sign})" in plan(X.chunk_verdict)
+    lines = ["Setting up x", "Unpacking x", "Get:1 x", "Reading package lists", "Preparing to unpack x", "3 upgraded, 2 newly", "Need to get 3", "After this operation"]
+    mail = ["DKIM-Signature: a", "Received: from a", "Content-Transfer-Encoding: a", "X-Spam: a", "MIME-Version: 1", "  bh=" + "aB3/" * 10, "=" + "a" * 40]
+    console = ["icmp_seq=1", "link/ether a", "64 bytes from a", "PING a (b", "inet 1", "inet6 1", "rtt min/avg/max"]
+    other = ["DIRECTORY ACCESS IS FORBIDDEN", "INDEX OF /", "403 forbidden", "[a](b)\n" * 6, "see www." + "a1" * 99 + " x", "a1" * 99, "inet x, setting up, PING a.", ""]
+    got = spark.createDataFrame([(x,) for x in lines + mail + console + other], "t string").select(X.chunk_verdict(F.col("t"))).collect()
+    want = ["package manager output"] * len(lines) + ["mail headers"] * len(mail) + ["console output"] * len(console)
+    assert [r[0] for r in got] == want + ["directory page"] * 3 + ["list of links", None, "dump of long tokens", None, "dump of long tokens"]
