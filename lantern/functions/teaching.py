@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,20 +187,33 @@ def cut_code(text: str, budget: int = 512) -> tuple[list[str], str | None]:
 
     A piece ends at the next place once it has half the budget.
     """
-    n = lambda x: len(_TOKEN.findall(x))
-    if n(text) <= budget:
-        return [text] if text.strip() else [], None
-    places = sorted({b for b, _, _, _, _ in code_blocks(text)})
-    if not places:
-        return [text], "no class or method to cut at"
-    out, begin = [], 0
-    for place in places[1:]:
-        if n(text[begin:place]) >= budget // 2:
-            out.append(text[begin:place])
-            begin = place
-    out.append(text[begin:])
-    large = sum(n(x) > budget for x in out)
-    return [x for x in out if x.strip()], f"{large} pieces over {budget} tokens" if large else None
+    pieces, warning = _cut(text, budget)
+    return [text[a:b] for a, b, _, _, _ in pieces], warning
+
+
+def _cut(text: str, budget: int) -> tuple[list[tuple[int, int, int, str | None, str | None]], str | None]:
+    """Begin, end and tokens of the pieces that cut_code tells of, and what begins there; the text is read for blocks once."""
+    n = lambda a, b: len(_TOKEN.findall(text, a, b))
+    if not text.strip():
+        return [], None
+    whole, blocks = n(0, len(text)), code_blocks(text)
+    begins = {b: (k, name) for b, _, k, name, _ in reversed(blocks)}
+    out, begin, warning = [], 0, None
+    if whole > budget:
+        for place in sorted(begins)[1:]:
+            if (k := n(begin, place)) >= budget // 2:
+                out.append((begin, place, k))
+                begin = place
+        large = sum(k > budget for _, _, k in out) + (n(begin, len(text)) > budget)
+        warning = f"{large} pieces over {budget} tokens" if large else None
+        if not begins:
+            warning = "no class or method to cut at"
+    out.append((begin, len(text), n(begin, len(text))))
+    return [(a, b, k, *begins.get(a, (None, None))) for a, b, k in out if not text[a:b].isspace()], warning
+
+
+#: Bytes of source texts that a task cuts at once; or one text.
+AT_ONCE = 1 << 20
 
 
 def code_chunks(documents: DataFrame, id_column: str, text_column: str, budget: int = 512) -> DataFrame:
@@ -206,18 +221,21 @@ def code_chunks(documents: DataFrame, id_column: str, text_column: str, budget:
     every piece of every source text; null and blank ones have none."""
     kind = documents.schema[id_column].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                pieces, warning = cut_code(text or "", budget)
-                begins = {b: (k, name) for b, _, k, name, _ in reversed(code_blocks(text or ""))} if pieces else {}
-                at = 0
-                for n, piece in enumerate(pieces):
-                    at = text.index(piece, at)
-                    rows.append((i, n, piece, len(_TOKEN.findall(piece)), *begins.get(at, (None, None)), warning))
-                    at += len(piece)
-            yield pd.DataFrame(rows, columns=["id", "ord", "text", "tokens", "kind", "name", "warning"])
-
-    out = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInPandas(run, f"id {kind}, ord int, text string, tokens int, kind string, name string, warning string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64))
+            lo = 0
+            while lo < len(ends):  # a bounded number of bytes at once, or one text
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+                at, rows = [], []
+                for i, text in enumerate(batch.column("text").slice(lo, hi - lo).to_pylist(), lo):
+                    pieces, warning = _cut(text or "", budget)
+                    at += [i] * len(pieces)
+                    rows += [(n, text[a:b], k, what, name, warning) for n, (a, b, k, what, name) in enumerate(pieces)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *columns], names=["id", "ord", "text", "tokens", "kind", "name", "warning"])
+                lo = hi
+
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    out = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, ord int, text string, tokens int, kind string, name string, warning string")
     return out.withColumnRenamed("id", id_column)

@@ -1,8 +1,10 @@
 """What keeps queries from growing faster than their tables."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lantern.functions import corpus as C
+from lantern.functions import teaching
 from lantern.functions import text as X
 from lantern.operators import lexical
 
@@ -38,3 +40,29 @@ def test_chunk_gate_looks_at_lines_only_where_a_sign_of_machines_stands(spark):
     got = spark.createDataFrame([(x,) for x in lines + mail + console + other], "t string").select(X.chunk_verdict(F.col("t"))).collect()
     want = ["package manager output"] * len(lines) + ["mail headers"] * len(mail) + ["console output"] * len(console)
     assert [r[0] for r in got] == want + ["directory page"] * 3 + ["list of links", None, "dump of long tokens", None, "dump of long tokens"]
+
+
+def test_code_is_cut_in_small_lots(spark, monkeypatch):
+    monkeypatch.setattr(teaching, "AT_ONCE", 1000)
+    made, method = [], "    void m(int a) {\n        x(a);\n    }\n"
+    texts = ["class C {\n" + method * n + "}\n" for n in (0, 1, 40, 3, 90)] + [None, " \n"]
+
+    class Rows:
+        """A table that keeps the function which would run on it."""
+
+        schema = spark.range(1).select(F.col("id"), F.lit("x").alias("text")).schema
+        select = lambda self, *_: self
+        withColumnRenamed = lambda self, *_: self
+
+        def mapInArrow(self, run, _):
+            made.append(run)
+            return self
+
+    teaching.code_chunks(Rows(), "id", "text", 60)
+    out = list(made[0](iter([pa.RecordBatch.from_pydict({"id": list(range(7)), "text": texts})])))
+    assert len(out) > 2
+    rows = [r for b in out for r in b.to_pylist()]
+    whole = lambda i: "".join(r["text"] for r in rows if r["id"] == i)
+    assert [whole(i) for i in range(5)] == texts[:5] and whole(5) == whole(6) == ""
+    assert all([r["ord"] for r in rows if r["id"] == i] == list(range(sum(r["id"] == i for r in rows))) for i in range(7))
+    assert max(r["tokens"] for r in rows) <= 60
