@@ -1,12 +1,15 @@
 """What keeps queries from growing faster than their tables."""
 
+from decimal import localcontext
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lantern.functions import calc, teaching
 from lantern.functions import corpus as C
-from lantern.functions import teaching
 from lantern.functions import text as X
 from lantern.operators import lexical
+from lantern.plans import QUERIES
 
 
 def test_each_word_is_stemmed_once(spark):
@@ -66,3 +69,21 @@ def test_code_is_cut_in_small_lots(spark, monkeypatch):
     assert [whole(i) for i in range(5)] == texts[:5] and whole(5) == whole(6) == ""
     assert all([r["ord"] for r in rows if r["id"] == i] == list(range(sum(r["id"] == i for r in rows))) for i in range(7))
     assert max(r["tokens"] for r in rows) <= 60
+
+
+def test_pi_is_worked_out_once_for_each_precision():
+    before = calc._pi.cache_info().misses
+    for n in range(101, 121):
+        assert calc.verdict(f"sin({n})^2 + cos({n})^2", "1")[0] == "verificada"
+    assert calc._pi.cache_info().misses <= before + 1
+    with localcontext() as c:
+        c.prec = 60
+        assert str(calc.pi())[:40] == "3.14159265358979323846264338327950288419" and len(str(calc.pi())) == 61
+        c.prec = 20
+        assert len(str(calc.pi())) == 21
+    assert [calc.verdict("2+2", s)[0] for s in ("4", "5", "4")] == ["verificada", "podada", "verificada"]
+    assert calc.verdict("1/3", "0," + "3" * 300)[0] == "verificada"
+
+
+def test_claims_of_one_small_file_are_dealt(spark):
+    assert QUERIES["calc_verifier"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
