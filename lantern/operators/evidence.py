@@ -110,16 +110,17 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
 
 def run_ends(rows: DataFrame, place: str, group: str, block: int = 1 << 16) -> DataFrame:
     """Rows numbered from 0 without gaps, with `next`: the first later place at which the group changes, counted on past the last
-    row; null if it never does. Places are looked at in blocks, and blocks by their first change, so no task sees all rows."""
+    row; null if it never does. Places are looked at in blocks, and blocks by their first change, so no task sees all rows. Windows run
+    backwards: what reaches to the last row Spark would add up anew for each row."""
     n = rows.count()
     before = rows.select(((F.col(place) + 1) % n).alias(place), F.col(group).alias("__g"))
     begins = F.when(~F.col(group).eqNullSafe(F.col("__g")), F.col(place))
     marked = rows.join(before, place).withColumns({"__begins": begins, "__block": F.floor(F.col(place) / block)}).drop("__g")
-    later = Window.orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
     firsts = cut(marked.groupBy("__block").agg(F.min("__begins").alias("__first")))
     first = firsts.agg(F.min("__first")).first()[0]
     blocks = firsts.select("__block", F.min("__first").over(later).alias("__later"))  # a row a block
-    inside = F.min("__begins").over(Window.partitionBy("__block").orderBy(place).rowsBetween(1, Window.unboundedFollowing))
+    inside = F.min("__begins").over(Window.partitionBy("__block").orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, -1))
     around = F.lit(None if first is None else first + n).cast("long")
     return marked.withColumn("__in", inside).join(blocks, "__block").withColumn("next", F.coalesce("__in", "__later", around)).drop("__begins", "__block", "__in", "__later")
 

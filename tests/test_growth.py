@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lantern.functions import calc, teaching
 from lantern.functions import corpus as C
 from lantern.functions import text as X
-from lantern.operators import lexical
+from lantern.operators import evidence, lexical
 from lantern.plans import QUERIES
 
 
@@ -87,3 +87,10 @@ def test_pi_is_worked_out_once_for_each_precision():
 
 def test_claims_of_one_small_file_are_dealt(spark):
     assert QUERIES["calc_verifier"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_run_ends_take_no_sum_anew_for_each_row(spark):
+    rows = spark.range(50).select(F.col("id").alias("i"), F.floor(F.col("id") / 7).alias("g"))
+    found = evidence.run_ends(rows, "i", "g", 8)
+    assert {r.i: r.next for r in found.collect()} == {i: (i // 7 + 1) * 7 if i < 49 else 50 for i in range(50)}
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
