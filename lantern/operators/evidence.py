@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,10 +76,40 @@ def premise_of(text: pd.Series, anchor: pd.Series, claim: pd.Series) -> pd.DataF
     return pd.DataFrame([premise(*row) for row in zip(text, anchor, claim, strict=True)], columns=["premise", "route"])
 
 
+class Matcher(difflib.SequenceMatcher):
+    """The library's blocks of strings, without junk: runs of four signs are looked for first, then of two, and single signs only
+    where no run agrees; of each only the places in the stretch that is searched."""
+
+    def grams(self, n: int) -> dict[str, list[int]]:
+        if n == 1:
+            return self.b2j
+        if n not in (known := self.__dict__.setdefault("_grams", {})):
+            known[n] = {}
+            for j in range(len(self.b) - n + 1):
+                known[n].setdefault(self.b[j : j + n], []).append(j)
+        return known[n]
+
+    def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> difflib.Match:
+        a, ahi, bhi = self.a, len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
+        for n in (4, 2, 1):
+            places_of, last, best_i, best_j, best, before = self.grams(n), bhi - n + 1, alo, blo, 0, {}
+            for i in range(alo, ahi - n + 1):
+                here = {}
+                if places := places_of.get(a[i : i + n]):
+                    for j in places[bisect_left(places, blo) : bisect_left(places, last)]:
+                        k = here[j] = before.get(j - 1, 0) + 1
+                        if k > best:
+                            best_i, best_j, best = i - k + 1, j - k + 1, k
+                before = here
+            if best:
+                return difflib.Match(best_i, best_j, best + n - 1)
+        return difflib.Match(alo, blo, 0)
+
+
 @F.pandas_udf(T.DoubleType())
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two texts."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+    return pd.Series([Matcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
 def gold_status(gold: DataFrame, chunks: DataFrame, key: list[str], hash_column: str = "hash", subject: str = "subject_id", admitted: str = "admitted", source: str = "source_id") -> DataFrame:

@@ -1,5 +1,7 @@
 """What keeps queries from growing faster than their tables."""
 
+import difflib
+import random
 from decimal import localcontext
 
 import pyarrow as pa
@@ -94,3 +96,13 @@ def test_run_ends_take_no_sum_anew_for_each_row(spark):
     found = evidence.run_ends(rows, "i", "g", 8)
     assert {r.i: r.next for r in found.collect()} == {i: (i // 7 + 1) * 7 if i < 49 else 50 for i in range(50)}
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_matching_blocks_are_the_librarys():
+    r = random.Random(13)
+    for _ in range(300):
+        a, b = ("".join(r.choices("abc d", k=r.randint(0, 60))) for _ in range(2))
+        assert evidence.Matcher(None, a, b, autojunk=False).get_matching_blocks() == difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+    found = evidence.Matcher(None, "ab", "xxab" * 500, autojunk=False)
+    found.b2j = {}  # single signs are not looked at where a longer run agrees
+    assert tuple(found.find_longest_match(0, 2, 1998, 2000)) == (0, 1998, 2)
