@@ -9,9 +9,9 @@ together reach `least` bytes.
    settled by comparing hashes, however many copies there are. One of each such context stays. Both comparisons are
    made among a sender's own records first, which then sends one record of a kind.
 2. The other contexts are dealt by anchor and sorted by suffix: each task gets a part of the suffix array.
-3. A stack scan over the neighbours' common prefixes gives the interval tree. In each interval the members are ordered
-   by their left contexts; a second scan over common left extensions splits the interval where they differ, which leaves
-   the maximal repeats: groups that can be extended neither way, with all their occurrences.
+3. A stack scan over the neighbours' common prefixes gives the interval trees of many anchors. In each interval the members
+   are ordered by their left contexts; the common left extensions of neighbours there tell how far the maximal repeats -
+   groups that can be extended neither way - reach around each member.
 4. A group with more than HOT different contexts is not gathered in one task but split by the bytes around the anchor:
    what covers a window shares either so many bytes to the right or the rest of it to the left, so members are dealt anew
    by either. Parts that are still too large are split again, down to whole windows, of which only the number counts.
@@ -34,7 +34,7 @@ from . import kernels as K
 from . import packets as P
 from .shared import cut, row_key
 
-GRAM, HOT, CHUNK = 50, 50_000, 1 << 20
+GRAM, HOT, CHUNK, SLICE = 50, 50_000, 1 << 20, 1 << 18
 _KINDS = ["u8", "u8", "i8", "i4", "i4"]  # anchor, context, key, place, flag - 0: asks, 1: the answer is known, 2: known, tells others
 
 
@@ -191,24 +191,23 @@ class _Lowest:
     """Smallest element of ranges, by doubling."""
 
     def __init__(self, x: np.ndarray):
-        self.levels = [x]
-        while len(self.levels[-1]) > (step := 1 << (len(self.levels) - 1)):
-            self.levels.append(np.minimum(self.levels[-1][:-step], self.levels[-1][step:]))
+        self.levels = np.zeros((max(1, len(x)).bit_length(), len(x)), x.dtype)
+        self.levels[0] = x
+        for k in range(1, len(self.levels)):
+            step, n = 1 << (k - 1), len(x) - (1 << k) + 1
+            np.minimum(self.levels[k - 1, :n], self.levels[k - 1, step : step + n], out=self.levels[k, :n])
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         level = np.frexp((hi - lo).astype(float))[1] - 1
-        out = np.empty(len(lo), np.int64)
-        for k in np.unique(level):
-            at = level == k
-            out[at] = np.minimum(self.levels[k][lo[at]], self.levels[k][hi[at] - (1 << k)])
-        return out
+        return np.minimum(self.levels[level, lo], self.levels[level, hi - (1 << level)])
 
 
 def maximal_repeats(right: np.ndarray, right_lcp: np.ndarray, left_order: np.ndarray, left_lcp: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, int, int]]:
     """(members, left, right) of each maximal repeat of one anchor: the members share `left` bytes before the anchor and
     `right` bytes from it, at least `least` together; no larger group shares as much, no longer string is shared by all.
 
-    Members are numbered in suffix order; left_order lists them by left context.
+    Members are numbered in suffix order; left_order lists them by left context. `covered` looks at the same intervals for
+    many anchors at once, without listing groups.
     """
     n = len(right)
     rank = np.empty(n, np.int64)
@@ -231,6 +230,42 @@ def maximal_repeats(right: np.ndarray, right_lcp: np.ndarray, left_order: np.nda
                     yield members, length, r
 
 
+def covered(right_lcp: np.ndarray, left_order: np.ndarray, left_lcp: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far the maximal repeats of many anchors reach to the left and to the right of each member, 0 where there is none.
+
+    Members are numbered in suffix order, anchor by anchor, with a right_lcp of -1 between two anchors; left_order lists them
+    by anchor and left context. In an interval of the tree a member shares most to the left with a neighbour in left_order,
+    so neighbours tell all. An interval lies in as many others as there are lengths from `gram` to `least`, at most, so
+    the work grows with the members. It is done for about SLICE members of intervals at once.
+    """
+    n = len(left_order)
+    rank = np.empty(n, np.int64)
+    rank[left_order] = np.arange(n)
+    best = np.zeros(n, np.int64)  # what a member shares with any other of its anchor
+    best[left_order[:-1]] = left_lcp
+    best[left_order[1:]] = np.maximum(best[left_order[1:]], left_lcp)
+    low = _Lowest(left_lcp.astype(np.int32))
+    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    tree = np.array(list(intervals(right_lcp.tolist(), gram)), np.int64).reshape(-1, 3)
+    ends = np.cumsum(tree[:, 2] - tree[:, 1] + 1)
+    at = 0
+    while at < len(tree):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        length, first, last = tree[at:to].T
+        member, of = K.expand(first, last - first + 1), np.repeat(np.arange(to - at), last - first + 1)
+        able = best[member] + length[of] >= least
+        of, place = np.divmod(np.sort(of[able] * n + rank[member[able]]), n)
+        pair = np.flatnonzero(of[1:] == of[:-1])
+        x, y, reach = place[pair], place[pair + 1], length[of[pair]]
+        shared = low(x, y)
+        hit = shared + reach >= least
+        for side in (left_order[x[hit]], left_order[y[hit]]):
+            np.maximum.at(left, side, shared[hit])
+            np.maximum.at(right, side, reach[hit])
+        at = to
+    return left, right
+
+
 def _groups(least: int, gram: int):
     """Interval trees of whole anchors, rows sorted by anchor and suffix: how far each context is covered."""
 
@@ -267,14 +302,12 @@ def _groups(least: int, gram: int):
             rows = np.flatnonzero(many[group])
             words = np.ascontiguousarray(np.pad(before[rows], ((0, 0), (0, -before.shape[1] % 8)))).view(">u8")
             order = rows[np.lexsort((before_size[rows], *words.T[::-1], group[rows]))]
-            near = np.append(_common(before, before_size, order[:-1], order[1:]), 0)
-            at = 0
-            for b, m in zip(begin[many].tolist(), size[many].tolist(), strict=True):
-                for members, x, y in maximal_repeats(np.arange(m), lcp[b : b + m - 1], order[at : at + m] - b, near[at : at + m - 1], least):
-                    members = members + b
-                    left[members] = np.maximum(left[members], x)
-                    right[members] = np.maximum(right[members], y)
-                at += m
+            near = _common(before, before_size, order[:-1], order[1:])
+            near[group[order[1:]] != group[order[:-1]]] = 0
+            lcp[begin[1:] - 1] = -1
+            back = np.empty(n, np.int64)
+            back[rows] = np.arange(len(rows))
+            left[rows], right[rows] = covered(lcp[rows[:-1]], back[order], near, least, gram)
         hit = np.flatnonzero(right)
         return pa.RecordBatch.from_arrays(
             [pa.array(t.column("key").to_numpy()[hit]), pa.array(t.column("at").to_numpy()[hit].astype(np.int32)), pa.array(left[hit].astype(np.int32)), pa.array(right[hit].astype(np.int32))],
