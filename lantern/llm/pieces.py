@@ -14,6 +14,8 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,45 @@ from . import kernels as K
 KEEP, KEEP_CHARS = 110_000, 40
 #: Bytes of text that are taken apart at once, but for a longer text.
 CHUNK = 1 << 20
+#: Parts of up to WIDE symbols are merged side by side, about BLOCK symbols at once.
+WIDE, BLOCK = 64, 1 << 15
+_NONE = np.int32(2**31 - 1)
 _PART = re.compile("▁+[^▁\n]*|\n[^▁\n]*")
 
 
+class Pairs:
+    """The pairs of symbols that form a piece, as sorted arrays. Symbols are numbers: pieces by their ids, then the other
+    characters that pieces hold, then one number for all other characters and one for no symbol. A character of one byte
+    that is no piece has the id of its byte."""
+
+    def __init__(self, text: list[str], ids: dict[str, int], rank: dict[str, float], of_byte: dict[int, int]):
+        number = {chr(b): i for b, i in of_byte.items() if b < 0x80} | ids
+        others = sorted({c for p in rank for c in p} - number.keys())
+        number |= {c: len(text) + i for i, c in enumerate(others)}
+        self.unknown, self.gone = len(text) + len(others), len(text) + len(others) + 1
+        self.base = self.gone + 1
+        place = {r: i for i, r in enumerate(sorted(set(rank.values())))}
+        found = [(number[a] * self.base + number[b], place[r], ids[p]) for p, r in rank.items() for k in range(1, len(p)) if (a := p[:k]) in number and (b := p[k:]) in number]
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 3)
+        if len(place) * WIDE >= _NONE:
+            raise ValueError("the vocabulary is too large")
+        self.pair = np.append(pairs[:, 0], np.iinfo(np.int64).max)
+        self.score, self.piece = (np.append(x, last).astype(np.int32) for x, last in ((pairs[:, 1], _NONE), (pairs[:, 2], 0)))
+        codes = {ord(c): i for c, i in number.items() if len(c) == 1}
+        self.of_code = np.full(max(codes, default=0) + 2, self.unknown, np.int32)
+        self.of_code[list(codes)] = list(codes.values())
+
+    def single(self, text: str) -> np.ndarray:
+        """The number of each character."""
+        return self.of_code[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), len(self.of_code) - 1)]
+
+    def find(self, left: np.ndarray, right: np.ndarray, shape: int | tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each pair in the order of scores, _NONE if it forms no piece; and the piece."""
+        asked = left.astype(np.int64) * self.base + right
+        at = np.searchsorted(self.pair, asked)
+        return np.where(self.pair[at] == asked, self.score[at], _NONE).reshape(shape), self.piece[at].reshape(shape)
+
+
 class Pieces:
     """A vocabulary read from a model file, with encoding and decoding."""
 
@@ -49,12 +87,16 @@ class Pieces:
         self.control = {i for i, p in enumerate(proto.pieces) if p.type in (p.CONTROL, p.UNKNOWN)}
         self.of_byte = {b: i for i, b in self.byte.items()}
         self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == p.NORMAL}
-        self.name = {p: str(i) for p, i in self.id.items()}
+        self.name = [str(i) for i in range(len(self.text))]
         self.rank = {p.piece: -p.score for p in proto.pieces if p.type == p.NORMAL and len(p.piece) > 1}
         if any(re.search("[^▁]▁|\n", p) for p in self.id):
             raise ValueError("a piece spans words; texts can't be cut at spaces")
         self.forget()
 
+    @cached_property
+    def pairs(self) -> Pairs:
+        return Pairs(self.text, self.id, self.rank, self.of_byte)
+
     def forget(self) -> None:
         """Empties the memory of parts: ids joined by commas, with the decoded text where it isn't the part itself."""
         self.young: dict[str, str | tuple[str, str]] = {}
@@ -85,6 +127,48 @@ class Pieces:
                 push(agenda, (r, h, p))
         return [s for s in symbol if s]
 
+    def merge_many(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merges parts of up to WIDE symbols like `merge`. Of all symbols that are left: the number in `pairs`, and where it
+        begins in its part; and how many symbols each part has."""
+        t, n = self.pairs, len(parts)
+        size = np.fromiter(map(len, parts), np.int64, n)
+        wide = int(size.max())
+        symbol = np.full((wide + 1, n), t.gone, np.int32)  # a row for each place, a column for each part
+        symbol[K.expand(np.zeros(n, np.int64), size), np.repeat(np.arange(n), size)] = t.single("".join(parts))
+        place = np.arange(wide + 1)[:, None]
+        after, before = (np.repeat(x.astype(np.int16), n, 1) for x in (place + 1, place - 1))
+        before[0] = wide
+        agenda = np.full((wide + 1, n), _NONE, np.int32)
+        piece = np.zeros((wide + 1, n), np.int32)
+        score, piece[:-1] = t.find(symbol[:-1].ravel(), symbol[1:].ravel(), (wide, n))
+        agenda[:-1] = np.where(score == _NONE, _NONE, score * WIDE + place[:-1])
+        left, column = symbol.copy(), np.arange(n)
+        while n:
+            best = agenda.min(axis=0)
+            live = np.flatnonzero(best != _NONE)
+            if len(live) < 0.75 * n:  # parts whose agenda is empty are done
+                left[:, column] = symbol
+                column, best, n = column[live], best[live], len(live)
+                symbol, after, before, agenda, piece = (x.take(live, axis=1) for x in (symbol, after, before, agenda, piece))
+                live = np.arange(n)
+            s, a, b, g, p = (x.reshape(-1) for x in (symbol, after, before, agenda, piece))
+            at = (best[live] % WIDE).astype(np.int64)
+            i = at * n + live
+            j = a[i].astype(np.int64) * n + live
+            end = a[j].astype(np.int64)
+            k = end * n + live
+            s[i] = new = p[i]
+            s[j], g[j] = t.gone, _NONE
+            a[i], b[k] = end, at
+            first = b[i].astype(np.int64)
+            h = first * n + live
+            changed = np.concatenate([i, h])
+            score, p[changed] = t.find(np.concatenate([new, s[h]]), np.concatenate([s[k], new]), 2 * len(live))
+            g[changed] = np.where(score == _NONE, _NONE, score * WIDE + np.concatenate([at, first]))
+        left = left.T
+        stays = left != t.gone
+        return left[stays], np.nonzero(stays)[1], stays.sum(axis=1)
+
     def numbers(self, symbols: list[str]) -> list[int]:
         """Ids of merged symbols; a symbol that is no piece becomes its bytes' ids."""
         out = []
@@ -118,25 +202,53 @@ class Pieces:
             return text.replace("\n", " \n").split(" ")  # the usual case
         return [p if p[0] == "\n" else p[1:] for p in _PART.findall("▁" + text.replace(" ", "▁"))]
 
+    def told(self, part: str, symbols: list[str], theirs: list[int]) -> str | tuple[str, str]:
+        """What is remembered of one part: ids joined by commas, with the decoded text where it isn't the part itself."""
+        own, ids = part[:1] == "\n", self.numbers(symbols)
+        if ids != (theirs[1:] if own else theirs) and part:
+            self.differ.add(part)
+        joined, text = ",".join(map(str, ids)), self.unmerge(ids)
+        return joined if text == (part if own else " " + part) else (joined, text)
+
     def learn(self, parts: list[str]) -> dict[str, str | tuple[str, str]]:
         """Encodes new parts and checks each against the library."""
         out = {}
-        name = self.name.get
-        for part, theirs in zip(parts, self.library.encode(parts, num_threads=1), strict=True):
-            own = part[:1] == "\n"
-            said = ",".join(map(str, theirs[1:] if own else theirs))
-            symbols = self.merge(part if own else "▁" + part)
-            ids = [name(s) for s in symbols]
-            if None in ids:
-                numbers = self.numbers(symbols)
-                joined, text = ",".join(map(str, numbers)), self.unmerge(numbers)
-            else:
-                joined, text = ",".join(ids), "".join(symbols).replace("▁", " ")
-            if joined != said and part:
-                self.differ.add(part)
-            out[part] = joined if text == (part if own else " " + part) else (joined, text)
+        usual = sorted((p for p in parts if 0 < len(p) < WIDE), key=len)
+        for x in set(parts).difference(usual):
+            out[x] = self.told(x, self.merge(x if x[:1] == "\n" else "▁" + x), self.library.encode(x))
+        at = 0
+        while at < len(usual):
+            block = usual[at : at + BLOCK // (len(usual[at]) + 1)]
+            block = block[: BLOCK // (len(block[-1]) + 1)]  # the last is the longest
+            at += len(block)
+            self.learn_block(block, out)
         return out
 
+    def learn_block(self, block: list[str], out: dict[str, str | tuple[str, str]]) -> None:
+        """Adds parts that are merged side by side; one by one only those with symbols that are no pieces, or that differ."""
+        own = np.array([p[0] == "\n" for p in block])
+        words = [p if p[0] == "\n" else "▁" + p for p in block]
+        found, begins, sizes = self.merge_many(words)
+        theirs = self.library.encode(block, num_threads=1)
+        n = np.fromiter(map(len, theirs), np.int64, len(block))
+        said = np.delete(np.fromiter(chain.from_iterable(theirs), np.int64, int(n.sum())), (np.cumsum(n) - n)[own])
+        ends = np.cumsum(sizes)
+        names = list(map(self.name.__getitem__, np.minimum(found, len(self.name) - 1).tolist()))
+        lo = 0
+        for p, hi in zip(block, ends.tolist(), strict=True):
+            joined = ",".join(names[lo:hi])
+            out[p] = (joined, " " + p.replace("▁", " ")) if "▁" in p else joined
+            lo = hi
+        if np.array_equal(n - own, sizes) and np.array_equal(said, found):
+            return
+        strange = np.logical_or.reduceat(found >= len(self.text), ends - sizes)  # some symbol is no piece
+        for i in np.flatnonzero(strange).tolist():
+            x, at = words[i], [*begins[ends[i] - sizes[i] : ends[i]].tolist(), len(words[i])]
+            out[block[i]] = self.told(block[i], [x[a:b] for a, b in zip(at, at[1:], strict=False)], theirs[i])
+        for i in np.flatnonzero(~strange).tolist():
+            if found[ends[i] - sizes[i] : ends[i]].tolist() != theirs[i][int(own[i]) :]:
+                self.differ.add(block[i])
+
     def encode(self, texts: list[str | None], check: bool = True) -> Iterator[tuple[str, int, str, bool]]:
         """For each text: ids joined by commas, their number, the decoded text, and whether the agenda and the library differed."""
         cut = [self.parts(t or "") for t in texts]

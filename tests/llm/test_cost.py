@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from lantern.llm import suffixes
+from lantern.llm import pieces, queries, suffixes
 
 
 def contexts(r: random.Random, groups: int, members: int) -> list[tuple[int, bytes, bytes]]:
@@ -70,3 +71,68 @@ def test_covered_reaches_as_far_as_the_maximal_repeats():
             left[members], right[members] = np.maximum(left[members], x), np.maximum(right[members], y)
         got = suffixes.covered(lcp, order, near, 200, 50)
         assert (got[0] == left).all() and (got[1] == right).all()
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.Pieces(queries.tokenizer())
+
+
+LETTERS = "etaoinshrdlu" * 4 + "ETAOéüß.,-'0123▁" + "日本語한😀́\t\u200b\x00~"
+
+
+def test_agendas_of_many_parts_stand_side_by_side(model, monkeypatch):
+    """Ordinary parts are merged together; only very long ones are merged alone."""
+    alone = []
+    once = pieces.Pieces.merge
+    monkeypatch.setattr(pieces.Pieces, "merge", lambda self, part: alone.append(part) or once(self, part))
+    r = random.Random(34)
+    words = ["".join(r.choices(LETTERS.replace("▁", ""), k=r.randint(1, 30))) for _ in range(2000)]
+    text = "".join(w + r.choice((" ", " ", " ", "\n")) for w in words)[:-1]
+    model.forget()
+    ids, n, decoded, differs = next(model.encode([text], check=False))
+    theirs = model.library.encode(text)
+    assert (ids, n, decoded, differs) == (",".join(map(str, theirs)), len(theirs), model.library.decode(theirs), False)
+    assert not alone
+    model.forget()
+    assert not next(model.encode(["x" * 63 + " " + "x" * 64 + " a▁b  c"], check=False))[3]
+    assert alone == ["▁" + "x" * 64]
+
+
+@pytest.mark.parametrize("block", [70, 1 << 15])
+def test_parts_merge_alike_alone_and_side_by_side(model, monkeypatch, block):
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    r = random.Random(35)
+    parts = ["".join(r.choices(LETTERS, k=r.randint(1, pieces.WIDE))) for _ in range(300)] + ["▁", "e" * 64, "▁" + "the" * 21, "\n", "\nabc"]
+    found, begins, sizes = model.merge_many(parts)
+    ends = np.cumsum(sizes)
+    for p, lo, hi in zip(parts, (ends - sizes).tolist(), ends.tolist(), strict=True):
+        at = [*begins[lo:hi].tolist(), len(p)]
+        symbols = [p[a:b] for a, b in zip(at, at[1:], strict=False)]
+        assert symbols == model.merge(p)
+        assert all(k == model.id[s] for k, s in zip(found[lo:hi].tolist(), symbols, strict=True) if s in model.id)
+    words = sorted({p for q in parts for p in pieces.Pieces.parts(q)} | {p.replace("▁", "").replace("\n", "") for p in parts})
+    model.forget()
+    model.differ = set()
+    for p, v in model.learn(words).items():
+        theirs = model.library.encode(p)[p[:1] == "\n" :]
+        assert not p or (v if isinstance(v, str) else v[0]) == ",".join(map(str, theirs))
+        if p[:1] != "\n":
+            assert (" " + p if isinstance(v, str) else v[1])[1:] == model.library.decode(theirs)
+    assert not model.differ
+
+
+def test_a_part_that_the_library_encodes_otherwise_is_told(model, monkeypatch):
+    """Among parts that are merged side by side, with and without symbols that are no pieces, just the one that differs."""
+
+    class Other:
+        def encode(self, x, num_threads=None):
+            return [self.encode(y) for y in x] if isinstance(x, list) else [*theirs(x), 5] if x in ("house", "\ncafé", "日🜁") else theirs(x)
+
+    theirs = model.library.encode
+    monkeypatch.setattr(model, "library", Other())
+    model.differ = set()
+    model.learn(["the", "house", "日🜁", "🜁a", "\nthe"])
+    assert model.differ == {"house", "日🜁"}
+    model.learn(["the", "\ncafé", "\nthe"])
+    assert model.differ == {"house", "日🜁", "\ncafé"}
